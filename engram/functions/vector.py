@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -32,50 +32,66 @@ def _entry(pos: int, value: Column, present: Column) -> Column:
     return F.when(present, F.struct(F.lit(pos).alias("key"), value.cast("double").alias("value")))
 
 
+def _dictionary(pairs: Iterable[tuple[int, str]]) -> Column:
+    """Literal array of (position, keyword); folded to a constant by the optimizer."""
+    return F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(w).alias("word")) for p, w in dict.fromkeys(pairs)])
+
+
+def _hits(text: Column, dictionary: Column) -> Column:
+    """Positions whose keywords occur as substrings, one entry per keyword."""
+    return F.transform(F.filter(dictionary, lambda e: F.contains(text, e["word"])), lambda e: e["pos"])
+
+
 def vectorise(
     df: DataFrame,
     class_keywords: Sequence[tuple[int, str]] = (),
     theme_keywords: Sequence[tuple[int, str]] = (),
     out: str = "vecteur",
 ) -> DataFrame:
-    """Add the sparse vector. `class_keywords`/`theme_keywords` are (position, keyword) pairs of the thesaurus."""
+    """Add the sparse vector. `class_keywords`/`theme_keywords` are (position, keyword) pairs of the thesaurus.
+
+    The dictionaries are constants of the plan and each text is folded over them once; no join, no shuffle.
+    """
     if len(class_keywords) + len(theme_keywords) > MAX_KEYWORDS:
         raise ValueError(f"more than {MAX_KEYWORDS} keywords")
-    entries = []
+    direct = []
     for pos, name in {**lx.STATE_POSITIONS, **lx.COMMUNICATION_POSITIONS}.items():
         if name in df.columns:
             col = F.col(name)
-            entries.append(_entry(pos, F.round(col, 3), col.isNotNull() & (col != 0)))
-
-    places = F.lower(F.array_join("lieux", " ")) if "lieux" in df.columns else F.lit("")
-    places = F.coalesce(places, F.lit(""))
-    for pos, words in lx.PLACE_KEYWORDS.items():
-        entries.append(_entry(pos, F.lit(1.0), contains_any(places, words)))
+            direct.append(_entry(pos, F.round(col, 3), col.isNotNull() & (col != 0)))
 
-    bag = F.col("_bag")
-    tag_classes = (
-        F.transform("tags_roget", lambda t: F.substring(F.trim(t), 1, 2)) if "tags_roget" in df.columns else F.array()
+    places = F.coalesce(F.lower(F.array_join("lieux", " ")), F.lit("")) if "lieux" in df.columns else F.lit("")
+    place_dim = _dictionary((p, w) for p, words in lx.PLACE_KEYWORDS.items() for w in words)
+    theme_dim = _dictionary(
+        [(p, w) for p, words in lx.THEME_KEYWORDS.items() for w in words] + [(p, w.lower()) for p, w in theme_keywords]
+    )
+    tag_classes = F.array().cast("array<string>")
+    if "tags_roget" in df.columns:
+        tag_classes = F.coalesce(F.transform("tags_roget", lambda t: F.substring(F.trim(t), 1, 2)), tag_classes)
+
+    def of_bag(bag: Column) -> Column:
+        """Class and theme entries; `bag` is bound once per row by the enclosing transform."""
+        ones = F.transform(
+            F.array_distinct(_hits(bag, theme_dim)), lambda p: F.struct(p.alias("key"), F.lit(1.0).alias("value"))
+        )
+        class_hits = _hits(bag, _dictionary((p, w.lower()) for p, w in class_keywords)) if class_keywords else None
+        limit = F.when(F.size(F.split(F.trim(bag), r"\s+")) < 20, 1).otherwise(3)
+        classes = []
+        for cls, pos in lx.CLASS_POSITIONS.items():
+            by_words = F.lit(0.0)
+            if class_hits is not None:
+                n = F.size(F.filter(class_hits, lambda p, pos=pos: p == pos))
+                by_words = F.least(F.lit(1.0), F.round(n / limit, 2))
+            value = F.when(F.array_contains(tag_classes, cls), F.greatest(by_words, F.lit(0.8))).otherwise(by_words)
+            classes.append(_entry(pos, value, value > 0))
+        return F.concat(F.filter(F.array(*classes), lambda e: e.isNotNull()), ones)
+
+    from_bag = F.transform(F.array(bag_of_words(df)), of_bag)[0]
+    from_places = F.transform(
+        F.array_distinct(_hits(places, place_dim)), lambda p: F.struct(p.alias("key"), F.lit(1.0).alias("value"))
     )
-    limit = F.when(F.size(F.split(F.trim(bag), r"\s+")) < 20, 1).otherwise(3)
-    for cls, pos in lx.CLASS_POSITIONS.items():
-        words = sorted({k.lower() for p, k in class_keywords if p == pos})
-        hits = F.lit(0)
-        if words:
-            hits = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(bag, w)))
-        by_words = F.when(hits > 0, F.least(F.lit(1.0), F.round(hits / limit, 2))).otherwise(0.0)
-        tagged = F.coalesce(F.array_contains(tag_classes, cls), F.lit(False))
-        value = F.when(tagged, F.greatest(by_words, F.lit(0.8))).otherwise(by_words)
-        entries.append(_entry(pos, value, value > 0))
-
-    themes = {pos: list(words) for pos, words in lx.THEME_KEYWORDS.items()}
-    for pos, word in theme_keywords:
-        themes.setdefault(pos, []).append(word.lower())
-    for pos, words in themes.items():
-        entries.append(_entry(pos, F.lit(1.0), contains_any(bag, list(dict.fromkeys(words)))))
-
-    with_bag = df.withColumn("_bag", bag_of_words(df))
-    found = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return with_bag.withColumn(out, F.map_from_entries(found).cast(VECTOR)).drop("_bag")
+    parts = [F.filter(F.array(*direct), lambda e: e.isNotNull())] if direct else []
+    return df.withColumn(out, F.map_from_entries(F.concat(*parts, from_places, from_bag)).cast(VECTOR))
 
 
 def keyword_dim(index: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from engram.functions.dates import at
 from engram.functions.text import content_class
 from engram.operators.filters import AuditFilters, daily_window
 
-N = F.count(F.lit(1)).alias("n")
+def n_rows() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 
 def corpus_stats(seg: DataFrame) -> DataFrame:
@@ -44,13 +45,13 @@ def quality_metrics(seg: DataFrame, filters: AuditFilters = AuditFilters()) -> D
 
 def top_values(seg: DataFrame, col: str, k: int = 10, filters: AuditFilters = AuditFilters()) -> DataFrame:
     """Most frequent values of a column."""
-    counted = seg.filter(filters.predicate()).groupBy(col).agg(N)
+    counted = seg.filter(filters.predicate()).groupBy(col).agg(n_rows())
     return counted.orderBy(F.desc("n"), F.asc_nulls_first(col)).limit(k)
 
 
 def repeated_summaries(seg: DataFrame, k: int = 5, filters: AuditFilters = AuditFilters()) -> DataFrame:
     """Examples of summaries that occur more than once."""
-    counted = seg.filter(filters.predicate() & (F.col("resume_texte") != "")).groupBy("resume_texte").agg(N)
+    counted = seg.filter(filters.predicate() & (F.col("resume_texte") != "")).groupBy("resume_texte").agg(n_rows())
     return counted.filter("n > 1").orderBy(F.desc("n"), "resume_texte").limit(k)
 
 
@@ -96,10 +97,10 @@ def group_view(chunks: DataFrame, by: str = "domain", approximate: bool = False)
 def file_stats(files: DataFrame, k: int = 10) -> DataFrame:
     """Counts by status and by domain, and the most frequent extensions, as (dimension, value, n)."""
     part = lambda name, df: df.select(F.lit(name).alias("dimension"), F.col(df.columns[0]).alias("value"), "n")
-    extensions = files.groupBy("extension").agg(N).orderBy(F.desc("n"), "extension").limit(k)
+    extensions = files.groupBy("extension").agg(n_rows()).orderBy(F.desc("n"), "extension").limit(k)
     return (
-        part("status", files.groupBy("status").agg(N))
-        .unionByName(part("domain", files.groupBy("domain").agg(N)))
+        part("status", files.groupBy("status").agg(n_rows()))
+        .unionByName(part("domain", files.groupBy("domain").agg(n_rows())))
         .unionByName(part("extension", extensions))
     )
 
@@ -134,7 +135,7 @@ def digest_entities(seg: DataFrame, now: datetime, hours: int = 24) -> DataFrame
         F.struct(F.lit("nature").alias("kind"), F.array("source_nature").alias("names")),
     )
     rows = day.select(F.inline(parts)).select("kind", F.explode("names").alias("name"))
-    return rows.groupBy("kind", "name").agg(N)
+    return rows.groupBy("kind", "name").agg(n_rows())
 
 
 def fact_stats(facts: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def fact_stats(facts: DataFrame) -> DataFrame:
 def failure_histogram(texts: DataFrame, text: str = "text") -> DataFrame:
     """Content classes of failed segments and their share; a missing text is an error."""
     cls = F.when(F.col(text).isNull(), "erreur").otherwise(content_class(F.col(text)))
-    counts = texts.groupBy(cls.alias("content_class")).agg(N)
+    counts = texts.groupBy(cls.alias("content_class")).agg(n_rows())
     total = texts.agg(F.count(F.lit(1)).alias("_total"))
     # six classes at most against a single total row
     return counts.join(F.broadcast(total), F.lit(True)).select(
@@ -157,7 +158,7 @@ def failure_histogram(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def link_histogram(result: DataFrame) -> DataFrame:
-    return result.groupBy("link_type").agg(N)
+    return result.groupBy("link_type").agg(n_rows())
 
 
 def merge_stats(exports: Sequence[DataFrame]) -> DataFrame:
@@ -165,10 +166,10 @@ def merge_stats(exports: Sequence[DataFrame]) -> DataFrame:
     rows = None
     for df in exports:
         rows = df.select("uuid", "chat_messages") if rows is None else rows.unionByName(df.select("uuid", "chat_messages"))
-    conv = rows.groupBy("uuid").agg(N).agg(
+    conv = rows.groupBy("uuid").agg(n_rows()).agg(
         F.sum("n").alias("conversations_total"), F.count(F.lit(1)).alias("conversations_unique")
     )
-    msgs = rows.select(F.explode("chat_messages").alias("m")).groupBy("m.uuid").agg(N).agg(
+    msgs = rows.select(F.explode("chat_messages").alias("m")).groupBy("m.uuid").agg(n_rows()).agg(
         F.sum("n").alias("messages_total"), F.count(F.lit(1)).alias("messages_unique")
     )
     # both sides are one row

@@ -22,15 +22,14 @@ def _first_rule(text: Column, rules, value) -> Column:
 def featurise_queries(queries: DataFrame, now: datetime, known_names: Sequence[str] = lx.KNOWN_NAMES) -> DataFrame:
     """Persons, keywords, tags, dates, content type, domain and target emotion of each query text."""
     text, low = F.col("text"), F.lower("text")
-    strs = lambda items: F.array(*[F.lit(i) for i in items])
-    known, stop, strict = strs(known_names), strs(lx.QUERY_STOPWORDS), strs(lx.PERSON_STOPWORDS)
+    known, stop = list(known_names), lx.QUERY_STOPWORDS
     # \b on both sides with accented letters as word characters
     raw = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-zÀ-ÿ]+(?![\p{L}\p{N}_])"), F.lit(0))
-    persons = F.filter("_raw", lambda p: ~F.array_contains(strict, F.lower(p)) & ~F.array_contains(known, F.lower(p)))
+    persons = F.filter("_raw", lambda p: ~F.lower(p).isin(*lx.PERSON_STOPWORDS, *known))
     words = F.regexp_extract_all(low, F.lit(r"(?<![\p{L}\p{N}_])[a-zA-ZÀ-ÿ]{3,}(?![\p{L}\p{N}_])"), F.lit(0))
     person_words = F.transform("personnes", lambda p: F.lower(p))
-    plain = F.filter(words, lambda w: ~F.array_contains(stop, w) & ~F.array_contains(person_words, w))
-    named = F.filter(F.transform("_raw", lambda p: F.lower(p)), lambda p: F.array_contains(known, p))
+    plain = F.filter(words, lambda w: ~w.isin(*stop) & ~F.array_contains(person_words, w))
+    named = F.filter(F.transform("_raw", lambda p: F.lower(p)), lambda p: p.isin(*known))
     extra = F.array_except(named, F.col("_plain"))
     days = _first_rule(low, lx.RELATIVE_DAYS, lambda d: F.lit(d))
     moment = at(now)
