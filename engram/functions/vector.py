@@ -158,6 +158,8 @@ def json_vector(text: Column) -> Column:
 
 def vector_stats(df: DataFrame) -> DataFrame:
     """Rows and mean value per active position."""
-    return df.select(F.explode("vecteur").alias("position", "value")).groupBy("position").agg(
+    # an inner explode would evaluate a computed vector again for its non-empty test
+    rows = df.select(F.explode_outer("vecteur").alias("position", "value")).filter("position IS NOT NULL")
+    return rows.groupBy("position").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")
     )

@@ -7,6 +7,8 @@ def _load() -> None:
     from engram.plans import (  # noqa: F401
         queries_aggregates,
         queries_filters,
+        queries_graph,
+        queries_tables,
     )
 
 

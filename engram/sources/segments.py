@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -73,20 +74,21 @@ def scan_archive(spark: SparkSession, path: str, start: str | None = None, end:
     return in_scope(files, start, end)
 
 
-ROLES = "human|assistant|user|utilisateur"
+ROLES = ["human", "assistant", "user", "utilisateur"]
 HUMAN = ["human", "user", "utilisateur"]
 
 
-def parse_exchanges(files: DataFrame, key: str = "file_name", text: str = "text") -> DataFrame:
+def parse_exchanges(files: DataFrame, key: str = "file_name", text: str = "text", names: Sequence[str] = ()) -> DataFrame:
     """Exchanges of log texts: (key, no, source, ts, auteur, text).
 
     `[SOURCE:x]` is optional, a broken marker at the end of a piece is trimmed, a text without any marker is one
-    human exchange. Empty exchanges drop out; short ones are joined by `windows.merge_short`.
+    human exchange. Empty exchanges drop out; short ones are joined by `windows.merge_short`. `names` are further
+    speaker names the assistant goes by. Token offsets of archived lines (`15|[…`) belong to the format and go first.
     """
-    head = rf"(?i)(?:\[SOURCE:(\w+)\])?\[({TS})\]\s*({ROLES})\s*:\s*"
-    clean = neutralise_markers(F.col(text))
+    roles = "|".join(re.escape(n) for n in [*ROLES, *names])
+    head = rf"(?i)(?:\[SOURCE:(\w+)\])?\[({TS})\]\s*({roles})\s*:\s*"
+    clean = neutralise_markers(F.regexp_replace(text, r"(?m)^\d+\|(?=\[)", ""))
     rows = files.select(key, clean.alias("_t"))
-    # an offset before the marker (`15|`) belongs to the log format, not to the text before it
     heads = F.regexp_extract_all("_t", F.lit(f"({head})"), F.lit(1))
     bodies = F.split("_t", head, -1)
     split = rows.select(
@@ -96,7 +98,7 @@ def parse_exchanges(files: DataFrame, key: str = "file_name", text: str = "text"
     h = F.col("e.h")
     part = lambda i: F.regexp_extract(h, head, i)
     body = F.col("e.b")
-    for broken in (r"\n?\d+\|\s*$", r"\[$", r"\[SOURCE:\w*\]?$", r"\[\d{4}-\d{2}-\d{2}T?\d{0,2}:?\d{0,2}:?\d{0,2}[^\]]*$"):
+    for broken in (r"\[$", r"\[SOURCE:\w*\]?$", r"\[\d{4}-\d{2}-\d{2}T?\d{0,2}:?\d{0,2}:?\d{0,2}[^\]]*$"):
         body = F.regexp_replace(strip(body), broken, "")
     role = F.lower(part(3))
     return split.select(
