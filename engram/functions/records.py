@@ -48,28 +48,39 @@ def repair_json(text: Column) -> Column:
     fixed = text
     for pattern, replacement in JSON_REPAIRS:
         fixed = F.regexp_replace(fixed, pattern, replacement)
-    fixed = F.trim(fixed)
     count = lambda c, ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
-    is_list = fixed.startswith("[") & ~fixed.endswith("]")
-    amputated = F.when(
-        is_list & fixed.rlike(r"(?s)\}\s*,"), F.concat(F.regexp_extract(fixed, r"(?s)^(.*\})\s*,", 1), F.lit("]"))
-    ).otherwise(fixed)
-    open_braces = F.greatest(count(amputated, "{") - count(amputated, "}"), F.lit(0))
-    open_lists = F.greatest(count(amputated, "[") - count(amputated, "]"), F.lit(0))
-    closable = (count(amputated, '"') % 2 == 0) & (open_braces + open_lists > 0)
-    closed = F.when(
-        closable,
-        F.concat(F.regexp_replace(amputated, r",\s*$", ""), F.repeat(F.lit("}"), open_braces), F.repeat(F.lit("]"), open_lists)),
-    ).otherwise(amputated)
+
+    def amputate(t: Column) -> Column:
+        cut_off = t.startswith("[") & ~t.endswith("]")
+        whole = F.regexp_extract(t, r"(?s)^(.*\})\s*,", 1)
+        return F.when(cut_off & (whole != ""), F.concat(whole, F.lit("]"))).otherwise(t)
+
+    def close(t: Column) -> Column:
+        braces = F.greatest(count(t, "{") - count(t, "}"), F.lit(0))
+        lists = F.greatest(count(t, "[") - count(t, "]"), F.lit(0))
+        closable = (count(t, '"') % 2 == 0) & (braces + lists > 0)
+        tail = F.concat(F.repeat(F.lit("}"), braces), F.repeat(F.lit("]"), lists))
+        return F.when(closable, F.concat(F.regexp_replace(t, r",\s*$", ""), tail)).otherwise(t)
+
+    closed = let(let(F.trim(fixed), amputate), close)
     return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(closed)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once; a plain expression would repeat it at every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_or_quarantine(df: DataFrame, col: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose (repaired) JSON parses, as struct `record`, and the rows that stay broken."""
-    tried = df.withColumn("_json", repair_json(F.col(col)))
-    ok = F.try_parse_json("_json").isNotNull()
-    good = tried.filter(ok).withColumn("record", F.from_json("_json", schema)).drop("_json")
-    return good, tried.filter(~F.coalesce(ok, F.lit(False))).drop("_json")
+    judged = let(
+        repair_json(F.col(col)),
+        lambda t: F.struct(F.try_parse_json(t).isNotNull().alias("ok"), F.from_json(t, schema).alias("record")),
+    )
+    # both sides read the same judgement; the generator keeps it from being inlined into each filter
+    tried = df.select("*", F.inline(F.array(judged)))
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return tried.filter(ok).drop("ok"), tried.filter(~ok).drop("ok", "record")
 
 
 ANSWER_SCHEMAS = {

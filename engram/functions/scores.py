@@ -14,7 +14,8 @@ def tag_proximity(a: Column, b: Column) -> Column:
     pa, pb = F.split(a, "-"), F.split(b, "-")
     part = lambda p, i: F.try_element_at(p, F.lit(i))
     gap = lambda i: F.abs(part(pa, i).try_cast("int") - part(pb, i).try_cast("int"))
-    near = lambda i: 1 - F.least(gap(i) / 100, F.lit(1.0))
+    # `least` skips nulls, so a part that is no number must stay null on its own
+    near = lambda i: F.when(gap(i).isNotNull(), 1 - F.least(gap(i) / 100, F.lit(1.0)))
     shaped = (F.size(pa) == 3) & (F.size(pb) == 3)
     score = (
         F.when(~shaped | (part(pa, 1) != part(pb, 1)), 0.1)

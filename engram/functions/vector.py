@@ -37,6 +37,11 @@ def _dictionary(pairs: Iterable[tuple[int, str]]) -> Column:
     return F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(w).alias("word")) for p, w in dict.fromkeys(pairs)])
 
 
+def _count_of(positions: Column, pos: int) -> Column:
+    # a lambda with a default argument would be read as one that takes the element's index
+    return F.size(F.filter(positions, lambda p: p == pos))
+
+
 def _hits(text: Column, dictionary: Column) -> Column:
     """Positions whose keywords occur as substrings, one entry per keyword."""
     return F.transform(F.filter(dictionary, lambda e: F.contains(text, e["word"])), lambda e: e["pos"])
@@ -80,7 +85,7 @@ def vectorise(
         for cls, pos in lx.CLASS_POSITIONS.items():
             by_words = F.lit(0.0)
             if class_hits is not None:
-                n = F.size(F.filter(class_hits, lambda p, pos=pos: p == pos))
+                n = _count_of(class_hits, pos)
                 by_words = F.least(F.lit(1.0), F.round(n / limit, 2))
             value = F.when(F.array_contains(tag_classes, cls), F.greatest(by_words, F.lit(0.8))).otherwise(by_words)
             classes.append(_entry(pos, value, value > 0))
@@ -153,7 +158,9 @@ def vector_json(vector: Column) -> Column:
 
 def json_vector(text: Column) -> Column:
     """Map from stored JSON; bad or missing JSON gives an empty map."""
-    return F.coalesce(F.from_json(text, VECTOR), F.create_map().cast(VECTOR))
+    # JSON keys are text
+    parsed = F.transform_keys(F.from_json(text, "map<string,double>"), lambda k, _: k.try_cast("int"))
+    return F.coalesce(F.map_filter(parsed, lambda k, v: v.isNotNull()), F.create_map().cast(VECTOR))
 
 
 def vector_stats(df: DataFrame) -> DataFrame:

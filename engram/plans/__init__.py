@@ -8,6 +8,7 @@ def _load() -> None:
         queries_aggregates,
         queries_filters,
         queries_graph,
+        queries_jobs,
         queries_tables,
     )
 

@@ -225,28 +225,33 @@ SEARCH_CTE = f"""q(query_id, keywords, tags, persons, t0, t1, ev, ea, w_tags, w_
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored)"""
 
 
+def stored_segments(d):
+    """Segments with their vectors, as the ingest job stores them."""
+    return materialise(vec.vectorise(d.segments))
+
+
 @query("srch1_hybrid_search", f"WITH {SEARCH_CTE} SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= top_k")
 def _(d):
-    seg = vec.vectorise(d.segments)
+    seg = stored_segments(d)
     hits = search.hybrid_search(seg, SEARCHES, NOW)
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("srch1a_scores", f"WITH {SEARCH_CTE} SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n, round(sum(score), 4) AS total FROM scored GROUP BY query_id")
 def _(d):
-    pairs = search.score_pairs(vec.vectorise(d.segments), SEARCHES, NOW)
+    pairs = search.score_pairs(stored_segments(d), SEARCHES, NOW)
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
 @query("join12_score_pairs", f"WITH {SEARCH_CTE} SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score FROM scored")
 def _(d):
-    pairs = search.score_pairs(vec.vectorise(d.segments), SEARCHES, NOW)
+    pairs = search.score_pairs(stored_segments(d), SEARCHES, NOW)
     return pairs.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("srch1_answer_context")
 def _(d):
-    return search.answer_context(search.hybrid_search(vec.vectorise(d.segments), SEARCHES, NOW), max_tokens=200)
+    return search.answer_context(search.hybrid_search(stored_segments(d), SEARCHES, NOW), max_tokens=200)
 
 
 @query(
@@ -292,7 +297,7 @@ def _(d):
 )
 def _(d):
     mask = scores.mask_of({"emotion": 0.5, "tags_roget": 0.25, "timestamp": 0.25})
-    return vec.vectorise(d.segments).select("id", F.round(scores.resonance_score(F.col("vecteur"), mask), 6).alias("resonance"))
+    return stored_segments(d).select("id", F.round(scores.resonance_score(F.col("vecteur"), mask), 6).alias("resonance"))
 
 
 @query(
@@ -488,13 +493,13 @@ CLASS_WORDS = [(61, "user"), (61, "props"), (64, "error"), (66, "person1"), (66,
 VECTOR_SQL = (
     """WITH b AS (SELECT *, lower(lieux[1]) AS place, lower(concat_ws(' ', tags_roget[1], resume_texte, personnes[1], personnes[2], lieux[1], projets[1])) AS bag FROM segments),
     cls AS (SELECT id, 60 + CAST(substring(tags_roget[1], 2, 1) AS INT) AS tagged, len(string_split(bag, ' ')) AS n_words, bag FROM b),
-    hits AS (SELECT id, p.pos, max(tagged = p.pos) AS tagged, count_if(contains(bag, k.w)) / CASE WHEN any_value(n_words) < 20 THEN 1 ELSE 3 END AS s FROM cls, (SELECT unnest(range(61, 67)) AS pos) p LEFT JOIN (VALUES """
+    hits AS (SELECT id, p.pos, max(tagged = p.pos) AS tagged, coalesce(count_if(contains(bag, k.w)), 0) / CASE WHEN any_value(n_words) < 20 THEN 1 ELSE 3 END AS s FROM cls, (SELECT unnest(range(61, 67)) AS pos) p LEFT JOIN (VALUES """
     + ", ".join(f"({p}, '{w}')" for p, w in CLASS_WORDS)
     + """) k(pos, w) ON k.pos = p.pos GROUP BY id, p.pos)
-    SELECT id, 1 AS position, round(emotion_valence, 3) AS value FROM b WHERE emotion_valence <> 0
+    SELECT id, CAST(1 AS INT) AS position, round(emotion_valence, 3) AS value FROM b WHERE emotion_valence <> 0
     UNION ALL SELECT id, 2, round(emotion_activation, 3) FROM b WHERE emotion_activation <> 0
     UNION ALL """ + _kw_sql("place", lx.PLACE_KEYWORDS) + "\nUNION ALL " + _kw_sql("bag", lx.THEME_KEYWORDS)
-    + """\nUNION ALL SELECT id, pos, greatest(least(1.0, round(s, 2)), CASE WHEN tagged THEN 0.8 ELSE 0 END) FROM hits WHERE s > 0 OR tagged"""
+    + """\nUNION ALL SELECT id, CAST(pos AS INT), greatest(least(1.0, round(s, 2)), CASE WHEN tagged THEN 0.8 ELSE 0 END) FROM hits WHERE s > 0 OR tagged"""
 )
 
 
@@ -657,7 +662,7 @@ def _(d):
 )
 def _(d):
     k = F.col("doc_id") % 8
-    samples = ["def f(x): pass", "\\frac{a}{b}", "<DIV>x</DIV>", "select a, b from t where c", "const f = (x) => x", "#!/bin/sh\nls", '{"a": [1, 2]}', "x = y"]
+    samples = ["def f(x): pass", "\\frac{a}{b}", "<DIV>x</DIV>", "SELECT A FROM T", "const f = (x) => x", "#!/bin/sh\nls", '{"a": [1, 2]}', "x = y"]
     code = F
     for i, s in enumerate(samples):
         code = code.when(k == i, F.concat(F.lit(s), F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int"))))

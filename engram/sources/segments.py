@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from engram import schema
 from engram.functions import dates
 from engram.functions.text import TS, neutralise_markers, strip
+from engram.functions.vector import json_vector
 from engram.operators.filters import in_scope
 
 
@@ -37,7 +38,7 @@ def conform_segments(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.ArrayType) and isinstance(have, T.StringType):
             col = json_list(col)
         elif isinstance(field.dataType, T.MapType) and isinstance(have, T.StringType):
-            col = F.coalesce(F.from_json(col, field.dataType), F.create_map().cast(field.dataType))
+            col = json_vector(col)
         elif isinstance(field.dataType, T.TimestampType) and isinstance(have, T.StringType):
             col = dates.iso_to_ts(col)
         else:
