@@ -43,10 +43,12 @@ def mask_of(weights: Mapping[str, float]) -> dict[int, float]:
 
 def resonance(vector: Column, mask: Mapping[int, float]) -> Column:
     """Dot product of a sparse vector with a mask, rounded to 4 places."""
-    total = F.lit(0.0)
-    for pos, weight in mask.items():
-        total = total + F.coalesce(F.try_element_at(vector, F.lit(pos)), F.lit(0.0)) * weight
-    return F.round(total, 4)
+    if not mask:
+        return F.lit(0.0)
+    # the mask is one constant map; vectors have few entries
+    weights = F.expr("map(" + ", ".join(f"{p}, {w!r}D" for p, w in mask.items()) + ")")
+    part = lambda e: F.coalesce(F.try_element_at(weights, e["key"]), F.lit(0.0)) * e["value"]
+    return F.round(F.aggregate(F.map_entries(vector), F.lit(0.0), lambda acc, e: acc + part(e)), 4)
 
 
 def resonance_score(vector: Column, mask: Mapping[int, float]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -33,8 +34,9 @@ def _entry(pos: int, value: Column, present: Column) -> Column:
 
 
 def _dictionary(pairs: Iterable[tuple[int, str]]) -> Column:
-    """Literal array of (position, keyword); folded to a constant by the optimizer."""
-    return F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(w).alias("word")) for p, w in dict.fromkeys(pairs)])
+    """Constant array of (position, keyword); as one JSON literal, since a call per keyword is slow to build."""
+    rows = [{"pos": p, "word": w} for p, w in dict.fromkeys(pairs)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<pos:int,word:string>>")
 
 
 def _count_of(positions: Column, pos: int) -> Column:

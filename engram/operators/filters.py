@@ -22,10 +22,14 @@ def like(col: Column, word: str) -> Column:
     return F.contains(F.lower(col), F.lit(word.lower()))
 
 
-def list_like(col: Column, word: str) -> Column:
+def haystack(*cols: str) -> Column:
+    """Lower-case text of several columns (texts or lists), one item per line; missing ones are left out."""
+    return F.lower(F.concat_ws("\n", *cols))
+
+
+def list_like(col: str, word: str) -> Column:
     """Substring inside any element of an array."""
-    low = word.lower()
-    return F.exists(F.coalesce(col, F.array().cast("array<string>")), lambda x: F.contains(F.lower(x), F.lit(low)))
+    return F.contains(haystack(col), F.lit(word.lower()))
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -62,14 +66,10 @@ def candidate_predicate(
         cond = cond & (F.col("timestamp") <= at(end))
     if keywords and not persons:
         cond = cond & any_of(
-            [
-                like(F.col("resume_texte"), w) | list_like(F.col("sujets"), w) | list_like(F.col("projets"), w)
-                | list_like(F.col("lieux"), w)
-                for w in keywords[:5]
-            ]
+            [F.contains(haystack("resume_texte", "sujets", "projets", "lieux"), F.lit(w.lower())) for w in keywords[:5]]
         )
     if tags:
-        cond = cond & any_of([list_like(F.col("tags_roget"), t) for t in tags])
+        cond = cond & any_of([list_like("tags_roget", t) for t in tags])
     if persons:
         cond = cond & any_of([F.contains(normalize_list(F.col("personnes")), fold(F.lit(p))) for p in persons[:3]])
     return cond
@@ -90,13 +90,15 @@ def search_by_person(seg: DataFrame, person: str, k: int = 10) -> DataFrame:
 
 
 def search_by_tags(seg: DataFrame, tags: Sequence[str], k: int = 10) -> DataFrame:
-    return newest(seg.filter(any_of([list_like(F.col("tags_roget"), t) for t in tags])), k)
+    return newest(seg.filter(any_of([list_like("tags_roget", t) for t in tags])), k)
+
+
+KEYWORD_FIELDS = ("resume_texte", "sujets", "personnes", "projets")
 
 
 def search_keyword(seg: DataFrame, word: str, k: int = 50) -> DataFrame:
     """Keyword in summary, subjects, persons or projects, newest first."""
-    hit = any_of([like(F.col("resume_texte"), word)] + [list_like(F.col(c), word) for c in ("sujets", "personnes", "projets")])
-    return newest(seg.filter(hit), k)
+    return newest(seg.filter(F.contains(haystack(*KEYWORD_FIELDS), F.lit(word.lower()))), k)
 
 
 # --- audits --------------------------------------------------------------------------------------
@@ -179,11 +181,11 @@ def emotional_resonance(seg: DataFrame, valence: float | None = None, activation
 
 
 def project_timeline(seg: DataFrame, word: str, k: int = 10) -> DataFrame:
-    return oldest(seg.filter(list_like(F.col("projets"), word) | like(F.col("resume_texte"), word)), k)
+    return oldest(seg.filter(list_like("projets", word) | like(F.col("resume_texte"), word)), k)
 
 
 def relation_history(seg: DataFrame, name: str, k: int = 10) -> DataFrame:
-    return oldest(seg.filter(list_like(F.col("personnes"), name)), k)
+    return oldest(seg.filter(list_like("personnes", name)), k)
 
 
 def daily_window(seg: DataFrame, now: datetime, hours: int = 24) -> DataFrame:

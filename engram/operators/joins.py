@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from engram.operators.filters import like, list_like
+from engram.operators.filters import KEYWORD_FIELDS, haystack, like
 from engram.session import materialise
 
 
@@ -187,9 +187,7 @@ def person_lookup(persons: DataFrame, term: str) -> DataFrame:
 
 def newest_hit(seg: DataFrame, term: str):
     """Aggregate for the newest segment that mentions a term."""
-    hit = like(F.col("resume_texte"), term) | list_like(F.col("sujets"), term) | list_like(F.col("personnes"), term) | list_like(
-        F.col("projets"), term
-    )
+    hit = F.contains(haystack(*KEYWORD_FIELDS), F.lit(term.lower()))
     return F.max_by("id", F.when(F.coalesce(hit, F.lit(False)), F.struct("timestamp", -F.col("id"))))
 
 

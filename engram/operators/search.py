@@ -80,15 +80,15 @@ def score_pairs(seg: DataFrame, queries: Sequence[Query], now: datetime) -> Data
     """
     if not 0 < len(queries) <= MAX_QUERIES:
         raise ValueError(f"1 to {MAX_QUERIES} queries per call")
+    accepts = [q.predicate() for q in queries]
     scored = [
         F.when(
-            q.predicate(),
+            accept,
             F.struct(F.lit(q.query_id).cast("long").alias("query_id"), hybrid_score(q, now).alias("score"), F.lit(q.top_k).alias("top_k")),
         )
-        for q in queries
+        for q, accept in zip(queries, accepts)
     ]
-    accepted = flt.any_of([q.predicate() for q in queries])
-    return seg.filter(accepted).select("*", F.explode(F.filter(F.array(*scored), lambda s: s.isNotNull())).alias("_s")).select(
+    return seg.filter(flt.any_of(accepts)).select("*", F.explode(F.filter(F.array(*scored), lambda s: s.isNotNull())).alias("_s")).select(
         *seg.columns, "_s.*"
     )
 
@@ -144,14 +144,8 @@ def ranked_union(hits: DataFrame, cap: int, id_: str = "id", rank: str = "term_r
 
 def _term_hits(seg: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
     """Newest k hits per term with the term's rank, in one scan."""
-    fields = ("sujets", "personnes", "projets")
-    flags = [
-        F.when(
-            F.coalesce(flt.any_of([flt.like(F.col("resume_texte"), t)] + [flt.list_like(F.col(c), t) for c in fields]), F.lit(False)),
-            F.lit(i),
-        )
-        for i, t in enumerate(terms)
-    ]
+    text = flt.haystack(*flt.KEYWORD_FIELDS)
+    flags = [F.when(F.contains(text, F.lit(t.lower())), F.lit(i)) for i, t in enumerate(terms)]
     hits = seg.select("id", "timestamp", F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())).alias("term_rank"))
     return windows.top_k(hits, ["term_rank"], [F.desc("timestamp"), F.asc("id")], k, "_k").drop("_k")
 

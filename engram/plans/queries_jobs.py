@@ -47,14 +47,14 @@ def _(d):
 
 @query(
     "sdk2_layout",
-    """SELECT strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_custkey >= 0 AND o_custkey < 1000 THEN CAST(CAST(floor(o_custkey / 100) * 100 AS BIGINT) AS VARCHAR) ELSE '__UNPARTITIONED__' END AS bucket, count(*) AS n FROM orders GROUP BY ALL""",
+    """SELECT strftime(o_orderdate, '%Y') AS year, CASE WHEN o_custkey >= 0 AND o_custkey < 1000 THEN CAST(CAST(floor(o_custkey / 100) * 100 AS BIGINT) AS VARCHAR) ELSE '__UNPARTITIONED__' END AS bucket, count(*) AS n FROM orders GROUP BY ALL""",
 )
 def _(d):
-    out, parts = tables.layout(d.orders, "o_orderdate", "MONTH", "o_custkey,0,1000,100", cluster=["o_orderkey"])
+    out, parts = tables.layout(d.orders, "o_orderdate", "YEAR", "o_custkey,0,1000,100", cluster=["o_orderkey"])
     path = scratch_path(d.spark, "layout")
     out.write.partitionBy(*parts).parquet(path)
     back = tables.discover(d.spark, path, "STRINGS")
-    return back.groupBy(F.col("_part_time").alias("month"), F.col("_part_range").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy(F.col("_part_time").alias("year"), F.col("_part_range").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sdk3_append_evolve", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 2 = 1")
@@ -280,12 +280,20 @@ def _(d):
     return d.spark.read.parquet(path).select("id", "confidence_score")
 
 
-@query("str2_idle_monitor")
+IDLE = "source STRING, received LONG"
+
+
+@query("str2_idle_monitor", "SELECT source_file AS source, count(*) AS received FROM segments GROUP BY source_file")
 def _(d):
-    # registers timers for every source; a bounded run ends before the gap passes
+    # timers need a running query: it ends once every source was reported quiet
     path, ckpt = _out(d, "idle")
-    jobs.run_once(jobs.idle_monitor(live_segments(d), "source_file", 3600.0), path, ckpt)
-    return d.spark.read.schema("source STRING, received LONG").parquet(path)
+    want = d.segments.select("source_file").distinct().count()
+
+    def reported() -> bool:
+        return d.spark.read.schema(IDLE).parquet(path).count() >= want
+
+    jobs.run_until(jobs.idle_monitor(live_segments(d), "source_file", 1.0), path, ckpt, reported)
+    return d.spark.read.schema(IDLE).parquet(path)
 
 
 @query("str3_rolling_window")

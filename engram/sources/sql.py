@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from datetime import date, datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -61,20 +64,29 @@ def execute_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], r
     return spark.sql(sql)
 
 
+# declared type: how its text becomes a value
+CONVERT = {
+    "STRING": str, "INT64": int, "BIGINT": int, "INT": int, "FLOAT64": float, "DOUBLE": float, "NUMERIC": Decimal,
+    "BOOL": lambda v: v.lower() == "true", "BOOLEAN": lambda v: v.lower() == "true", "DATE": date.fromisoformat,
+    "TIMESTAMP": lambda v: datetime.fromisoformat(v).replace(tzinfo=timezone.utc), "BYTES": lambda v: bytearray(v, "utf-8"),
+}
+
+
 def parse_parameter(text: str) -> tuple[str, object]:
-    """`name:type:value` to (name, literal column); no type means STRING, the value NULL is null."""
+    """`name:type:value` to (name, value); no type means STRING, the value NULL is null, arrays are JSON."""
     parts = text.split(":", 2)
     if len(parts) != 3:
         raise ValueError("parameters look like name:type:value, :type:value or name::value")
     name, kind, value = parts
-    kind = {"": "STRING", "INT64": "BIGINT", "FLOAT64": "DOUBLE", "BOOL": "BOOLEAN", "NUMERIC": "DECIMAL(38,9)", "BYTES": "BINARY"}.get(
-        kind.upper(), kind.upper()
-    )
+    kind = kind.upper() or "STRING"
     if value == "NULL":
-        return name, F.lit(None).cast(kind)
+        return name, None
     if kind.startswith("ARRAY<"):
-        return name, F.from_json(F.lit(value), kind)
-    return name, F.lit(value).cast(kind)
+        convert = CONVERT[kind[6:-1]]
+        return name, F.array(*[F.lit(convert(str(v))) for v in json.loads(value)])
+    if kind not in CONVERT:
+        raise ValueError(f"parameter type {kind} is not supported")
+    return name, CONVERT[kind](value)
 
 
 def query(spark: SparkSession, sql: str, params: Sequence[str] = (), views: Mapping[str, DataFrame] | None = None) -> DataFrame:
@@ -85,5 +97,6 @@ def query(spark: SparkSession, sql: str, params: Sequence[str] = (), views: Mapp
     named = [p for p in parsed if p[0]]
     if named and len(named) != len(parsed):
         raise ValueError("either all parameters have a name or none has")
-    args = dict(parsed) if named else [v for _, v in parsed]
-    return spark.sql(sql, args=args) if params else spark.sql(sql)
+    if not params:
+        return spark.sql(sql)
+    return spark.sql(sql, args=dict(parsed) if named else [v for _, v in parsed])

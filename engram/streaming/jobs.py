@@ -3,6 +3,7 @@ checkpoint folder the caller names (on a cluster: below `spark.checkpoint.dir`).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -41,6 +42,22 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return query
 
 
+def run_until(stream: DataFrame, path: str, checkpoint: str, done: Callable[[], bool], seconds: float = 60.0) -> None:
+    """Run with a short trigger until `done()` or the time is over. For jobs whose output comes from timers."""
+    query = (
+        stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(processingTime="500 milliseconds").start()
+    )
+    end = time.monotonic() + seconds
+    try:
+        while query.isActive and time.monotonic() < end:
+            if query.lastProgress and done():
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+
+
 def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     query = stream.writeStream.outputMode(mode).foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
