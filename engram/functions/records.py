@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from engram.functions import let
 from engram.functions.scores import fix_tag
 
 NOT_INDEXABLE_BELOW = 3  # characters
@@ -66,11 +67,6 @@ def repair_json(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(closed)
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with `value` computed once; a plain expression would repeat it at every use."""
-    return F.transform(F.array(value), body)[0]
-
-
 def parse_or_quarantine(df: DataFrame, col: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose (repaired) JSON parses, as struct `record`, and the rows that stay broken."""
     judged = let(

@@ -110,16 +110,67 @@ def union_edges(*parts: DataFrame) -> DataFrame:
     return best.select(*EDGE_KEY, "e.*")
 
 
+def _followed(seg: DataFrame, minimum: float) -> DataFrame:
+    """One row per thing a rule follows: (kind, entity, timestamp, id, pos, val, act)."""
+    kind = "struct<kind:string,entity:string,pos:int,val:double,act:double>"
+    row = lambda k, e, p=F.lit(0), v=F.lit(None), a=F.lit(None): F.struct(
+        F.lit(k).alias("kind"), e.alias("entity"), p.cast("int").alias("pos"), v.cast("double").alias("val"), a.cast("double").alias("act")
+    )
+    none = F.array().cast(f"array<{kind}>")
+
+    def names(col: str, link: str) -> Column:
+        clean = F.array_distinct(F.filter(F.transform(col, lambda e: F.trim(e)), lambda e: e != ""))
+        return F.coalesce(F.transform(clean, lambda e, i: row(link, e, i)), none)
+
+    tag = F.try_element_at("tags_roget", F.lit(1))
+    act = F.coalesce(F.nullif(F.col("emotion_activation"), F.lit(0.0)), F.lit(0.5))
+    tags = F.when(F.coalesce(tag, F.lit("")) != "", F.array(row("TAGS_PARTAGES", tag))).otherwise(none)
+    peaks = F.when(
+        F.coalesce(F.abs("emotion_valence") >= minimum, F.lit(False)),
+        F.array(row("RESONANCE_EMOTION", F.lit(""), v=F.col("emotion_valence"), a=act)),
+    ).otherwise(none)
+    rows = F.concat(names("personnes", "LIEN_PERSONNE"), names("projets", "LIEN_PROJET"), tags, peaks)
+    return seg.select("id", "timestamp", F.inline(rows))
+
+
+def weave_sequences(seg: DataFrame, minimum: float = 0.6, distance: float = 0.10, peaks: int = 20, tags: int = 10) -> DataFrame:
+    """All edges that follow a sequence (people, projects, tags, emotion peaks) from a single ordered scan.
+
+    The segments are read, sorted and checkpointed once for four rules. The same edges as the single rules give.
+    """
+    scanned = o.ordered_scan(
+        _followed(seg, minimum), ["kind", "entity"], ["timestamp", "id"], {"prev_id": o.lag("id"), "_rn": o.rows_before()}
+    )
+    chains = scanned.filter("kind IN ('LIEN_PERSONNE', 'LIEN_PROJET') AND prev_id IS NOT NULL AND prev_id <> id")
+    chains = chains.groupBy("kind", "prev_id", "id").agg(F.min_by("entity", "pos").alias("entity")).select(
+        F.col("prev_id").alias("source_id"), F.col("id").alias("target_id"), F.col("kind").alias("type"), F.lit(1.5).alias("poids"),
+        _meta(sujet=F.col("entity")).alias("metadata"),
+    )
+    # rows within a window meet in buckets of the window's width
+    near = scanned.filter("kind IN ('TAGS_PARTAGES', 'RESONANCE_EMOTION')")
+    width = F.when(F.col("kind") == "TAGS_PARTAGES", tags).otherwise(peaks)
+    bucket = F.floor(F.col("_rn") / width)
+    current = near.withColumn("_b", bucket)
+    earlier = near.select(
+        "kind", "entity", F.col("id").alias("_id"), F.col("val").alias("_val"), F.col("act").alias("_act"), F.col("_rn").alias("_prev"),
+        F.explode(F.array(bucket, bucket + 1)).alias("_b"),
+    )
+    gap = F.col("_rn") - F.col("_prev")
+    far = F.sqrt(F.pow(F.col("val") - F.col("_val"), 2) + F.pow(F.col("act") - F.col("_act"), 2))
+    is_tag = F.col("kind") == "TAGS_PARTAGES"
+    pairs = current.join(earlier, ["kind", "entity", "_b"]).filter((gap >= 1) & (gap <= width) & (is_tag | (far < distance)))
+    windows = pairs.select(
+        F.col("_id").alias("source_id"), F.col("id").alias("target_id"), F.col("kind").alias("type"),
+        F.when(is_tag, lx.LINK_WEIGHTS["TAGS_PARTAGES"]).otherwise(lx.LINK_WEIGHTS["RESONANCE_EMOTION"]).alias("poids"),
+        F.when(is_tag, _meta(tag=F.col("entity"))).otherwise(_meta(val=F.round("val", 2), act=F.round("act", 2))).alias("metadata"),
+    )
+    return chains.unionByName(windows)
+
+
 def rebuild_graph(seg: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """All woven edges, plus the stored edges of hand-made types, which a rebuild must not lose."""
-    woven = [
-        weave_entities(seg, "personnes", "LIEN_PERSONNE"), weave_entities(seg, "projets", "LIEN_PROJET"),
-        weave_emotions(seg), weave_blocks(seg), weave_tags(seg),
-    ]
     # within one rule a key occurs once, and types differ between rules: a plain union has unique keys
-    out = woven[0]
-    for part in woven[1:]:
-        out = out.unionByName(part)
+    out = weave_sequences(seg).unionByName(weave_blocks(seg))
     if existing is None:
         return out
     kinds = [k for k in lx.LINK_WEIGHTS if k != "LIEN_VERSION"]

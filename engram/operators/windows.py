@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from engram.functions import let
 from engram.operators import ordered as o
 from engram.functions.text import token_count
 
@@ -132,31 +133,42 @@ def chunk_tokens(docs: DataFrame, size: int = CHUNK_THRESHOLD - CHUNK_OVERLAP, t
     Tokens keep the white space before them, so chunks joined give the text back. Each text is folded on its own
     in native code: the state is the list of chunk ends, and one step looks at one slice of tokens.
     """
-    tokens = F.regexp_extract_all(text, F.lit(r"\s*\S+|\s+$"), F.lit(0))
-    rows = docs.withColumn("_t", tokens)
-    # positions (1-based) of tokens that begin with a newline: a cut may fall before them
-    breaks = F.filter(
-        F.transform("_t", lambda t, i: F.when(t.rlike(r"^\s*\n"), i + 1).otherwise(F.lit(0))), lambda p: p > 0
-    )
-    n = F.size("_t")
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(n / F.lit(max(1, size // 2))), F.lit(1)).cast("int"))
-
-    def step(acc, _):
-        start, limit = acc["start"], acc["start"] + size
-        inside = F.filter("_breaks", lambda p: (p > start + size / 2 + 1) & (p <= limit))
-        cut = F.when(limit > n, n + 1).otherwise(F.coalesce(F.array_max(inside), limit)).cast("int")
-        return F.when(start > n, acc).otherwise(
-            F.struct(cut.alias("start"), F.array_append(acc["chunks"], F.struct(start.alias("a"), cut.alias("b"))).alias("chunks"))
+    half = max(1, size // 2)
+    span = "array<struct<a:int,b:int>>"
+
+    def spans(t: Column) -> Column:
+        """(first, after-last) token numbers of the chunks of a long text."""
+        n = F.size(t)
+        # a cut may fall before a token whose white space holds a newline
+        breaks = F.filter(F.transform(t, lambda w, i: F.when(F.contains(w, F.lit("\n")), i + 1).otherwise(0)), lambda p: p > 0)
+
+        def cut(b: Column) -> Column:
+            def step(acc, _):
+                start, limit = acc["start"], acc["start"] + size
+                inside = F.array_max(F.filter(b, lambda p: (p > start + half) & (p <= limit)))
+                after = F.when(limit > n, n + 1).otherwise(F.coalesce(inside, limit)).cast("int")
+                grown = F.struct(after.alias("start"), F.array_append(acc["chunks"], F.struct(start.alias("a"), after.alias("b"))).alias("chunks"))
+                return F.when(start > n, acc).otherwise(grown)
+
+            zero = F.struct(F.lit(1).alias("start"), F.array().cast(span).alias("chunks"))
+            steps = F.sequence(F.lit(1), F.ceil(n / F.lit(half)).cast("int"))
+            return F.aggregate(steps, zero, step)["chunks"]
+
+        return let(breaks, cut)
+
+    def chunks(t: Column) -> Column:
+        whole = F.array(F.struct(F.lit(1).alias("a"), (F.size(t) + 1).alias("b")))
+        return F.transform(
+            F.when(F.size(t) <= size, whole).otherwise(spans(t)),
+            lambda c: F.struct(
+                (c["b"] - c["a"]).alias("n_tokens"), F.array_join(F.slice(t, c["a"], c["b"] - c["a"]), "").alias("content")
+            ),
         )
 
-    zero = F.struct(F.lit(1).alias("start"), F.array().cast("array<struct<a:int,b:int>>").alias("chunks"))
-    chunks = F.aggregate(steps, zero, step)["chunks"]
-    out = rows.withColumn("_breaks", breaks).withColumn("_chunks", chunks)
+    # everything stays inside the generator: a column of its own would be computed again for the non-empty test
+    tokens = F.regexp_extract_all(text, F.lit(r"\s*\S+|\s+$"), F.lit(0))
     keep = [c for c in docs.columns if c != text]
-    return out.select(*keep, "_t", F.posexplode("_chunks").alias("chunk_index", "c")).select(
-        *keep, "chunk_index", (F.col("c.b") - F.col("c.a")).alias("n_tokens"),
-        F.array_join(F.slice("_t", F.col("c.a"), F.col("c.b") - F.col("c.a")), "").alias("content"),
-    )
+    return docs.select(*keep, F.posexplode(let(tokens, chunks)).alias("chunk_index", "c")).select(*keep, "chunk_index", "c.*")
 
 
 def overlap_tail(text: Column, tokens: int = CHUNK_OVERLAP) -> Column:

@@ -233,7 +233,7 @@ def _(d):
     UNION ALL SELECT 2, count(*), round(avg(round(emotion_activation, 3)), 6) FROM segments WHERE emotion_activation <> 0""",
 )
 def _(d):
-    stats = vec.vector_stats(vec.vectorise(d.segments)).filter("position <= 2")
+    stats = vec.vector_stats(vec.vectorise(d.wide("segments"))).filter("position <= 2")
     return stats.select("position", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
@@ -377,7 +377,7 @@ def _(d):
 )
 def _(d):
     # chunks must give every text back whole
-    chunks = win.chunk_tokens(d.documents.select("doc_id", "text"), size=400)
+    chunks = win.chunk_tokens(d.wide("documents").select("doc_id", "text"), size=400)
     return chunks.groupBy("doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum(F.length("content")).cast("long").alias("chars")
     )
@@ -470,5 +470,5 @@ def _(d):
     .replace("{u}", emb.lx.UNACCENTED).replace("{stop}", ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(emb.lx.CORPUS_STOPWORDS)))),
 )
 def _(d):
-    corpus = emb.build_corpus(d.documents, "doc_id")
+    corpus = emb.build_corpus(d.wide("documents"), "doc_id")
     return corpus.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))

@@ -176,7 +176,7 @@ def _(d):
     FROM e""",
 )
 def _(d):
-    hits = flt.search_text(d.documents.select("doc_id", "text"), "th*and")
+    hits = flt.search_text(d.wide("documents").select("doc_id", "text"), "th*and")
     return hits.select("doc_id", F.col("match_no").cast("long"), F.lower("matched").alias("matched"), F.col("position").cast("long"))
 
 
@@ -187,7 +187,7 @@ def _(d):
       '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), 1, 500) AS context FROM m""",
 )
 def _(d):
-    hits = flt.search_text(d.documents.select("doc_id", "text"), "nnting", context=5).filter("match_no = 0")
+    hits = flt.search_text(d.wide("documents").select("doc_id", "text"), "nnting", context=5).filter("match_no = 0")
     return hits.select("doc_id", F.col("position").cast("long"), "context")
 
 
@@ -309,7 +309,7 @@ def _correction_sql() -> str:
 @query("flt26_detect_corrections", _correction_sql())
 def _(d):
     # the invented prose holds no corrections, so marker phrases are woven into every text
-    docs = d.documents.select("doc_id", F.concat(F.lit("non, c'est "), F.replace("text", F.lit(", "), F.lit(", c'est pas "))).alias("text"))
+    docs = d.wide("documents").select("doc_id", F.concat(F.lit("non, c'est "), F.replace("text", F.lit(", "), F.lit(", c'est pas "))).alias("text"))
     return flt.detect_corrections(docs, "doc_id").select(
         "doc_id", F.col("line_no").cast("long"), "pattern_no", "ancien_fait", "nouveau_fait"
     )

@@ -227,7 +227,7 @@ SEARCH_CTE = f"""q(query_id, keywords, tags, persons, t0, t1, ev, ea, w_tags, w_
 
 def stored_segments(d):
     """Segments with their vectors, as the ingest job stores them."""
-    return materialise(vec.vectorise(d.segments))
+    return materialise(vec.vectorise(d.wide("segments")))
 
 
 @query("srch1_hybrid_search", f"WITH {SEARCH_CTE} SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= top_k")
@@ -319,7 +319,7 @@ BM25_CTE = POSTINGS_CTE + """, hits AS (SELECT doc_id, t, sum(tf) AS tf FROM pos
 
 
 def index(d):
-    files = d.files
+    files = d.wide("files")
     return fts.build_postings(files, "id", FIELDS), fts.build_doc_stats(files, "id", FIELDS)
 
 
@@ -379,7 +379,7 @@ def _(d):
 
 
 def _model(d):
-    corpus = emb.build_corpus(d.documents, "doc_id")
+    corpus = emb.build_corpus(d.wide("documents"), "doc_id")
     return emb.vectors_table(emb.train_word2vec(materialise(corpus), size=32, epochs=1, partitions=4))
 
 
@@ -424,13 +424,13 @@ CORPUS_SQL = r"""corpus AS (SELECT doc_id, list_filter(regexp_extract_all(lower(
     WHERE c_ab >= 2 AND (c_ab - 2) / x.c / y.c * n > 5""",
 )
 def _(d):
-    phrases = emb.detect_phrases(materialise(emb.build_corpus(d.documents, "doc_id")))
+    phrases = emb.detect_phrases(materialise(emb.build_corpus(d.wide("documents"), "doc_id")))
     return phrases.select("phrase", "c_ab", F.round("score", 6).alias("score"))
 
 
 @query("emb2_apply_phrases")
 def _(d):
-    corpus = materialise(emb.build_corpus(d.documents, "doc_id"))
+    corpus = materialise(emb.build_corpus(d.wide("documents"), "doc_id"))
     out = emb.apply_phrases(corpus, emb.detect_phrases(corpus), ["doc_id", "par_no"])
     return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda w: F.contains(w, F.lit("_")))).alias("n_phrases"))
 
@@ -459,11 +459,23 @@ def _(d):
 @query("emb5_expand_queries")
 def _(d):
     vectors = materialise(_model(d))
-    near = emb.neighbour_table(vectors, n=5, minimum=0.9)
     asked = d.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    near = emb.neighbour_table(vectors, emb.query_words(asked), n=5, minimum=0.5)
     return emb.expand_queries(asked, near, 15)
 
 
+@query(
+    "emb5_neighbour_table",
+    f"""WITH e AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS term, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT q.term AS source, e.term, round({COSINE_EMB}, 9) AS score FROM e JOIN e q ON e.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s WHERE score >= 0.3)
+    SELECT source, term, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""",
+)
+def _(d):
+    vectors = d.embeddings.select(F.col("vec_id").cast("string").alias("term"), "embedding")
+    return emb.neighbour_table(vectors, vectors, n=3, minimum=0.3).withColumn("score", F.round("score", 6))
+
+
 @query("emb6_model_stats", "SELECT count(*) AS vocabulary, CAST(max(len(embedding)) AS INT) AS dimensions FROM embeddings")
 def _(d):
     return emb.model_stats(d.embeddings)
@@ -478,7 +490,7 @@ def _(d):
 
 @query("emb8_suggest_terms", f"WITH {CORPUS_SQL} SELECT DISTINCT w AS term FROM (SELECT unnest(w) AS w FROM kept) WHERE contains(w, 'oth') ORDER BY term LIMIT 10")
 def _(d):
-    vocabulary = emb.build_corpus(d.documents, "doc_id").select(F.explode("tokens").alias("term")).distinct()
+    vocabulary = emb.build_corpus(d.wide("documents"), "doc_id").select(F.explode("tokens").alias("term")).distinct()
     return emb.suggest_terms(vocabulary, "OTH")
 
 
@@ -505,7 +517,7 @@ VECTOR_SQL = (
 
 @query("vec1_vectorise", VECTOR_SQL)
 def _(d):
-    out = vec.vectorise(d.segments, class_keywords=CLASS_WORDS)
+    out = vec.vectorise(d.wide("segments"), class_keywords=CLASS_WORDS)
     return out.select("id", F.explode_outer("vecteur").alias("position", "value")).filter("position IS NOT NULL")
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.plans.views import table, view, with_views
+from engram.plans.views import VIEWS, table, view, with_views
+from engram.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -19,10 +20,12 @@ class Data:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        from engram.plans.views import VIEWS
-
         return view(self.spark, self.sf_dir, name) if name in VIEWS else table(self.spark, self.sf_dir, name)
 
+    def wide(self, name: str) -> DataFrame:
+        """The table for heavy row work: spread over the cores when its few files would keep most of them idle."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, check: str | None = None):
     """Register `fn(d: Data) -> DataFrame`; `check` is the same result in plain SQL."""

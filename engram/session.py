@@ -56,3 +56,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, so lost executors never force a different result."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy row work when the input has fewer splits than cores (a few files of one row group).
+
+    On a large table the splits outnumber the cores and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
