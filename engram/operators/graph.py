@@ -212,14 +212,17 @@ def link_types(types: Sequence[str] | None) -> list[str]:
     return valid
 
 
-def _step(frontier: DataFrame, edges: DataFrame, members: DataFrame | None) -> DataFrame:
-    """(start, node, weight rank, type) one hop from the frontier (start, here)."""
+def _step(frontier: DataFrame, edges: DataFrame, members: DataFrame | None, reported: DataFrame | None) -> DataFrame:
+    """(start, node, poids, type) one hop from the frontier (start, here).
+
+    `members` tells the blocks of a node, `reported` the members of a block that can matter for the result.
+    """
     hop = frontier.join(edges, "here").select("start", F.col("there").alias("node"), "poids", "type")
     if members is not None:
         block = ["gr_id", "source_file"]
         # the frontier's blocks, once per start and block, then the members of those blocks
         touched = frontier.join(members.select(*block, F.col("id").alias("here")), "here").select("start", *block).distinct()
-        grouped = touched.join(members.select(*block, F.col("id").alias("node")), block).select(
+        grouped = touched.join(reported.select(*block, F.col("id").alias("node")), block).select(
             "start", "node", F.lit(lx.LINK_WEIGHTS["MEME_GROUPE"]).alias("poids"), F.lit("MEME_GROUPE").alias("type")
         )
         hop = hop.unionByName(grouped)
@@ -247,8 +250,14 @@ def explore_links(
     level = starts.select(F.col("id").alias("start")).distinct().join(known, "start", "left_semi")
     frontier = level.withColumn("here", F.col("start"))
     found, visited = None, frontier.select("start", F.col("here").alias("node"))
+    reported = members
+    if members is not None and depth == 1:
+        # all links of a block weigh the same and older nodes come first: of one block only its first
+        # max_results members (and the start itself) can be reported, so a huge block adds no more rows than that
+        first = F.row_number().over(W.partitionBy("gr_id", "source_file").orderBy("timestamp", "id"))
+        reported = members.withColumn("_n", first).filter(F.col("_n") <= max_results + 1).drop("_n")
     for d in range(1, depth + 1):
-        hop = _step(frontier, usable, members).join(visited, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        hop = _step(frontier, usable, members, reported).join(visited, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
         hop = hop.join(attrs, "node")
         if d < depth:
             hop = materialise(hop)  # used three times below

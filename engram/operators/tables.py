@@ -88,7 +88,8 @@ def layout(
         df = df.withColumn("_part_range", F.when(value.isNull(), "__NULL__").when(inside, bucket).otherwise("__UNPARTITIONED__"))
     keys = [*parts, *cluster]
     if keys:
-        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        # the row hash splits equal keys, so a partition value with most of the rows still spreads
+        df = df.repartitionByRange(*keys, F.xxhash64(*df.columns)).sortWithinPartitions(*keys)
     return df, parts
 
 

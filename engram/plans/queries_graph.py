@@ -469,11 +469,11 @@ def _(d):
     f"""WITH e AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS term, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT q.term AS source, e.term, round({COSINE_EMB}, 9) AS score FROM e JOIN e q ON e.vec_id <> q.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s WHERE score >= 0.3)
-    SELECT source, term, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""",
+    SELECT source, term, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""",
 )
 def _(d):
     vectors = d.embeddings.select(F.col("vec_id").cast("string").alias("term"), "embedding")
-    return emb.neighbour_table(vectors, vectors, n=3, minimum=0.3).withColumn("score", F.round("score", 6))
+    return emb.neighbour_table(vectors, vectors, n=3, minimum=0.3).withColumn("score", F.round("score", 4))
 
 
 @query("emb6_model_stats", "SELECT count(*) AS vocabulary, CAST(max(len(embedding)) AS INT) AS dimensions FROM embeddings")

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # checkpoint files of frames that went out of scope are removed by the driver
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # sessions of one key are merged on the map side before they meet
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # needed by transformWithStateInPandas
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from engram.functions.records import normalise_annotation
 from engram.functions.text import token_count
 from engram.functions.vector import vectorise
+from engram.session import SETTINGS
 
 COUNTER = T.StructType([T.StructField("n", T.LongType())])
 LATE = "1 day"  # how late an exchange may come
@@ -163,8 +164,15 @@ class RollingWindow(StatefulProcessor):
 ROLLED = "conv_id LONG, window_no LONG, first_turn LONG, last_turn LONG, tokens LONG"
 
 
+def _use_state_store(spark: SparkSession) -> None:
+    """`transformWithState` runs on the RocksDB store only; the setting is read when a query starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, SETTINGS[key])
+
+
 def rolling_window(stream: DataFrame, limit: int = 30_000, overlap: int = 7_500) -> DataFrame:
     """Archived windows of each conversation (conv_id, turn, text)."""
+    _use_state_store(stream.sparkSession)
     sized = stream.select("conv_id", "turn", token_count(F.col("text")).alias("tokens"))
     return sized.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=RollingWindow(limit, overlap), outputStructType=ROLLED, outputMode="Append", timeMode="None"
@@ -200,6 +208,7 @@ class IdleMonitor(StatefulProcessor):
 
 def idle_monitor(stream: DataFrame, source: str, gap: float = 5.0) -> DataFrame:
     """(source, received) whenever a source has been quiet for `gap` seconds."""
+    _use_state_store(stream.sparkSession)
     return stream.select(F.col(source).alias("source")).groupBy("source").transformWithStateInPandas(
         statefulProcessor=IdleMonitor(int(gap * 1000)), outputStructType="source STRING, received LONG", outputMode="Append",
         timeMode="ProcessingTime",
