@@ -103,7 +103,7 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest node each node reaches: rows (node, label) for every node of `edges` (columns a, b).
+    """Smallest node each node reaches: rows (node, label) for the nodes of `edges` (columns a, b) that reach a smaller one.
 
     Alternates the large-star and small-star steps, in which every node hands its smallest neighbour to the others, until
     the edges stand still. A step keeps at most as many edges as it got; each is a pair of group-bys on the edge table,

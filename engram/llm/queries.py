@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import quality_classifier
-from engram.llm.common import table
+from engram.llm import minhash_dedup, quality_classifier
+from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,3 +22,24 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document."""
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similarity 0.85."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_minhash_dedup"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+    FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, d.b FROM r JOIN d ON r.m = d.a),
+c AS (SELECT n, min(m) AS m FROM r GROUP BY n)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.m AS component_id, c.m = s.doc_id AS kept FROM s JOIN c ON s.doc_id = c.n
+"""
