@@ -79,6 +79,11 @@ class Words(dict):
             self.fresh = []
         return out
 
+    def values(self, words: list) -> np.ndarray:
+        """The first function's value of each word."""
+        numbers = self.numbers(words)
+        return self.tables[0][numbers]
+
 
 word_hash = xxhash.xxh3_64_intdigest
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm import minhash_dedup, quality_classifier
+from engram.llm import minhash_dedup, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,20 @@ r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, d.b FROM r JO
 c AS (SELECT n, min(m) AS m FROM r GROUP BY n)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.m AS component_id, c.m = s.doc_id AS kept FROM s JOIN c ON s.doc_id = c.n
 """
+
+
+@register
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 13 words that a smaller id has too."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 's': array_to_string(w[i:i + 12], ' ')}), recursive := true) FROM w),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+b AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM g JOIN f USING (s) WHERE doc_id > m GROUP BY doc_id),
+k AS (SELECT w.doc_id, w.w, coalesce(b.gone, []) AS gone, list_filter(w.w, lambda x, k: NOT list_contains(coalesce(b.gone, []), k)) AS kept FROM w LEFT JOIN b USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
