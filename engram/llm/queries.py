@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import minhash_dedup, quality_classifier, substring_dedup
+from engram.llm import decontamination, line_dedup, minhash_dedup, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,42 @@ b AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM
 k AS (SELECT w.doc_id, w.w, coalesce(b.gone, []) AS gone, list_filter(w.w, lambda x, k: NOT list_contains(coalesce(b.gone, []), k)) AS kept FROM w LEFT JOIN b USING (doc_id))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
+
+
+@register
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document lie in windows of the benchmark."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op1_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
+dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 's': array_to_string(w[i:i + n - 1], ' ')}}), recursive := true) FROM d CROSS JOIN (SELECT DISTINCT n FROM iw)),
+h AS (SELECT doc_id, i, n, s FROM dw SEMI JOIN iw USING (n, s)),
+p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h JOIN iw USING (n, s)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
+
+
+@register
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without runs of lines that start earlier too."""
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op5_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'line': x, 'i': i}), recursive := true) FROM documents),
+n AS (SELECT doc_id, i, trim(line, concat(' ', chr(9), chr(13), chr(11), chr(12))) AS t FROM l WHERE t <> ''),
+k AS (SELECT doc_id, i, t, row_number() OVER o AS k, lead(t) OVER o AS t2, lead(i) OVER o AS i2 FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT t, t2, min((doc_id, k)) AS m FROM k WHERE t2 IS NOT NULL GROUP BY ALL),
+g AS (SELECT doc_id, i, i2 FROM k JOIN f USING (t, t2) WHERE (doc_id, k) > m),
+x AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i2 FROM g),
+r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM x)) AS kept FROM l GROUP BY doc_id)
+SELECT doc_id, (SELECT count(*) FROM n WHERE n.doc_id = r.doc_id) AS n_lines, (SELECT count(*) FROM x WHERE x.doc_id = r.doc_id) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r
+"""
