@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import decontamination, line_dedup, minhash_dedup, quality_classifier, substring_dedup
+from engram.llm import best_fit_packing, decontamination, line_dedup, minhash_dedup, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ x AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i2 FROM g),
 r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM x)) AS kept FROM l GROUP BY doc_id)
 SELECT doc_id, (SELECT count(*) FROM n WHERE n.doc_id = r.doc_id) AS n_lines, (SELECT count(*) FROM x WHERE x.doc_id = r.doc_id) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r
 """
+
+
+@register
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
