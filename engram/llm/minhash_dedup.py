@@ -8,9 +8,10 @@ of eight values make the buckets: a pair at 0.85 shares none with a probability
 1. Equal sets are one class, led by its smallest id; only leaders go on, so a group of any number of copies is one row.
 2. In every bucket each member is compared with the bucket's smallest id. Pairs whose signatures agree far less than a
    linked pair's would (`CUT`, four standard deviations below) are left out, the others are confirmed on the texts.
-3. The links give components. Buckets that still span several components are searched in blocks of at most about
-   `BLOCK` x `BLOCK` members, whatever their size, for pairs across components; only pairs over the same cut leave a
-   block, and they are confirmed on the texts too. A link inside a component can't change the result and isn't needed.
+3. The links give components. Buckets that still span several components are searched for links across them, in blocks
+   of at most about `BLOCK` x `BLOCK` members (fewer of long texts), whatever the bucket's size. A pair is looked at in
+   the first band it shares, the cut is applied, the whole sets are compared, and only links that join components of the
+   block leave it: fewer than it has members. A link inside a component can't change the result and isn't needed.
 
 Rows without words or text have an empty set and are linked with nothing; rows without an id are linked with nothing and
 kept, their component is null. An id names one document: of rows that share an id but not a text each gets the component
@@ -33,7 +34,7 @@ SHINGLE, PERMUTATIONS, ROWS = 5, 160, 8
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 85
 CUT = 0.77
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(20_011))
 _FACTOR = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -72,12 +73,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    rows = values.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    return out.view(np.int64)
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """A key for each band: of the band's number and its eight bytes of the sketch."""
+    rows = np.ascontiguousarray(sketch).view("<u8")
+    return mix(mix(np.arange(1, BANDS + 1, dtype=np.uint64)) + rows).view(np.int64)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -87,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
         shingles = Shingles()
         for b in batches:
             sets = shingles(as_bytes(b.column("text")))
-            values = [signature(s) if len(s) else None for s in sets]
+            values = [signature(s).astype(np.uint8) if len(s) else None for s in sets]
             bands = [None if v is None else band_keys(v) for v in values]
             offsets = np.cumsum([0, *(0 if x is None else BANDS for x in bands)])
             flat = np.concatenate([x for x in bands if x is not None] or [np.zeros(0, np.int64)])
@@ -95,7 +94,7 @@ def features(docs: DataFrame) -> DataFrame:
                 b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
-                pa.array([None if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary()),
+                pa.array([None if v is None else v.tobytes() for v in values], pa.binary()),
             ], names=["doc_id", "n", "key", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -146,10 +145,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Likely pairs between components within each bucket: `members` has key, rep, label, n, sketch and size (of the bucket)."""
-    parts = members.withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int"))
+    """Links between components within buckets: `members` has key, band, rep, label, n, sketch, text, size and most (of the bucket: members, and shingles of the largest)."""
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.lit(BLOCK_SHINGLES) / F.col("most")))
+    parts = members.withColumn("k", F.ceil(F.col("size") / block).cast("int"))
     parts = parts.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    parts = parts.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "label", "n", "sketch")
+    parts = parts.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "band", "rep", "label", "n", "sketch", "text")
     parts = parts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def run(batches):
@@ -158,33 +158,48 @@ def across(members: DataFrame) -> DataFrame:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
             cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
                 if keys[s] != at and held:
-                    yield from _block(held)
+                    yield from _joining(held)
                     held = []
                 at = keys[s]
                 held.append(b.slice(s, e - s))
         if held:
-            yield from _block(held)
+            yield from _joining(held)
 
-    return parts.mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_slices(parts, run, "a bigint, b bigint").distinct()
 
 
-def _block(held: list):
+def _joining(held: list):
+    """Links that join components of one block."""
     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    c, i, j = (rows.column(x).to_numpy() for x in ("c", "i", "j"))
-    rep, label, n = (rows.column(x).to_numpy() for x in ("rep", "label", "n"))
-    sketch = _sketches(rows.column("sketch"))
-    left = np.flatnonzero(c == i)
+    c, i, j, rep, label, n, band = (rows.column(x).to_numpy() for x in ("c", "i", "j", "rep", "label", "n", "band"))
+    sketch, texts = _sketches(rows.column("sketch")), rows.column("text").cast(pa.binary())
+    shingles, sets, found = Shingles(), {}, []
+    label = label.copy()
     right = np.flatnonzero(c == j)
-    for x in left:
-        y = right[(rep[right] < rep[x]) if i[0] == j[0] else np.ones(len(right), bool)]
+
+    def whole(x):
+        if x not in sets:
+            sets[x] = shingles([texts[x].as_py()])[0]
+        return sets[x]
+
+    for x in np.flatnonzero(c == i):
+        y = right[rep[right] < rep[x]] if i[0] == j[0] else right
         y = y[(label[y] != label[x]) & _alike(n[y], n[x])]
-        y = y[(sketch[y] == sketch[x]).mean(axis=1) >= CUT] if len(y) else y
-        if len(y):
-            lo, hi = np.minimum(rep[y], rep[x]), np.maximum(rep[y], rep[x])
-            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["a", "b"])
+        if not len(y):
+            continue
+        agree = sketch[y] == sketch[x]
+        first = agree.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        share = agree.mean(axis=1)
+        keep = np.flatnonzero((first == band[x]) & (share >= CUT))
+        for z in y[keep[np.argsort(-share[keep])]]:
+            if label[z] != label[x]:
+                common = len(np.intersect1d(whole(x), whole(z), assume_unique=True))
+                if 100 * common >= PERCENT * (n[x] + n[z] - common):
+                    found.append((max(rep[x], rep[z]), min(rep[x], rep[z])))
+                    label[label == label[z]] = label[x]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -200,9 +215,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders.write.parquet(leaders_path)
     leaders = spark.read.parquet(leaders_path)
 
-    bands = leaders.select("rep", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
-    members = materialise(bands.join(buckets, "key").select("key", "rep", "size", "first"))
+    bands = leaders.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.max("n").alias("most")).where("size > 1")
+    members = materialise(bands.join(buckets, "key").select("key", "band", "rep", "size", "most", "first"))
     wanted = members.groupBy("rep").agg(F.count("*").alias("_n"))
     text_path = scratch_path(spark, "minhash-texts")
     docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").select("rep", "text").dropDuplicates(["rep"]).write.parquet(text_path)
@@ -211,10 +226,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     near = components(confirmed(likely(stars, leaders), texts))
 
-    named = members.join(near, members.rep == near.node, "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    named = members.join(near, members.rep == near.node, "left").select("key", "band", "rep", "size", "most", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    rest = named.join(mixed, "key").join(leaders.select("rep", "n", "sketch"), "rep")
-    more = confirmed(across(rest), texts)
+    rest = named.join(mixed, "key").join(leaders.select("rep", "n", "sketch").join(texts, "rep"), "rep")
+    more = across(rest)
     label = lambda x: near.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     links = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
     merged = components(links).select(F.col("node").alias("_n2"), F.col("label").alias("_l2"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import best_fit_packing, decontamination, line_dedup, minhash_dedup, quality_classifier, substring_dedup
+from engram.llm import best_fit_packing, decontamination, line_dedup, minhash_dedup, perplexity_rules, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ SELECT doc_id, (SELECT count(*) FROM n WHERE n.doc_id = r.doc_id) AS n_lines, (S
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, and whether rules and perplexity keep it."""
+    return perplexity_rules.quality_rules(table(spark, sf_dir, "documents"))
