@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import best_fit_packing, decontamination, line_dedup, minhash_dedup, perplexity_rules, quality_classifier, substring_dedup
+from engram.llm import best_fit_packing, decontamination, html_extraction, license_scan, line_dedup, minhash_dedup, perplexity_rules, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text, and whether rules and perplexity keep it."""
     return perplexity_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
