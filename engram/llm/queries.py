@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import best_fit_packing, decontamination, html_extraction, license_scan, line_dedup, minhash_dedup, perplexity_rules, quality_classifier, substring_dedup
+from engram.llm import best_fit_packing, decontamination, html_extraction, license_scan, line_dedup, minhash_dedup, perplexity_rules, pii_surrogates, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    return pii_surrogates.surrogates(table(spark, sf_dir, "documents"))
