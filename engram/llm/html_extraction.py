@@ -265,7 +265,7 @@ def labelled_pages() -> list[tuple[list[Leaf], list[int]]]:
     body = (("html", ()), ("body", ()))
     sentence = "The committee met on Monday and agreed on the plan for the coming year after a long debate."
     for dress in _ARTICLE:
-        for _ in range(2):
+        for _ in range(8):
             page, labels = [], []
 
             def add(path, text, label, linked=0, page=page, labels=labels):
@@ -276,16 +276,16 @@ def labelled_pages() -> list[tuple[list[Leaf], list[int]]]:
                 for kind in kinds:
                     container = rng.choice(_OTHER[kind])
                     for _ in range(rng.randint(1, 4)):
-                        text = {"menu": "Home", "footer": "© 2020 Example. All rights reserved.", "form": "Your name", "header": "Example Daily", "comments": "I fully agree with this, well said!"}.get(kind, "Read more about our offers.")
+                        text = {"menu": "Home", "footer": "© 2020 Example. All rights reserved.", "form": "Your name", "header": "Example Daily", "comments": "I fully agree with this, well said!"}.get(kind, rng.choice(["Read more about our offers.", sentence, "Buy now!", "Related"]))
                         leaf = (("ul", ()), ("li", ())) if kind == "menu" else rng.choice([(), (("p", ()),), (("div", ()),)])
                         add((*within, container, *leaf), text, 0, len(text) if kind in ("menu", "sidebar") else 0)
 
             others("header", "menu", "notice")
             add((dress, ("h1", ())), "A plan for the coming year", 1)
             for _ in range(rng.randint(1, 6)):
-                add((dress, (rng.choice(["p", "p", "p", "blockquote", "h2", "li", "td", "pre", "div"]), ())), " ".join([sentence] * rng.randint(1, 4)), 1)
-                if rng.random() < 0.2:
-                    others("advert", within=(dress,))
+                add((dress, (rng.choice(["p", "p", "p", "blockquote", "h2", "li", "td", "pre", "div"]), ())), " ".join([sentence] * rng.randint(1, 4) if rng.random() < 0.6 else sentence.split()[: rng.randint(2, 12)]), 1)
+                if rng.random() < 0.4:
+                    others(rng.choice(list(_OTHER)), within=rng.choice([(), (dress,)]))
             others("comments", within=rng.choice([(), (dress,)]))
             others("sidebar", "form", "footer")
             out.append((page, labels))

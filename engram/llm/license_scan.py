@@ -70,15 +70,16 @@ class Automaton:
 
     def __init__(self, texts: list[list[int]]):
         self.next, self.link, self.size = [{}], [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template: place after a run's last word
+        self.ends: list[dict[int, int]] = [{}]  # template: the first place after a run's last word
         for t, words in enumerate(texts):
             last = 0
             for at, w in enumerate(words):
                 last = self._extend(last, w)
                 self.ends[last].setdefault(t, at + 1)
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            above = self.ends[self.link[s]]
             for t, at in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(t, at)
+                above[t] = min(at, above.get(t, at))
 
     def _state(self, size: int, after: dict, link: int) -> int:
         self.next.append(after)

@@ -1,0 +1,428 @@
+"""Text operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from engram.llm import best_fit_packing, decontamination, html_extraction, license_scan, line_dedup, minhash_dedup, perplexity_rules, pii_surrogates, quality_classifier, substring_dedup
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", "   \n\t", "one", "É ß É", "a b c d e f g h i j k l m n", "x " * 3000, "\n\n\n", "ends\n", "z" * 50_000]
+
+
+def prose(rng, n, size=400):
+    return " ".join(f"w{int(rng.paretovariate(0.6)) % size}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    out = list(ODD)
+    base = [prose(rng, rng.randint(20, 200)) for _ in range(40)]
+    for b in base[:12]:
+        out.append(b)
+        for _ in range(6):
+            w = b.split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(1000)}"
+            out.append(" ".join(w))
+        out.append(b)
+    out += base[12:]
+    out += ["\n".join([base[0], base[1], prose(rng, 9), base[2]]), "\n".join([base[0], base[1]]), "\n".join([base[3], "", base[0], "  " + base[1] + " "])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(k, t, "en" if k % 3 else None, None, 0) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Names that operators use themselves, null and repeated ids."""
+    rows = [(None, "a b c", 1, "x", 2), (None, None, 1, "x", 2), (5, "same words here", 1, "y", 3), (5, "same words here", 1, "y", 3), (6, "same words here", 1, "y", 3)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, key int, label string, rep int")
+
+
+def shingles(text):
+    w = WORDS.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(texts):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return [(k, len(s), root(k), root(k) == k) for k, s in enumerate(sets)]
+
+
+def test_near_duplicates(docs, texts):
+    got = sorted(tuple(r) for r in minhash_dedup.near_duplicates(docs).collect())
+    assert got == brute_components(texts)
+
+
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """A hot group whose smallest id is linked to few: the search across components finds the rest, also in blocks."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    rng = random.Random(8)
+    base = prose(rng, 150).split()
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 8])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9999)}"
+        texts.append(" ".join(w))
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in minhash_dedup.near_duplicates(frame).collect()) == brute_components(texts)
+
+
+def test_near_duplicates_edges(empty, clashing):
+    assert minhash_dedup.near_duplicates(empty).count() == 0
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(clashing).collect())
+    assert got == Counter({(None, 1, None, True): 1, (None, 0, None, True): 1, (5, 1, 5, True): 2, (6, 1, 5, False): 1})
+    left = minhash_dedup.one_of_each(clashing)
+    assert left.columns == clashing.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "a b c"), (5, "same words here")]
+
+
+def brute_repeats(texts, n):
+    first = {}
+    split = [WORDS.findall(t or "") for t in texts]
+    for k, w in enumerate(split):
+        for i in range(len(w) - n + 1):
+            first.setdefault(tuple(w[i : i + n]), k)
+    for k, w in enumerate(split):
+        gone = {j for i in range(len(w) - n + 1) if first[tuple(w[i : i + n])] < k for j in range(i, i + n)}
+        yield k, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+@pytest.mark.parametrize("length", [13, 30])
+def test_repeated_passages(docs, texts, length):
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(docs, length).collect()) == list(brute_repeats(texts, length))
+
+
+def test_repeated_passages_edges(empty, clashing):
+    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(clashing).collect()) == [(0, 0, 0), (0, 3, 0), (5, 3, 0), (5, 3, 0), (6, 3, 0)]
+
+
+def test_levels():
+    assert substring_dedup.levels(13) == [7, 13] and substring_dedup.levels(50) == [7, 13, 25, 50]
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 32, 999).astype(np.uint32))
+    assert (substring_dedup.unpack(substring_dedup.pack(values)) == values).all() and not len(substring_dedup.unpack(substring_dedup.pack(values[:0])))
+
+
+def alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def test_decontamination(spark, docs, texts):
+    items = [(1, " ".join(texts[20].split()[3:40])), (20, "J  k, L!"), (3, ""), (4, None), (5, "É"), (11, " ".join(texts[20].split()[3:40])), (7, "never seen words at all"), (7, "X x x x x x x x x x")]
+    got = {r.doc_id: r for r in decontamination.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        w, hit, found = alnum(t), set(), set()
+        for item, text in items:
+            v = alnum(text)
+            n = min(10, len(v))
+            for win in {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else ():
+                for i in range(len(w) - n + 1):
+                    if tuple(w[i : i + n]) == win:
+                        hit |= set(range(i, i + n))
+                        found.add(str(item))
+        r = got[k]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_decontamination_edges(spark, docs, empty, clashing, monkeypatch):
+    bench = spark.createDataFrame([(1, "same words here"), (None, "a b")], "item_id bigint, text string")
+    none = bench.limit(0)
+    assert decontamination.contamination(empty, bench).count() == 0
+    assert decontamination.contamination(docs, none).where("contaminated").count() == 0
+    assert decontamination.clean_documents(docs, none).count() == docs.count()
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 1)  # several passes
+    assert decontamination.contamination(clashing, bench).where("contaminated").count() == 5  # the null ids share their hits
+    left = decontamination.clean_documents(clashing, bench)
+    assert left.columns == clashing.columns and left.count() == 0
+
+
+def brute_lines(texts, run=2):
+    strip = " \t\r\x0b\x0c"
+    split = [(t or "").split("\n") for t in texts]
+    at = [[i for i, x in enumerate(s) if x.strip(strip)] for s in split]
+    first, out = {}, []
+    for s, a in zip(split, at, strict=True):
+        gone = set()
+        for i in range(len(a) - run + 1):
+            if not first.setdefault(tuple(s[k].strip(strip) for k in a[i : i + run]), (len(out), i)) == (len(out), i):
+                gone |= set(a[i : i + run])
+        out.append((len(out), len(a), len(gone), "\n".join(x for k, x in enumerate(s) if k not in gone)))
+    return out
+
+
+def test_line_dedup(spark, docs, texts):
+    rng = random.Random(2)
+    more = texts + ["\n".join(rng.choice(["A a", "b", " c ", "", "d\r"]) for _ in range(rng.randint(1, 12))) for _ in range(30)] + ["q\nq\nq\nq", "p\nq\nq"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(more)], "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.line_dedup(frame).collect())
+    assert got == brute_lines(more)
+    got3 = sorted((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.line_dedup(frame, 3).collect())
+    assert got3 == brute_lines(more, 3)
+
+
+def test_line_dedup_edges(spark, empty, clashing):
+    assert line_dedup.without_repeats(empty).count() == 0
+    assert sorted(map(repr, line_dedup.without_repeats(clashing).collect())) == sorted(map(repr, clashing.collect()))
+    two = spark.createDataFrame([(None, "x\ny"), (1, "x\ny"), (2, "k\nx\ny"), (3, None), (4, "x\ny")], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.without_repeats(two).collect()) == [(0, "x\ny"), (2, "k"), (3, None)]
+
+
+def test_packing_round_trip(docs, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = best_fit_packing.pack_documents(docs).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    for own in by.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 2048
+    seen = Counter()
+    for r in rows:
+        ids = [*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        part = ids[r.start : r.start + r.length]
+        assert r.start == 2048 * r.piece and len(part) == r.length and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        seen[r.doc_id] += r.length
+        assert r.length == 2048 or r.start + r.length == len(ids)
+    assert set(seen) == set(range(len(texts)))
+    assert len(by) == -(-sum(r.length for r in rows) // 2048)
+
+
+def test_packing_edges(empty, clashing):
+    assert best_fit_packing.pack_documents(empty).count() == 0
+    rows = best_fit_packing.pack_documents(clashing).collect()
+    assert len(rows) == 5 and {r.sequence_id for r in rows} == {0} and sorted(r.offset for r in rows)[0] == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bin_completion(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(31, np.int64)
+    for n in rng.integers(1, 31, 9):
+        counts[n] += 1
+    packing = best_fit_packing.complete_bins(counts, 30)
+    used = Counter(n for own, times in packing for n in own * times)
+    assert used == Counter({n: c for n, c in enumerate(counts.tolist()) if c}) and all(sum(own) <= 30 for own, _ in packing)
+    items = sorted(used.elements(), reverse=True)
+
+    def fits(bins, rest):
+        if not rest:
+            return True
+        seen = set()
+        for k, left in enumerate(bins):
+            if left >= rest[0] and left not in seen:
+                seen.add(left)
+                if fits([*bins[:k], left - rest[0], *bins[k + 1 :]], rest[1:]):
+                    return True
+        return False
+
+    n = sum(times for _, times in packing)
+    assert not fits([30] * (n - 1), items)
+
+
+def test_rules_counts(docs, texts):
+    got = {r.doc_id: r for r in perplexity_rules.quality_rules(docs).collect()}
+    for k, t in enumerate(texts):
+        t = t or ""
+        w = WORDS.findall(t)
+        triples = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeat = {j for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        seen, same = set(), 0
+        for line in t.split("\n"):
+            if WORDS.search(line):
+                same += line in seen
+                seen.add(line)
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), same, len(repeat))
+        assert r.base_failed == (len(w) < 50 or 100 * len(repeat) > 50 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_rules_model(spark, empty):
+    rng = random.Random(1)
+    good = [" ".join(f"w{rng.randrange(300)}" for _ in range(120)) for _ in range(60)]
+    odd = "".join(chr(rng.randrange(0x400, 0x2000)) + (" " if rng.random() < 0.2 else "") for _ in range(2000))
+    rows = [(k, t, "en") for k, t in enumerate([*good, odd])]
+    got = {r.doc_id: r for r in perplexity_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[k].kept for k in range(60)) and not got[60].kept and not got[60].base_failed
+    model = perplexity_rules.fit(spark.createDataFrame([("en", t) for t in good], "language string, text string"))
+    grams, _ = perplexity_rules.grams_of([b"w12", b"w3"])
+    letters = sorted({c for t in good for c in t if c != " "} | {"\x03"})
+    for g in grams:  # what follows a context sums up to one
+        every = np.array([[*g[:-1], ord(c)] for c in letters], np.uint32)
+        assert abs(np.exp(model.log_probabilities(every, "en")).sum() - 1) < 1e-6
+    assert perplexity_rules.quality_rules(empty).count() == 0
+
+
+def test_licence_phrases(docs, spark):
+    rows = [(1, "x CC BY-NC 4.0 y"), (2, "All  rights\nreserved. GNU General Public License, general public license"), (3, None), (4, "Released under the MIT License."), (5, "cc"), (6, "")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (1, 1, 1, "cc-by")
+    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (10, 3, 0, 7, "gpl,reserved")
+    assert (got[3].n_words, got[3].n_base, got[3].first_word, got[3].labels, got[3].score) == (0, 0, None, "", 0.0)
+    assert got[4].labels == "mit" and got[4].base_labels == "" and got[4].score == 1.0 and not got[5].n_base
+    assert license_scan.scan(docs.limit(0)).count() == 0 and license_scan.scan(docs).where("n_base > 0").count() == 0
+
+
+def test_suffix_automaton():
+    rng = random.Random(3)
+    texts = [[rng.randrange(4) for _ in range(rng.randint(1, 30))] for _ in range(5)]
+    automaton = license_scan.Automaton(texts)
+    where = {}
+    for t, words in enumerate(texts):
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                where.setdefault(tuple(words[i:j]), {}).setdefault(t, j)
+    for _ in range(50):
+        words = [rng.randrange(4) for _ in range(25)]
+        longest = [max((n for n in range(e + 1) if n == 0 or tuple(words[e - n : e]) in where), default=0) for e in range(1, 26)]
+        want = [(e - n, n, where[tuple(words[e - n : e])]) for e, n in enumerate(longest, 1) if n >= 3 and (e == 25 or longest[e] != n + 1)]
+        assert automaton.runs(words, 3) == want
+
+
+def test_long_template_in_a_text():
+    label, text = license_scan.TEMPLATES[0]
+    words = license_scan.tokens(b"some intro " + text.replace("without restriction", "with no restriction").encode() + b" the end")
+    numbers = license_scan._library()[0]
+    found = [x for x in license_scan.spans(np.array([numbers.get(w, 0) for w in words])) if x[0] == label]
+    assert found[0][1] == 2 and found[0][3] > 0.9 and len(found) == 1
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home page</a></header><nav><ul><li><a href=/a>One</a></li></ul></nav>
+<div class="cookie notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First   <b>part</b> of it,<br>second part.<p>Another &eacute;&#233; one.</p><div class=ad>Buy now!</div>
+<p>Last paragraph of it all stands here.</p><section class="comments"><p>I agree!</p></section></article><aside>Related</aside><form><label>Name</label><input></form><script>var x="<p>no</p>"</script><footer>&copy; 2020</footer></body></html>"""
+
+
+def test_extraction(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (None, "u", PAGE.replace("article", "main")), (6, "u", "<div class=sidebar>only a menu"), (1, "u", PAGE)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = html_extraction.extract(pages).collect()
+    want = "Head & line\nFirst part of it, second part.\nAnother éé one.\nLast paragraph of it all stands here."
+    by = {r.page_id: r for r in got}
+    assert len(got) == 7 and by[1].text == want == by[None].text and by[1].n_chars == len(want)
+    assert by[2].text == by[3].text == "" and by[6].text == "" and by[4].n_chars == len(by[4].text)
+    assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_extraction_held_out():
+    """The field, trained on some dresses, labels pages in dresses it drew anew."""
+    field = html_extraction.Field().train(html_extraction.labelled_pages())
+    page = html_extraction.leaves(PAGE)
+    labels = [html_extraction.named_label(x) for x in page]
+    rng, right, total = random.Random(77), 0, 0
+    for _ in range(40):
+        other, want = html_extraction.redressed(page, labels, rng)
+        got = field.decode(other)
+        right += sum(a == b for a, b in zip(got, want, strict=True))
+        total += len(want)
+    assert right / total > 0.9
+
+
+def test_viterbi_is_the_best_path():
+    field, rng = html_extraction.Field(), np.random.default_rng(2)
+    page = [html_extraction.Leaf(((f"t{k}", (f"n{k}",)),), "x", 0) for k in range(6)]
+    for _ in range(20):
+        field.weights = {f".n{k}": float(rng.normal()) for k in range(6)}
+        field._paths, field.pairs, field.first = {}, rng.normal(size=(2, 2)), rng.normal(size=2)
+        s = field.scores(page)
+
+        def worth(path, field=field, s=s):
+            return field.first[path[0]] + sum(s[k] for k in range(6) if path[k]) + sum(field.pairs[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        paths = [[n >> k & 1 for k in range(6)] for n in range(64)]
+        assert abs(worth(field.decode(page)) - max(map(worth, paths))) < 1e-9
+
+
+PRIVATE = 'Mrs. Anna Schmidt (anna.schmidt@mail.example.com) or Mr Peter Novák; Schmidt at +49 30 1234567, 10.1.2.3, 4111 1111 1111 1111, token = "0123456789abcdef0123456789abcdef01234567", DE89 3704 0044 0532 0130 00.'
+
+
+def test_surrogates(spark):
+    rows = [(1, PRIVATE), (2, "Call +49301234567 or ANNA.SCHMIDT@mail.example.com."), (3, None), (4, ""), (5, "Version 1.2.3 of 2020 has 4111111111111112 and 300.1.1.1."), (None, "10.1.2.3"), (2, "Call")]
+    got = pii_surrogates.surrogates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    text = {r.doc_id: r.text for r in got if r.text != "Call"}
+    for value in ("Anna", "Schmidt", "anna.", "Peter", "Novák", "1234567", "10.1.2.3", "4111 1111", "0123456789abcdef", "3704 0044"):
+        assert value not in text[1]
+    assert text[5] == rows[4][1] and text[3] is None and text[4] == ""
+    shape = lambda s: re.sub(r"\d", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", s)))
+    phone = re.search(r"\+49? ?[\d ]{11,12}", text[1])[0]
+    assert re.sub(r"\D", "", phone) == re.sub(r"\D", "", re.search(r"\+\d+", text[2])[0]) and re.search(r"\S+@\S+\.com", text[2])[0].lower() == re.search(r"\((\S+@\S+)\)", text[1])[1]
+    assert text[None] in text[1] and re.search(r"Mrs\. (\S+) (\S+) .*; (\S+) at", text[1])[2] == re.search(r"; (\S+) at", text[1])[1]
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}(?=,)", text[1])[0].replace(" ", "")
+    assert pii_surrogates.luhn(card[:-1]) == int(card[-1]) and shape(text[1]).count("@") == 1
+    first = re.search(r"Mrs\. (\S+)", text[1])[1]
+    assert first in pii_surrogates.FIRST_NAMES["f"] and re.search(r"Mr (\S+)", text[1])[1] in pii_surrogates.FIRST_NAMES["m"]
+    assert pii_surrogates.surrogates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_surrogates_stay_apart(spark):
+    """All numbers of a short format: every surrogate is another one's real value until tried again in vain, or distinct."""
+    assert sorted(pii_surrogates.permuted(k, 1000, b"k") for k in range(1000)) == list(range(1000))
+    values = [(k, "ssn", f"{k:09d}") for k in range(3000)] + [(1, "ip", "1.2.3.4"), (2, "ip", pii_surrogates.surrogate("ip", "1.2.3.4"))]
+    odd = {(r.kind, r.value): r.attempt for r in pii_surrogates.exceptions(spark.createDataFrame(values, "doc_id bigint, kind string, value string")).collect()}
+    new = [(k, pii_surrogates.surrogate(k, v, odd.get((k, v), 0))) for _, k, v in values]
+    assert ("ip", "1.2.3.4") in odd and len(set(new)) == len(values) and not set(new) & {(k, v) for _, k, v in values}
+
+
+def test_classifier_held_out(spark, small):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality_classifier.score_documents(docs, labels)
+    rows = got.join(labels, "doc_id").where("held_out").collect()
+    assert sum((r.predicted == 1) == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
+    assert got.count() == docs.count() and got.where("score < 0 or score > 1 or score is null").count() == 0
+
+
+def test_classifier_edges(spark, docs, empty, clashing):
+    none = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, quality int")
+    assert {r.score for r in quality_classifier.score_documents(clashing, none).collect()} == {0.5}
+    some = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0)], "doc_id bigint, quality int")
+    assert quality_classifier.score_documents(docs, some).count() == docs.count()
+    assert quality_classifier.score_documents(empty, some).count() == 0
+    assert quality_classifier.keep_good(clashing, none).columns == clashing.columns
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, stage(spark, docs, "/root/testdata/sf0.01").cache()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns and 0 < docs.count() <= before.count()
+    assert docs.select("doc_id").distinct().count() == before.count()
+    empty = spark.createDataFrame([], before.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.01").count() == 0
