@@ -172,3 +172,12 @@ TEXT_EXTENSIONS = [".txt", ".md", ".py", ".json", ".yaml", ".yml", ".csv", ".htm
 RESEARCH_EXTENSIONS = [".txt", ".md", ".markdown", ".pdf", ".docx", ".doc", ".rtf", ".html", ".htm", ".tex", ".json",
                        ".xml"]
 REFLECTION_TYPES = ["intuition", "brouillon", "analyse", "etat_mental", "fil_ariane", "heuristique"]
+
+# signs of code and of talk in a text (fixed values): the form looked at, and what it must hold; `trimmed`: first and last characters
+CONTENT_SIGNS = {
+    "code": [
+        ("text", "```"), ("text", "import "), ("text", "function "), ("text", "def ", ":"), ("text", "class ", ":"), ("lower", "curl "),
+        ("text", '"action":'), ("text", '"status":'), ("trimmed", "{", "}"), ("trimmed", "[", "]"),
+    ],
+    "talk": [("text", "?"), ("text", "!"), ("lower", "bonjour"), ("lower", "merci"), ("lower", "je "), ("lower", "tu "), ("lower", "nous ")],
+}

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from engram.functions import lexicon as lx
+from engram.functions import let, lexicon as lx
 
 TS = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?"
 
@@ -123,76 +124,67 @@ def code_language(code: Column) -> Column:
 
 
 def content_class(text: Column) -> Column:
-    """court / json / code / mixte / texte, from counts of indicators."""
-    trimmed, low = strip(text), F.lower(text)
-    has = lambda c, w: F.contains(c, F.lit(w))
-    code_signs = [
-        trimmed.startswith("{") & trimmed.endswith("}"),
-        trimmed.startswith("[") & trimmed.endswith("]"),
-        has(text, "```"),
-        has(text, "def ") & has(text, ":"),
-        has(text, "function "),
-        has(text, "import "),
-        has(text, "class ") & has(text, ":"),
-        has(low, "curl "),
-        has(text, '"action":'),
-        has(text, '"status":'),
-    ]
-    talk_signs = [has(low, w) for w in ("je ", "tu ", "nous ", "merci", "bonjour")] + [has(text, "?"), has(text, "!")]
-    total = lambda signs: sum((s.cast("int") for s in signs), F.lit(0))
-    code, talk = total(code_signs), total(talk_signs)
-    return (
-        F.when(F.length(trimmed) < 20, "court")
-        .when((code > 2) & (talk > 2), "mixte")
-        .when((code > 2) & (trimmed.startswith("{") | trimmed.startswith("[")), "json")
-        .when(code > 2, "code")
-        .otherwise("texte")
-    )
+    """court / json / code / mixte / texte, from counts of the signs in `lexicon.CONTENT_SIGNS`."""
+    forms = {"text": text, "lower": F.lower(text), "trimmed": strip(text)}
 
+    def present(sign) -> Column:
+        form, first, *rest = sign
+        if form == "trimmed":  # first and last characters
+            return forms[form].startswith(first) & forms[form].endswith(rest[0])
+        found = F.contains(forms[form], F.lit(first))
+        for more in rest:
+            found = found & F.contains(forms[form], F.lit(more))
+        return found
 
-def _guess_language(code: str) -> str:
-    forms = {"exact": code, "lower": code.lower(), "upper": code.upper()}
-    for name, form, words in lx.CODE_HINTS:
-        if any(w in forms[form] for w in words) or (name == "bash" and code.strip().startswith("#!")):
-            return name
-    body = code.strip()
-    if body.startswith("{") and body.endswith("}"):
-        try:
-            __import__("json").loads(code)
-            return "json"
-        except ValueError:
-            pass
-    return "code"
+    many = {side: sum((present(sign).cast("int") for sign in signs), F.lit(0)) > 2 for side, signs in lx.CONTENT_SIGNS.items()}
+    opened = F.substring(forms["trimmed"], 1, 1).isin("{", "[")
+    kind = F.when(many["talk"], "mixte").when(opened, "json").otherwise("code")
+    return F.when(F.length(forms["trimmed"]) < 20, "court").otherwise(F.when(many["code"], kind).otherwise("texte"))
 
 
-_BRACKET_BLOCK = re.compile(r"\[Code\]\s*\n([\s\S]*?)(?=\n\n[^\s\[]|\n\[|\Z)")
-_FENCE_BLOCK = re.compile(r"```(\w*)\n([\s\S]*?)```")
+def _code_block(body: Column, hint: Column) -> Column:
+    """A body between language markers; nothing when it is empty."""
 
+    def marked(code: Column) -> Column:
+        language = F.when(hint.isin("", "code"), code_language(code)).otherwise(hint)
+        return F.when(code == "", "").otherwise(
+            let(language, lambda name: F.concat(F.lit("[CODE:"), name, F.lit(":START]\n"), code, F.lit("\n[CODE:"), name, F.lit(":END]")))
+        )
 
-@F.pandas_udf(T.StringType())
-def _fence(texts: pd.Series) -> pd.Series:
-    def wrap(body: str, hint: str) -> str:
-        body = body.strip()
-        if not body:
-            return ""
-        lang = hint if hint and hint != "code" else _guess_language(body)
-        return f"[CODE:{lang}:START]\n{body}\n[CODE:{lang}:END]"
+    return let(strip(body), marked)
 
-    def one(text):
-        text = _BRACKET_BLOCK.sub(lambda m: wrap(m.group(1), ""), text)
-        text = _FENCE_BLOCK.sub(lambda m: wrap(m.group(2), m.group(1).lower()), text)
-        return re.sub(r"\n{3,}", "\n\n", text)
 
-    return texts.map(one, na_action="ignore")
+def _bracketed(part: Column) -> Column:
+    """A part that may start with `[Code]`: its block reaches to a new bracket line, or to a paragraph that isn't indented."""
+    opening = r"^\[Code\]\s*\n"
+
+    def block(body: Column) -> Column:
+        stop = F.regexp_instr(body, F.lit(r"\n\n[^\s\[]|\n\["))
+        inside = F.when(stop > 0, F.substring(body, F.lit(1), stop - 1)).otherwise(body)
+        return F.concat(_code_block(inside, F.lit("")), F.when(stop > 0, F.substring(body, stop, F.length(body))).otherwise(""))
+
+    return F.when(F.rlike(part, F.lit(opening)), let(F.regexp_replace(part, opening, ""), block)).otherwise(part)
 
 
 def fence_code(text: Column) -> Column:
     """Turn `[Code]` blocks and markdown fences into `[CODE:lang:START]…[CODE:lang:END]`; empty blocks go.
 
-    Only rows that hold a block cross to Python; the language of each block needs its own detection.
+    The text is cut at the block starts, each part is labelled, and the parts are joined again; a fence without an end,
+    or with more than a word behind its start, stays as it is.
     """
-    holds = F.contains(text, F.lit("[Code]")) | F.contains(text, F.lit("```"))
-    return F.when(holds, _fence(F.when(holds, text))).otherwise(squeeze_newlines(text))
+    fence, opening = "```", r"^(\w*)\n"
+    joined = F.array_join(F.transform(F.split(text, r"(?=\[Code\]\s*\n)"), _bracketed), "")
+
+    def fenced(parts: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            inside = (i % 2 == 1) & (i < F.size(parts) - 1)
+            block = _code_block(F.regexp_replace(part, opening, ""), F.lower(F.regexp_extract(part, opening, 1)))
+            raw = F.concat(F.lit(fence), part, F.when(inside, fence).otherwise(""))
+            return F.when(i % 2 == 0, part).when(inside & F.rlike(part, F.lit(opening)), block).otherwise(raw)
+
+        return F.array_join(F.transform(parts, piece), "")
+
+    return squeeze_newlines(let(F.split(joined, fence), fenced))
 
 
 def file_ext(name: Column) -> Column:
@@ -224,6 +216,12 @@ def short_hash(content: Column) -> Column:
     return F.substring(F.md5(content), 1, 12)
 
 
+@F.pandas_udf(T.StringType())
+def decode_references(texts: pd.Series) -> pd.Series:
+    """Named and numeric character references as characters; a no-break space as a blank."""
+    return texts.map(lambda t: unescape(t).replace("\xa0", " "), na_action="ignore")
+
+
 def html_text(html: Column) -> Column:
     """Visible text: script, style, nav, footer and header blocks go, pieces are trimmed and joined by newline."""
     body = html
@@ -233,10 +231,8 @@ def html_text(html: Column) -> Column:
     body = F.regexp_replace(body, r"(?s)<!doctype[^>]*>", "")
     pieces = F.transform(F.split(body, r"(?s)<[^>]*>"), lambda p: strip(p))
     text = F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
-    # entities (fixed values); the ampersand last so that it cannot build a new entity
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
+    # only texts with references cross to Python
+    return strip(F.when(F.contains(text, F.lit("&")), decode_references(F.when(F.contains(text, F.lit("&")), text))).otherwise(text))
 
 
 def wildcard_regex(query: str) -> str:
@@ -244,30 +240,21 @@ def wildcard_regex(query: str) -> str:
     return ".*".join(re.escape(part) for part in query.split("*"))
 
 
-def glob_regexes(pattern: str) -> list[str]:
-    """Regexes for an object-name pattern; `**` between slashes also matches no folder at all."""
-
-    def translate(glob: str) -> str:
-        out, i = "", 0
-        while i < len(glob):
-            c = glob[i]
-            if c == "*":
-                out += ".*"
-                while i + 1 < len(glob) and glob[i + 1] == "*":
-                    i += 1
-            elif c == "?":
-                out += "."
-            elif c == "[" and "]" in glob[i + 2:]:
-                end = glob.index("]", i + 2)
-                inner = glob[i + 1:end].replace("\\", "\\\\")
-                out += "[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]"
-                i = end
-            else:
-                out += re.escape(c)
-            i += 1
-        return f"(?s)^{out}$"
-
-    collapsed = pattern.replace("/**/", "/")
-    forms = [pattern, collapsed]
-    forms += [p[3:] for p in (pattern, collapsed) if p.startswith("**/")]
-    return [translate(p) for p in dict.fromkeys(forms)]
+_GLOB_PART = re.compile(r"(?:(?<=/)|^)\*\*/|\*+|\?|\[!?[^\]]+\]|[^*?\[]+|\[")
+
+
+def glob_regex(pattern: str) -> str:
+    """Regex of an object-name pattern: `**/` is any folders or none, `*` any characters, `?` one, `[…]` and `[!…]` sets."""
+    out = []
+    for part in _GLOB_PART.findall(pattern):
+        if part == "**/":
+            out.append("(?:.*/)?")
+        elif part[0] == "*":
+            out.append(".*")
+        elif part == "?":
+            out.append(".")
+        elif part[0] == "[" and len(part) > 2:
+            out.append(part.replace("\\", "\\\\").replace("[!", "[^", 1))
+        else:
+            out.append(re.escape(part))
+    return "(?s)^" + "".join(out) + "$"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from engram.functions.text import glob_regexes
+from engram.functions.text import glob_regex
 
 
 def prefix_sizes(inventory: DataFrame, path: str = "path", size: str = "size", exclude: Sequence[str] = ()) -> DataFrame:
@@ -66,7 +66,4 @@ def sync_plan(
 
 def glob_filter(inventory: DataFrame, pattern: str, path: str = "path") -> DataFrame:
     """Paths that match a wildcard pattern."""
-    hit = F.lit(False)
-    for rx in glob_regexes(pattern):
-        hit = hit | F.col(path).rlike(rx)
-    return inventory.filter(hit)
+    return inventory.filter(F.col(path).rlike(glob_regex(pattern)))

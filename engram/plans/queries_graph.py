@@ -661,9 +661,13 @@ def _(d):
     return d.documents.select("doc_id", F.md5(tx.clean_fused_artefacts(F.replace(fused, F.lit("turn0search1"), F.lit("")))).alias("digest"))
 
 
-@query("fn4_fence_code")
+FENCED_SQL = """SELECT doc_id, regexp_replace(concat(text, chr(10), '[CODE:python:START]', chr(10), 'x = 1', chr(10), '[CODE:python:END]', chr(10), '[CODE:python:START]', chr(10), 'import os', chr(10),
+  'print(os)', chr(10), '[CODE:python:END]', chr(10), chr(10), 'Fin ', text, chr(10), '[CODE:sql:START]', chr(10), 'SELECT 1 FROM t', chr(10), '[CODE:sql:END]'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents"""
+
+
+@query("fn4_fence_code", FENCED_SQL)
 def _(d):
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     body = F.concat(t, F.lit("\n```python\nx = 1\n```\n[Code]\nimport os\nprint(os)\n\nFin "), t, F.lit("\n```\nSELECT 1 FROM t\n```"))
     return d.documents.select("doc_id", tx.fence_code(body).alias("text"))
 
@@ -736,7 +740,7 @@ def _(d):
     return out.select("id", "gr_id", "confidence_score", F.size("tags_roget").alias("n_tags"), F.size("sujets").alias("n_subjects"), F.length("resume_texte").cast("long").alias("summary_length"), "emotion_valence")
 
 
-@query("fn12_repair_json")
+@query("fn12_repair_json", "SELECT CASE WHEN id % 6 = 5 THEN 'quarantine' ELSE 'good' END AS state, count(*) AS n FROM segments GROUP BY 1")
 def _(d):
     k = F.col("id") % 6
     value = F.concat(F.lit('"'), F.col("auteur"), F.lit('"'))
