@@ -17,8 +17,7 @@ from engram.operators.mutations import EDGE_KEY
 from engram.session import materialise
 
 EDGE_COLUMNS = ["source_id", "target_id", "type", "poids", "metadata"]
-# blocks up to this size become edges; larger ones stay member lists and are followed from the asked segments
-MAX_BLOCK_EDGES = 64
+BLOCK = ["gr_id", "source_file"]
 
 
 def _meta(**fields: Column) -> Column:
@@ -64,31 +63,23 @@ def _blocks(seg: DataFrame) -> DataFrame:
     return seg.filter("gr_id IS NOT NULL").select("gr_id", F.coalesce("source_file", F.lit("")).alias("source_file"), "id", "timestamp")
 
 
-def _block_sizes(seg: DataFrame) -> DataFrame:
-    return _blocks(seg).groupBy("gr_id", "source_file").agg(F.count(F.lit(1)).alias("size"))
+def block_members(seg: DataFrame) -> DataFrame:
+    """The links within thematic blocks, as one row per segment of a block of two or more: gr_id, source_file, id,
+    timestamp, size of the block, and place in it by time (from 0).
 
-
-def weave_blocks(seg: DataFrame, max_block: int = MAX_BLOCK_EDGES) -> DataFrame:
-    """Edges between all segments of a thematic block of at most `max_block` segments.
-
-    A block of n segments has n(n-1)/2 edges, so only bounded blocks are expanded: at most max_block/2 edges per
-    segment. Larger blocks are not dropped: `block_members` keeps them whole and `explore_links` follows them.
+    A block of n segments stands for n(n-1)/2 links; they are never written out, whatever its size.
     """
-    small = _block_sizes(seg).filter((F.col("size") >= 2) & (F.col("size") <= max_block)).drop("size")
-    members = _blocks(seg).join(small, ["gr_id", "source_file"], "left_semi")
-    lists = members.groupBy("gr_id", "source_file").agg(
-        F.sort_array(F.collect_list(F.struct("timestamp", "id")))["id"].alias("ids")  # at most max_block
-    )
-    later = lists.select(
-        "gr_id", "source_file", "ids", F.posexplode("ids").alias("pos", "source_id")
-    ).select("gr_id", "source_file", "source_id", F.explode(F.slice("ids", F.col("pos") + 2, F.size("ids"))).alias("target_id"))
-    return _edges(later, "MEME_GROUPE", "source_id", "target_id", _meta(gr_id=F.col("gr_id"), source_file=F.col("source_file")))
+    rows = _blocks(seg)
+    sizes = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("size")).filter("size >= 2")
+    return o.ordinals(rows.join(sizes, BLOCK), ["timestamp", "id"], "place", BLOCK)
 
 
-def block_members(seg: DataFrame, min_block: int = MAX_BLOCK_EDGES + 1) -> DataFrame:
-    """Members of the blocks too large to expand: the same links as one row per segment."""
-    large = _block_sizes(seg).filter(F.col("size") >= min_block)
-    return _blocks(seg).join(large, ["gr_id", "source_file"]).select("gr_id", "source_file", "id", "timestamp", "size")
+def weave_blocks(seg: DataFrame) -> DataFrame:
+    """The links within blocks listed one by one: as many rows as asked for, so only for blocks meant to be read as pairs."""
+    rows = _blocks(seg)
+    later = rows.select(*BLOCK, F.col("id").alias("target_id"), F.struct("timestamp", "id").alias("_after"))
+    pairs = rows.join(later, BLOCK).filter(F.struct("timestamp", "id") < F.col("_after"))
+    return _edges(pairs, "MEME_GROUPE", "id", "target_id", _meta(gr_id=F.col("gr_id"), source_file=F.col("source_file")))
 
 
 def weave_tags(seg: DataFrame, window: int = 10) -> DataFrame:
@@ -168,17 +159,24 @@ def weave_sequences(seg: DataFrame, minimum: float = 0.6, distance: float = 0.10
 
 
 def rebuild_graph(seg: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """All woven edges, plus the stored edges of hand-made types, which a rebuild must not lose."""
+    """All woven edges but those within blocks (see `block_members`), plus the stored edges of hand-made types, which a
+    rebuild must not lose."""
     # within one rule a key occurs once, and types differ between rules: a plain union has unique keys
-    out = weave_sequences(seg).unionByName(weave_blocks(seg))
+    out = weave_sequences(seg)
     if existing is None:
         return out
     kinds = [k for k in lx.LINK_WEIGHTS if k != "LIEN_VERSION"]
     return out.unionByName(existing.filter(~F.col("type").isin(*kinds)).select(*EDGE_COLUMNS))
 
 
-def graph_counts(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+def graph_counts(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Links by type; those within blocks are counted from the blocks' sizes."""
+    counts = edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    if members is None:
+        return counts
+    # each member has a link to every earlier one
+    within = members.agg(F.sum("place").cast("bigint").alias("n")).filter("n > 0").select(F.lit("MEME_GROUPE").alias("type"), "n")
+    return counts.unionByName(within).groupBy("type").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -192,11 +190,17 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def neighbours(edges: DataFrame, seg: DataFrame, ids: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
-    """Neighbours of a segment set with their attributes."""
-    if types:
-        edges = edges.filter(F.col("type").isin(*types))
-    hits = _both_ways(edges).join(ids.select(F.col("id").alias("here")).distinct(), "here")
+def neighbours(edges: DataFrame, seg: DataFrame, ids: DataFrame, types: Sequence[str] | None = None, members: DataFrame | None = None) -> DataFrame:
+    """Neighbours of a segment set with their attributes; `members` are the blocks of `block_members`."""
+    kinds = link_types(types)
+    asked = ids.select(F.col("id").alias("here")).distinct()
+    hits = _both_ways(edges.filter(F.col("type").isin(*kinds)) if types else edges).join(asked, "here")
+    if members is not None and "MEME_GROUPE" in kinds:
+        own = members.select(*BLOCK, F.col("id").alias("here")).join(asked, "here")
+        within = own.join(members.select(*BLOCK, F.col("id").alias("there")), BLOCK).filter("here <> there").select(
+            "here", "there", F.lit("MEME_GROUPE").alias("type"), F.lit(lx.LINK_WEIGHTS["MEME_GROUPE"]).alias("poids")
+        )
+        hits = hits.unionByName(within)
     return hits.join(
         seg.select(F.col("id").alias("there"), "timestamp", "resume_texte", "auteur"), "there"
     ).select(F.col("here").alias("id"), F.col("there").alias("linked_id"), F.col("type").alias("link_type"), "poids", "timestamp", "resume_texte", "auteur")
@@ -212,53 +216,46 @@ def link_types(types: Sequence[str] | None) -> list[str]:
     return valid
 
 
-def _step(frontier: DataFrame, edges: DataFrame, members: DataFrame | None, reported: DataFrame | None) -> DataFrame:
-    """(start, node, poids, type) one hop from the frontier (start, here).
-
-    `members` tells the blocks of a node, `reported` the members of a block that can matter for the result.
-    """
-    hop = frontier.join(edges, "here").select("start", F.col("there").alias("node"), "poids", "type")
-    if members is not None:
-        block = ["gr_id", "source_file"]
-        # the frontier's blocks, once per start and block, then the members of those blocks
-        touched = frontier.join(members.select(*block, F.col("id").alias("here")), "here").select("start", *block).distinct()
-        grouped = touched.join(reported.select(*block, F.col("id").alias("node")), block).select(
-            "start", "node", F.lit(lx.LINK_WEIGHTS["MEME_GROUPE"]).alias("poids"), F.lit("MEME_GROUPE").alias("type")
-        )
-        hop = hop.unionByName(grouped)
-    best = F.min(F.struct((-F.col("poids")).alias("w"), "type"))
-    return hop.groupBy("start", "node").agg(best.alias("e")).select("start", "node", (-F.col("e.w")).alias("poids"), F.col("e.type").alias("type"))
-
-
 def explore_links(
     edges: DataFrame, seg: DataFrame, starts: DataFrame, types: Sequence[str] | None = None, depth: int = 1,
     max_results: int = 10, members: DataFrame | None = None,
 ) -> DataFrame:
-    """Breadth-first walk of one or two hops from many starts (column `id`) at once.
+    """Breadth-first walk of `depth` hops from many starts (column `id`) at once.
 
     A node is reported once per start, at its first depth, with its heaviest edge; heaviest first, then oldest.
-    `members` are the large blocks of `block_members`. Starts that do not exist give no rows (see `missing_starts`).
+    `members` are the blocks of `block_members`. A block is followed at the first hop that touches it: all its members
+    are reached then. All links of a block weigh the same and older members come first, so at the last hop only the first
+    `max_results` members that aren't known yet can be reported, and no more are read, however large the block is.
+    Starts that do not exist give no rows (see `missing_starts`).
     """
-    depth = min(max(1, depth), 2)
-    max_results = min(max(1, max_results), 50)
+    if depth < 1 or max_results < 1:
+        raise ValueError("depth and max_results must be at least 1")
     kinds = link_types(types)
     usable = _both_ways(edges.filter(F.col("type").isin(*kinds)))
     if "MEME_GROUPE" not in kinds:
         members = None
     attrs = seg.select(F.col("id").alias("node"), "timestamp", "resume_texte", "auteur")
-    known = attrs.select(F.col("node").alias("start"))
-    level = starts.select(F.col("id").alias("start")).distinct().join(known, "start", "left_semi")
+    level = starts.select(F.col("id").alias("start")).distinct().join(attrs.select(F.col("node").alias("start")), "start", "left_semi")
     frontier = level.withColumn("here", F.col("start"))
-    found, visited = None, frontier.select("start", F.col("here").alias("node"))
-    reported = members
-    if members is not None and depth == 1:
-        # all links of a block weigh the same and older nodes come first: of one block only its first
-        # max_results members (and the start itself) can be reported, so a huge block adds no more rows than that
-        first = F.row_number().over(W.partitionBy("gr_id", "source_file").orderBy("timestamp", "id"))
-        reported = members.withColumn("_n", first).filter(F.col("_n") <= max_results + 1).drop("_n")
+    found, visited, followed = None, frontier.select("start", F.col("here").alias("node")), None
+    best = F.min(F.struct((-F.col("poids")).alias("w"), "type"))
     for d in range(1, depth + 1):
-        hop = _step(frontier, usable, members, reported).join(visited, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
-        hop = hop.join(attrs, "node")
+        hop = frontier.join(usable, "here").select("start", F.col("there").alias("node"), "poids", "type")
+        if members is not None:
+            own = members.select(*BLOCK, F.col("id").alias("here"))
+            touched = frontier.join(own, "here").groupBy("start", *BLOCK).agg(F.count(F.lit(1)).alias("known"))
+            if followed is not None:
+                touched = touched.join(followed, ["start", *BLOCK], "left_anti")
+            reach = members.select(*BLOCK, F.col("id").alias("node"), "place")
+            reached = touched.join(reach, BLOCK)
+            if d == depth:
+                reached = reached.filter(F.col("place") < max_results + F.col("known"))
+            hop = hop.unionByName(reached.select("start", "node", F.lit(lx.LINK_WEIGHTS["MEME_GROUPE"]).alias("poids"), F.lit("MEME_GROUPE").alias("type")))
+            if d < depth:
+                blocks = touched.select("start", *BLOCK)
+                followed = blocks if followed is None else followed.unionByName(blocks)
+        hop = hop.groupBy("start", "node").agg(best.alias("e")).select("start", "node", (-F.col("e.w")).alias("poids"), F.col("e.type").alias("type"))
+        hop = hop.join(visited, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)).join(attrs, "node")
         if d < depth:
             hop = materialise(hop)  # used three times below
         found = hop if found is None else found.unionByName(hop)

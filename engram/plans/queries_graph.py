@@ -62,7 +62,7 @@ def _(d):
 def _(d):
     # a few huge blocks: their pairs are never written out
     seg = d.segments.withColumn("gr_id", F.col("id") % 7)
-    return graph.block_members(seg, min_block=2).select("gr_id", "source_file", "id", "size")
+    return graph.block_members(seg).select("gr_id", "source_file", "id", "size")
 
 
 @query("graph4_shared_tags", f"WITH {TAG_CTE} {TAG_SQL}")
@@ -88,12 +88,13 @@ def _(d):
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
     stale = manual.withColumn("type", F.lit("TAGS_PARTAGES"))
-    return graph.rebuild_graph(d.segments, manual.unionByName(stale)).select(*EDGE_KEY, "poids")
+    woven = graph.rebuild_graph(d.segments, manual.unionByName(stale))
+    return woven.unionByName(graph.weave_blocks(d.segments)).select(*EDGE_KEY, "poids")
 
 
 @query("graph6_counts", f"WITH {ALL_EDGES_CTE} SELECT type, count(*) AS n FROM edges GROUP BY type")
 def _(d):
-    return graph.graph_counts(graph.rebuild_graph(d.segments))
+    return graph.graph_counts(graph.rebuild_graph(d.segments), graph.block_members(d.segments))
 
 
 @query("set2_union_edges", f"WITH {PEAKS_CTE}, u AS ({PERSON_SQL} UNION ALL {PROJECT_SQL} UNION ALL {EMOTION_SQL}) SELECT type, count(*) AS n FROM u GROUP BY type")
@@ -116,11 +117,12 @@ BOTH = "both_ways AS (SELECT source_id AS here, target_id AS there, type, poids
 
 @query(
     "join1_neighbours",
-    f"""WITH {ALL_EDGES_CTE}, {BOTH} SELECT s.start AS id, b.there AS linked_id, b.type AS link_type, b.poids FROM {STARTS_SQL} s JOIN both_ways b ON b.here = s.start WHERE b.type IN ('LIEN_PERSONNE', 'TAGS_PARTAGES')""",
+    f"""WITH {ALL_EDGES_CTE}, {BOTH} SELECT s.start AS id, b.there AS linked_id, b.type AS link_type, b.poids FROM {STARTS_SQL} s JOIN both_ways b ON b.here = s.start WHERE b.type IN ('LIEN_PERSONNE', 'TAGS_PARTAGES', 'MEME_GROUPE')""",
 )
 def _(d):
     edges = materialise(graph.rebuild_graph(d.segments))
-    return graph.neighbours(edges, d.segments, starts(d), ["LIEN_PERSONNE", "TAGS_PARTAGES"]).select("id", "linked_id", "link_type", "poids")
+    members = graph.block_members(d.segments)
+    return graph.neighbours(edges, d.segments, starts(d), ["LIEN_PERSONNE", "TAGS_PARTAGES", "MEME_GROUPE"], members).select("id", "linked_id", "link_type", "poids")
 
 
 EXPLORE_SQL = f"""WITH {ALL_EDGES_CTE}, {BOTH},
@@ -135,7 +137,7 @@ EXPLORE_SQL = f"""WITH {ALL_EDGES_CTE}, {BOTH},
 @query("graph7_explore_depth2", EXPLORE_SQL)
 def _(d):
     edges = materialise(graph.rebuild_graph(d.segments))
-    out = graph.explore_links(edges, d.segments, starts(d), depth=5, max_results=50)
+    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=materialise(graph.block_members(d.segments)))
     return out.select("id", "linked_id", "poids", "depth", F.col("rank").cast("long").alias("rank"))
 
 
@@ -149,7 +151,7 @@ def _(d):
 def _(d):
     seg = d.segments.withColumn("gr_id", F.col("id") % 7)
     members = graph.block_members(seg)
-    edges = graph.weave_blocks(seg)
+    edges = graph.weave_tags(seg)
     out = graph.explore_links(edges, seg, starts(d), types=["meme_groupe"], members=members)
     return out.select("id", "linked_id", "poids", F.col("rank").cast("long").alias("rank"))
 
@@ -157,7 +159,7 @@ def _(d):
 @query("agg12_link_histogram", EXPLORE_SQL.replace("SELECT start AS id, node AS linked_id, poids, depth, rank FROM r WHERE rank <= 50", "SELECT depth, count(*) AS n FROM r WHERE rank <= 50 GROUP BY depth"))
 def _(d):
     edges = materialise(graph.rebuild_graph(d.segments))
-    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50)
+    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=materialise(graph.block_members(d.segments)))
     return out.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -166,7 +168,8 @@ def _(d):
     from engram.operators.aggregates import link_histogram
 
     edges = materialise(graph.rebuild_graph(d.segments))
-    return link_histogram(graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50))
+    members = materialise(graph.block_members(d.segments))
+    return link_histogram(graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=members))
 
 
 @query("graph8_typed_links", "SELECT id AS source_id, id + 2 AS target_id, CASE id % 3 WHEN 0 THEN 'GENEALOGIE' ELSE 'EVOLUE_VERS' END AS type FROM segments WHERE id % 3 < 2")

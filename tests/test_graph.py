@@ -47,15 +47,29 @@ def test_null_and_zero_activation_count_as_half(spark):
     assert edges(graph.weave_emotions(s)) == [(1, 2), (1, 3), (2, 3)]
 
 
-def test_blocks_split_into_edges_and_members_without_loss(spark):
-    s = small_segments(spark, [(i, [], 0.0, 0.0, 1 if i < 10 else 2, []) for i in range(13)])
-    small_blocks, large = graph.weave_blocks(s, max_block=5), graph.block_members(s, min_block=6)
-    assert edges(small_blocks) == [(10, 11), (10, 12), (11, 12)]
-    assert sorted(r["id"] for r in large.collect()) == list(range(10))
-    start = spark.createDataFrame([(3,)], "id LONG")
+def test_blocks_of_any_size_are_member_rows(spark):
+    s = small_segments(spark, [(i, [], 0.0, 0.0, 1 if i < 300 else 2, []) for i in range(303)] + [(303, [], 0.0, 0.0, 3, [])])
+    assert graph.weave_blocks(s.filter("gr_id = 2")).count() == 3
+    members = graph.block_members(s).cache()
+    assert members.count() == 303 and sorted(r["place"] for r in members.filter("gr_id = 2").collect()) == [0, 1, 2]
+    none = graph.weave_tags(s)
+    assert {r["type"]: r["n"] for r in graph.graph_counts(none, members).collect()} == {"MEME_GROUPE": 300 * 299 // 2 + 3}
+    start = spark.createDataFrame([(3,), (301,), (303,)], "id LONG")
     s2 = s.withColumns({"resume_texte": F.lit("x"), "auteur": F.lit("human")})
-    found = graph.explore_links(small_blocks, s2, start, members=large, max_results=50).collect()
-    assert sorted(r["linked_id"] for r in found) == [i for i in range(10) if i != 3]
+    assert graph.neighbours(none, s2, start, members=members).count() == 299 + 2
+    found = graph.explore_links(none, s2, start, members=members, max_results=200).collect()
+    assert sorted(r["linked_id"] for r in found if r["id"] == 3) == [i for i in range(201) if i != 3]
+    assert sorted(r["linked_id"] for r in found if r["id"] == 301) == [300, 302]
+
+
+def test_last_hop_reads_only_what_can_be_reported(spark):
+    """Start 0 is tied to 5 and 7 of a block of 100: at the second hop the oldest unknown members come first."""
+    s = small_segments(spark, [(i, [], 0.0, 0.0, 1 if i > 0 else None, []) for i in range(101)])
+    s2 = s.withColumns({"resume_texte": F.lit("x"), "auteur": F.lit("human")})
+    e = spark.createDataFrame([(0, 5, "AUTRE", 1.0), (0, 1, "AUTRE", 1.0), (3, 0, "AUTRE", 1.0)], "source_id LONG, target_id LONG, type STRING, poids DOUBLE")
+    e = e.withColumn("type", F.lit("TAGS_PARTAGES"))
+    found = graph.explore_links(e, s2, spark.createDataFrame([(0,)], "id LONG"), depth=2, max_results=6, members=graph.block_members(s))
+    assert [(r["linked_id"], r["depth"]) for r in found.orderBy("rank").collect()] == [(2, 2), (4, 2), (6, 2), (7, 2), (8, 2), (9, 2)]
 
 
 def test_single_scan_equals_single_rules(seg):
@@ -71,10 +85,13 @@ def test_keys_are_unique(seg):
     assert out.groupBy("source_id", "target_id", "type").count().filter("count > 1").isEmpty()
 
 
-def test_explore_depth_is_clamped_and_limited(seg):
-    out = graph.explore_links(graph.rebuild_graph(seg), seg, seg.limit(5).select("id"), depth=9, max_results=500)
-    assert out.agg(F.max("depth")).first()[0] <= 2
-    assert out.groupBy("id").count().agg(F.max("count")).first()[0] <= 50
+def test_explore_depth_is_honoured(spark):
+    s = small_segments(spark, [(i, [], 0.0, 0.0, None, []) for i in range(9)]).withColumns({"resume_texte": F.lit("x"), "auteur": F.lit("human")})
+    e = spark.createDataFrame([(i, i + 1, "TAGS_PARTAGES", 1.3) for i in range(8)], "source_id LONG, target_id LONG, type STRING, poids DOUBLE")
+    one = spark.createDataFrame([(0,)], "id LONG")
+    assert sorted((r["linked_id"], r["depth"]) for r in graph.explore_links(e, s, one, depth=5, max_results=500).collect()) == [(i, i) for i in range(1, 6)]
+    with pytest.raises(ValueError):
+        graph.explore_links(e, s, one, depth=0)
 
 
 def test_unknown_link_type(seg):
