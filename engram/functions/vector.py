@@ -11,8 +11,6 @@ from engram.functions import lexicon as lx
 from engram.functions.text import contains_any
 
 VECTOR = T.MapType(T.IntegerType(), T.DoubleType())
-# class keywords travel inside the plan as a literal; larger dictionaries must be split by the caller
-MAX_KEYWORDS = 20_000
 
 
 def bag_of_words(df: DataFrame) -> Column:
@@ -59,8 +57,6 @@ def vectorise(
 
     The dictionaries are constants of the plan and each text is folded over them once; no join, no shuffle.
     """
-    if len(class_keywords) + len(theme_keywords) > MAX_KEYWORDS:
-        raise ValueError(f"more than {MAX_KEYWORDS} keywords")
     direct = []
     for pos, name in {**lx.STATE_POSITIONS, **lx.COMMUNICATION_POSITIONS}.items():
         if name in df.columns:

@@ -10,7 +10,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from engram.functions import lexicon as lx
 from engram.functions.dates import at
@@ -54,10 +56,12 @@ def candidate_predicate(
     persons: Sequence[str] = (),
     start: datetime | None = None,
     end: datetime | None = None,
+    most_keywords: int | None = None,
+    most_persons: int | None = None,
 ) -> Column:
     """Date range AND keywords (unless persons are asked) AND tags AND persons, each an OR over its values.
 
-    As in the contract, the first five keywords and the first three persons filter; all of them score.
+    All keywords and persons filter; `most_keywords=5` and `most_persons=3` are the contract's shorter lists.
     """
     cond = F.lit(True)
     if start is not None:
@@ -66,12 +70,12 @@ def candidate_predicate(
         cond = cond & (F.col("timestamp") <= at(end))
     if keywords and not persons:
         cond = cond & any_of(
-            [F.contains(haystack("resume_texte", "sujets", "projets", "lieux"), F.lit(w.lower())) for w in keywords[:5]]
+            [F.contains(haystack("resume_texte", "sujets", "projets", "lieux"), F.lit(w.lower())) for w in keywords[:most_keywords]]
         )
     if tags:
         cond = cond & any_of([list_like("tags_roget", t) for t in tags])
     if persons:
-        cond = cond & any_of([F.contains(normalize_list(F.col("personnes")), fold(F.lit(p))) for p in persons[:3]])
+        cond = cond & any_of([F.contains(normalize_list(F.col("personnes")), fold(F.lit(p))) for p in persons[:most_persons]])
     return cond
 
 
@@ -129,14 +133,16 @@ class AuditFilters:
         return cond
 
 
-def clamp_limit(limit: int, top: int) -> int:
-    return min(max(1, limit), top)
+def checked_limit(limit: int) -> int:
+    if limit < 1:
+        raise ValueError("a limit is at least 1")
+    return limit
 
 
 def inspect(seg: DataFrame, filters: AuditFilters = AuditFilters(), limit: int = 50, offset: int = 0, order: str = "recent") -> DataFrame:
     by = F.desc("timestamp") if order == "recent" else F.asc("timestamp")
     page = seg.filter(filters.predicate()).orderBy(by, F.asc("id"))
-    return page.offset(max(0, offset)).limit(clamp_limit(limit, 100))
+    return page.offset(max(0, offset)).limit(checked_limit(limit))
 
 
 def get_segments(seg: DataFrame, limit: int = 10, offset: int = 0, fields: Sequence[str] | None = None, segment_id: int | None = None) -> DataFrame:
@@ -144,7 +150,7 @@ def get_segments(seg: DataFrame, limit: int = 10, offset: int = 0, fields: Seque
     cols = [c for c in fields or seg.columns if c in seg.columns]
     if segment_id is not None:
         return seg.filter(F.col("id") == segment_id).select(*cols)
-    return seg.orderBy(F.desc("timestamp"), F.asc("id")).offset(max(0, offset)).limit(clamp_limit(limit, 50)).select(*cols)
+    return seg.orderBy(F.desc("timestamp"), F.asc("id")).offset(max(0, offset)).limit(checked_limit(limit)).select(*cols)
 
 
 def segments_by_id(seg: DataFrame, ids: DataFrame) -> DataFrame:
@@ -232,7 +238,7 @@ def read_reflections(
     if model:
         out = out.filter(meta("modele") == model)
     out = out.withColumns({"type_reflexion": meta("type_reflexion"), "poids_mnemique": meta("poids_mnemique").cast("double")})
-    return out.orderBy(F.desc("date_creation"), F.asc("id")).limit(clamp_limit(k, 50))
+    return out.orderBy(F.desc("date_creation"), F.asc("id")).limit(checked_limit(k))
 
 
 def last_state(facts: DataFrame, now: datetime) -> DataFrame:
@@ -257,28 +263,27 @@ def in_scope(files: DataFrame, start: str | None, end: str | None, name: str = "
     return files.filter(cond)
 
 
-def search_text(docs: DataFrame, query: str, context: int = 300, text: str = "text") -> DataFrame:
-    """All matches of a wildcard query with 0-based position, match and squeezed context.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _running(gaps: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Start of each match: all gaps up to it and all matches before it."""
+    return pd.Series([np.cumsum(g[: len(n)]) + np.cumsum(n) - n for g, n in zip(gaps, sizes)], dtype="object")
+
+
+def search_text(docs: DataFrame, query: str, context: int = 300, text: str = "text", cut: int | None = None) -> DataFrame:
+    """All matches of a wildcard query with 0-based position, match and squeezed context (its first `cut` characters).
 
     Positions come from splitting on the matches themselves, one pass per text and no second search:
     the start of match i is the length of the pieces and matches before it.
     """
-    context = min(max(100, context), 1000)
+    if context < 0:
+        raise ValueError("context is not negative")
     pattern = "(?i)" + wildcard_regex(query)
     source = docs.filter(F.col(text).rlike(pattern))
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    found = source.withColumn("_m", F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,matched:string>>").alias("hits"))
-
-    def step(acc, z):
-        start = acc["at"] + z["gap"]
-        hit = F.struct(start.alias("position"), z["m"].alias("matched"))
-        return F.struct((start + F.length(z["m"])).alias("at"), F.array_append(acc["hits"], hit).alias("hits"))
-
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    hits = source.select(*docs.columns, F.posexplode(F.aggregate(pairs, zero, step)["hits"]).alias("match_no", "h")).select(
-        *docs.columns, "match_no", "h.*"
-    )
+    starts = _running(gaps, F.transform("_m", lambda m: F.length(m)))
+    pairs = F.arrays_zip(starts.alias("position"), F.col("_m").alias("matched"))
+    hits = found.select(*docs.columns, F.posexplode(pairs).alias("match_no", "h")).select(*docs.columns, "match_no", "h.*")
     position = F.col("position")
     begin = F.greatest(F.lit(0), position - context)
     width = position + F.length("matched") + context - begin
@@ -286,7 +291,7 @@ def search_text(docs: DataFrame, query: str, context: int = 300, text: str = "te
     around = F.regexp_replace(F.regexp_replace(around, r"\n{3,}", "\n\n"), r"[ \t]+", " ")
     return hits.select(
         *[c for c in docs.columns if c != text], "match_no", position.alias("position"), "matched",
-        F.substring(around, 1, 500).alias("context"),
+        (F.substring(around, 1, cut) if cut else around).alias("context"),
     )
 
 
@@ -388,8 +393,10 @@ def title_suggestions(conversations: DataFrame, part: str) -> DataFrame:
 CORRECTION_WORDS = ["c'est", "correction", "vraie", "bonne", "trompe", "oublie", "dis", "utilise"]
 
 
-def detect_corrections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sentences that correct something: (old fact, new fact), one per document and first 50 letters of the new fact."""
+def detect_corrections(docs: DataFrame, key: str, text: str = "text", letters: int | None = None) -> DataFrame:
+    """Sentences that correct something: (old fact, new fact), one per document and new fact.
+
+    `letters=50` is the contract's rule, which takes new facts of one start for the same."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     # every pattern needs one of these words; the test is far cheaper than nine regexes
     lines = lines.filter(contains_any(F.lower("line"), CORRECTION_WORDS))
@@ -418,7 +425,7 @@ def detect_corrections(docs: DataFrame, key: str, text: str = "text") -> DataFra
     # first of each group by aggregation, so the map side already reduces repeated lines
     columns = F.struct("line_no", "pattern_no", "ancien_fait", "nouveau_fait", "contexte")
     return (
-        hits.groupBy(key, F.substring(F.lower("nouveau_fait"), 1, 50).alias("_short"))
+        hits.groupBy(key, (F.substring(F.lower("nouveau_fait"), 1, letters) if letters else F.lower("nouveau_fait")).alias("_short"))
         .agg(F.min(columns).alias("hit"))
         .select(key, "hit.*", F.lit(0.7).alias("confidence"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from engram.functions import lexicon as lx
 from engram.operators.filters import importance_of
+from engram.session import materialise
 
 EDGE_KEY = ["source_id", "target_id", "type"]
 PILLAR_CATEGORIES = ["IDENTITE", "RECHERCHE", "TECHNIQUE", "RELATION", "VALEUR"]
@@ -45,17 +46,26 @@ def upsert_facts(facts: DataFrame, updates: DataFrame) -> DataFrame:
     )
     old, new = facts.alias("o"), fresh.alias("n")
     both = old.join(new, keys, "full_outer")
-    # creation date of the stored row survives; everything else comes from the update when there is one
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
-    return both.select(
-        *keys, pick("information"), pick("importance"),
-        F.coalesce(F.col("o.date_creation"), F.col("n.derniere_maj")).alias("date_creation"), pick("derniere_maj"),
-    )
+    # id and creation date of the stored row survive; everything else comes from the update when there is one
+    mine, theirs = set(facts.columns), set(fresh.columns)
+
+    def pick(c: str) -> Column:
+        sides = [F.col(f"n.{c}")] if c in theirs else []
+        sides += [F.col(f"o.{c}")] if c in mine else []
+        if c == "id":
+            sides.reverse()
+        if c == "date_creation":
+            sides = [F.col(f"o.{c}"), F.col("n.derniere_maj")]
+        return F.coalesce(*sides).alias(c)
+
+    rest = [c for c in [*facts.columns, *(c for c in fresh.columns if c not in mine)] if c not in keys]
+    return both.select(*keys, *[pick(c) for c in rest])
 
 
 def upsert_by_key(table: DataFrame, changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Replace whole rows by key; untouched rows pass through without being reduced."""
-    fresh = latest(changes, keys, F.col(order))
+    # equal order values: the row that is largest as text wins, whatever the partitioning
+    fresh = latest(changes, keys, F.struct(F.col(order), F.to_json(F.struct(*changes.columns))))
     return table.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
 
 
@@ -124,26 +134,33 @@ def valid_pillars(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shaped.filter(ok), shaped.filter(~ok)
 
 
-MAX_NEW_PILLARS = 1_000
+PIECE = 24
 
 
-def add_pillars(pillars: DataFrame, new: DataFrame) -> DataFrame:
-    """Append pillars whose first 50 letters are not contained in a stored fact (any case).
+def add_pillars(pillars: DataFrame, new: DataFrame, letters: int | None = None) -> DataFrame:
+    """Append pillars whose text is not contained in a stored fact (any case).
 
-    Containment has no equi-join key, so the short texts of the new facts travel in the plan: new pillars are
-    hand-made and their number is checked. The stored table is scanned once and reduced to the repeated texts.
+    A text is contained only where its first `PIECE` letters stand (all of a shorter text), so these are looked up among
+    the pieces of the stored facts and the hits compared. `letters=50` is the contract's rule, which looks for the start
+    of a new fact only.
     """
     good, _ = valid_pillars(new)
-    short = F.substring(F.lower("fait"), 1, 50)
-    texts = [r[0] for r in good.select(short).distinct().limit(MAX_NEW_PILLARS + 1).collect()]
-    if len(texts) > MAX_NEW_PILLARS:
-        raise ValueError(f"more than {MAX_NEW_PILLARS} new pillars in one call")
-    if not texts:
-        return pillars
-    wanted = F.array(*[F.lit(t) for t in texts])
-    low = F.lower("fait")
-    repeated = pillars.select(F.explode(F.filter(wanted, lambda t: F.contains(low, t))).alias("_short")).distinct()
-    fresh = latest(good.withColumn("_short", short), ["_short"], F.col("id"), first=True)
+    text = F.substring(F.lower("fait"), 1, letters) if letters else F.lower("fait")
+    wanted = materialise(good.select(text.alias("_short")).distinct())
+    size = F.least(F.length("_short"), F.lit(PIECE))
+    lengths = [r[0] for r in wanted.select(size).distinct().collect()]  # PIECE values at most
+    low = pillars.select(F.lower("fait").alias("_low")).filter("_low IS NOT NULL").distinct()
+
+    def pieces_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, lengths)))) if lengths else F.array().cast("array<string>")
+    at = low.select(F.xxhash64("_low").alias("_key"), F.explode(pieces).alias("_piece"))
+    keyed = wanted.withColumn("_piece", F.substring(F.col("_short"), F.lit(1), size))
+    likely = keyed.join(at, "_piece").select("_short", "_key").distinct()
+    repeated = likely.join(low.withColumn("_key", F.xxhash64("_low")), "_key").filter(F.contains("_low", F.col("_short"))).select("_short").distinct()
+    fresh = latest(good.withColumn("_short", text), ["_short"], F.col("id"), first=True)
     return pillars.unionByName(fresh.join(repeated, "_short", "left_anti").select(*pillars.columns))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,8 +16,14 @@ from engram.functions.text import fold, normalize_list
 from engram.operators import filters as flt, windows
 from engram.session import materialise
 
-# queries travel in the plan; a longer log is searched in slices by the caller
-MAX_QUERIES = 256
+# queries travel in the plan: so many per scan
+QUERIES_PER_SCAN = 128
+
+
+def _in_slices(queries: Sequence, one: Callable[[Sequence], DataFrame]) -> DataFrame:
+    """One scan per slice of the queries."""
+    parts = [one(queries[k : k + QUERIES_PER_SCAN]) for k in range(0, len(queries), QUERIES_PER_SCAN)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass(frozen=True)
@@ -75,11 +82,15 @@ def hybrid_score(q: Query, now: datetime) -> Column:
 def score_pairs(seg: DataFrame, queries: Sequence[Query], now: datetime) -> DataFrame:
     """(query_id, score) for every segment a query accepts.
 
-    One scan serves all queries: the queries are literals of the plan, each segment emits one row per query that
-    accepts it. Nothing is joined and rejected pairs never leave the scan.
+    One scan serves up to `QUERIES_PER_SCAN` queries: they are literals of the plan, each segment emits one row per query
+    that accepts it. Nothing is joined and rejected pairs never leave the scan.
     """
-    if not 0 < len(queries) <= MAX_QUERIES:
-        raise ValueError(f"1 to {MAX_QUERIES} queries per call")
+    if not queries:
+        raise ValueError("no query")
+    return _in_slices(queries, lambda own: _score_slice(seg, own, now))
+
+
+def _score_slice(seg: DataFrame, queries: Sequence[Query], now: datetime) -> DataFrame:
     accepts = [q.predicate() for q in queries]
     scored = [
         F.when(
@@ -106,8 +117,12 @@ def hybrid_search(seg: DataFrame, queries: Sequence[Query], now: datetime, prefi
 def text_fallback(docs: DataFrame, queries: Sequence[Query], answered: DataFrame, name: str = "file_name") -> DataFrame:
     """For queries without a hit: first matching line of the files that hold the query text, score 0.1."""
     wanted = [q for q in queries if q.text]
-    if len(wanted) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per call")
+    if not wanted:
+        raise ValueError("no query has a text")
+    return _in_slices(wanted, lambda own: _fallback_slice(docs, own, answered, name))
+
+
+def _fallback_slice(docs: DataFrame, wanted: Sequence[Query], answered: DataFrame, name: str) -> DataFrame:
     slots = F.array(*[
         F.struct(F.lit(q.query_id).cast("long").alias("query_id"), F.lit(q.text.lower()).alias("text"), F.lit(q.top_k).alias("top_k")) for q in wanted
     ])
@@ -150,19 +165,22 @@ def _term_hits(seg: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
     return windows.top_k(hits, ["term_rank"], [F.desc("timestamp"), F.asc("id")], k, "_k").drop("_k")
 
 
-def expanded_search(seg: DataFrame, query: str, similar: Callable[[str], Sequence[tuple[str, float]]], k: int = 50) -> DataFrame:
-    """Search the query and its similar terms (score above 0.5, five terms in all), half of k per term."""
+def expanded_search(
+    seg: DataFrame, query: str, similar: Callable[[str], Sequence[tuple[str, float]]], k: int = 50, most_terms: int | None = None,
+    per_term: int | None = None,
+) -> DataFrame:
+    """Search the query and its similar terms (score above 0.5). The contract takes five terms and half of k per term."""
     terms = [query] + [t.replace("_", " ") for t, score in similar(query) if score > 0.5]
-    return ranked_union(_term_hits(seg, terms[:5], max(1, k // 2)), k)
+    return ranked_union(_term_hits(seg, terms[:most_terms], per_term or k), k)
 
 
 def widening_search(
     seg: DataFrame, archive: DataFrame, query: str, similar: Callable[[str], Sequence[tuple[str, float]]], pattern: str,
     enough: int = 20, k: int = 50,
 ) -> DataFrame:
-    """Keyword, then similar terms, then a regex over the archive, each only while there are not enough hits.
+    """Keyword, then similar terms, then a regex over the archive, each only while there are not enough different hits.
 
-    Rows: stage, ref (segment id or file:line).
+    Rows: stage (the first that found it), ref (segment id or file:line).
     """
     def staged(df: DataFrame, stage: int, ref: Column) -> DataFrame:
         return df.select(F.lit(stage).alias("stage"), ref.cast("string").alias("ref"))
@@ -172,14 +190,14 @@ def widening_search(
         lambda: staged(expanded_search(seg, query, similar, k), 2, F.col("id")),
         lambda: staged(flt.grep_regex(archive, pattern, k), 3, F.concat_ws(":", "file_name", "line_no")),
     ]
-    out, total = None, 0
+    out = None
     for step in steps:
-        hits = materialise(step())
-        out = hits if out is None else out.unionByName(hits)
-        total += hits.count()
-        if total >= enough:
+        hits = step()
+        both = hits if out is None else out.unionByName(hits)
+        out = materialise(both.groupBy("ref").agg(F.min("stage").alias("stage")))
+        if out.count() >= enough:
             break
-    return out.groupBy("ref").agg(F.min("stage").alias("stage"))
+    return out
 
 
 def like_search(
@@ -190,7 +208,7 @@ def like_search(
     hit = flt.any_of([flt.like(F.col(c), query) for c in cols])
     out = document_filters(files.filter(hit), domain, extension, min_importance)
     order = [F.desc("importance")] + ([F.desc("server_modified")] if "server_modified" in files.columns else []) + [F.asc("id")]
-    return out.orderBy(*order).limit(min(limit, 50))
+    return out.orderBy(*order).limit(flt.checked_limit(limit))
 
 
 def document_filters(files: DataFrame, domain: str | None, extension: str | None, min_importance: int) -> DataFrame:

@@ -97,7 +97,7 @@ def _(d):
 
 @query(
     "flt7_get_segments",
-    f"SELECT id, {SQL_STAMP}, resume_texte FROM segments ORDER BY timestamp DESC, id LIMIT 50 OFFSET 30",
+    f"SELECT id, {SQL_STAMP}, resume_texte FROM segments ORDER BY timestamp DESC, id LIMIT 500 OFFSET 30",
 )
 def _(d):
     page = flt.get_segments(d.segments, limit=500, offset=30, fields=["id", "timestamp", "resume_texte", "unknown"])
@@ -187,7 +187,7 @@ def _(d):
       '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), 1, 500) AS context FROM m""",
 )
 def _(d):
-    hits = flt.search_text(d.wide("documents").select("doc_id", "text"), "nnting", context=5).filter("match_no = 0")
+    hits = flt.search_text(d.wide("documents").select("doc_id", "text"), "nnting", context=100, cut=500).filter("match_no = 0")
     return hits.select("doc_id", F.col("position").cast("long"), "context")
 
 

@@ -351,7 +351,7 @@ def _(d):
 @query(
     "srch4_like_search",
     """SELECT id, importance FROM files WHERE (contains(lower(path_display), 'src1') OR contains(lower(name), 'src1') OR contains(lower(summary), 'src1')) AND importance >= 3
-    ORDER BY importance DESC, id LIMIT 50""",
+    ORDER BY importance DESC, id LIMIT 80""",
 )
 def _(d):
     return search.like_search(d.files, "SRC1", limit=80, min_importance=3).select("id", "importance")
@@ -403,7 +403,7 @@ def _(d):
     b AS (SELECT id, min(r) AS term_rank, max(timestamp) AS ts FROM h WHERE n <= 30 GROUP BY id) SELECT id, term_rank FROM b ORDER BY term_rank, ts DESC, id LIMIT 60""",
 )
 def _(d):
-    return search.expanded_search(d.segments, "Error", lambda t: [("user_7_", 0.9), ("purchase", 0.8), ("view", 0.5)], 60).select("id", "term_rank")
+    return search.expanded_search(d.segments, "Error", lambda t: [("user_7_", 0.9), ("purchase", 0.8), ("view", 0.5)], 60, per_term=30).select("id", "term_rank")
 
 
 @query("srch8_widening_search")

@@ -58,7 +58,11 @@ def _(d):
     return out.select("conv_id", F.col("no").cast("long").alias("no"), "source", ts(), "auteur", F.md5("text").alias("digest"))
 
 
-@query("src2_scan_archive")
+@query(
+    "src2_scan_archive",
+    """SELECT day, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM (
+    SELECT concat('2024-01-', lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0')) AS day, text FROM exchanges) WHERE day BETWEEN '2024-01-05' AND '2024-01-12' GROUP BY day""",
+)
 def _(d):
     # the archive is written from the exchanges first; then read with a date range
     root = scratch_path(d.spark, "archive")
@@ -67,9 +71,9 @@ def _(d):
         F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).alias("timestamp"), F.col("text").alias("line"),
     )
     sinks.write_daily_archive(lines, root)
-    files = d.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
-    out = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d{4}-\d{2}-\d{2})", 1).alias("day"), "value")
-    return out.filter("day BETWEEN '2024-01-05' AND '2024-01-12'").groupBy("day").agg(F.count(F.lit(1)).alias("n_lines"))
+    files = src.scan_archive(d.spark, root, "2024-01-05", "2024-01-12")
+    lines = F.size(F.split("text", "\n")) - 1
+    return files.groupBy(tx.file_date(F.col("file_name")).alias("day")).agg(F.sum(lines).alias("n_lines"))
 
 
 def tree_export(d):
@@ -279,10 +283,10 @@ def _(d):
 @query(
     "join11_segment_text",
     """SELECT s.id, md5(string_agg(l.line, chr(10) ORDER BY l.offs, l.line)) AS digest, count(*) AS n_lines
-    FROM segments s JOIN (SELECT source_file, id % 1000 AS offs, resume_texte AS line FROM segments WHERE id < 5000) l ON l.source_file = s.source_file AND l.offs >= s.token_start AND l.offs < s.token_end GROUP BY s.id""",
+    FROM segments s JOIN (SELECT source_file, id AS offs, resume_texte AS line FROM segments) l ON l.source_file = s.source_file AND l.offs >= s.token_start AND l.offs < s.token_end GROUP BY s.id""",
 )
 def _(d):
-    log = d.segments.filter("id < 5000").select("source_file", (F.col("id") % 1000).alias("offset"), F.col("resume_texte").alias("line"))
+    log = d.segments.select("source_file", F.col("id").alias("offset"), F.col("resume_texte").alias("line"))
     out = joins.segment_text(d.segments, log, bucket=64)
     return out.select("id", F.md5("text").alias("digest"), "n_lines")
 
@@ -454,7 +458,8 @@ def _(d):
     root = scratch_path(d.spark, "daily")
     msgs = exports.flat_messages(flat_export(d))
     sinks.write_daily_archive(sinks.archive_lines(msgs), root)
-    return d.spark.read.text(root).groupBy("day").agg(F.count_if(F.col("value").startswith("=== Conversation")).alias("conversations"), F.count(F.lit(1)).alias("n_lines"))
+    lines = src.scan_archive(d.spark, root).select(tx.file_date(F.col("file_name")).alias("day"), F.explode(F.split("text", "\n")).alias("value"))
+    return lines.groupBy("day").agg(F.count_if(F.col("value").startswith("=== Conversation")).alias("conversations"), F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(
@@ -470,7 +475,7 @@ def _(d):
     "snk10_add_pillars",
     """WITH old AS (SELECT * FROM pillars WHERE id % 2 = 0),
     cand AS (SELECT id + 1000000 AS id, concat('fait nouveau ', n_name) AS fait, CASE WHEN n_nationkey % 6 = 5 THEN 'AUTRE' ELSE 'VALEUR' END AS categorie FROM (SELECT n_nationkey AS id, n_nationkey, n_name FROM nation)
-      UNION ALL SELECT id + 2000000, substring(fait, 5, 30), 'VALEUR' FROM old WHERE id < 40 AND length(trim(substring(fait, 5, 30))) >= 3)
+      UNION ALL SELECT id + 2000000, substring(fait, 5, 30), 'VALEUR' FROM old WHERE length(trim(substring(fait, 5, 30))) >= 3)
     SELECT id, categorie FROM old UNION ALL SELECT id, categorie FROM cand c WHERE categorie <> 'AUTRE' AND NOT EXISTS (SELECT 1 FROM old WHERE contains(lower(old.fait), lower(trim(c.fait))))""",
 )
 def _(d):
@@ -479,7 +484,7 @@ def _(d):
         (F.col("n_nationkey").cast("long") + 1_000_000).alias("id"), F.concat(F.lit("fait nouveau "), F.col("n_name")).alias("fait"),
         F.when(F.col("n_nationkey") % 6 == 5, "autre").otherwise("valeur").alias("categorie"), F.lit(2).alias("importance"), F.current_timestamp().alias("date_creation"),
     )
-    again = old.filter("id < 40").select(
+    again = old.select(
         (F.col("id") + 2_000_000).alias("id"), F.substring("fait", 5, 30).alias("fait"), F.lit("valeur").alias("categorie"), F.lit(2).alias("importance"), "date_creation"
     )
     return mut.add_pillars(old, fresh.unionByName(again)).select("id", "categorie")

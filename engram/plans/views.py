@@ -43,7 +43,7 @@ FILES = """
 SELECT doc_id AS id, concat('/', source, '/', lang, '/doc', CAST(doc_id AS VARCHAR(20)), '.txt') AS path_display,
        concat('doc', CAST(doc_id AS VARCHAR(20)), '.txt') AS name,
        CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.pdf' WHEN 2 THEN '.txt' ELSE '.exe' END AS extension,
-       n_chars AS size, lang AS domain, substring(text, 1, 500) AS summary,
+       n_chars AS size, lang AS domain, text AS summary,
        CAST(1 + doc_id % 5 AS INT) AS importance,
        CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE 'enriched' END AS status,
        md5(text) AS content_hash
@@ -72,7 +72,7 @@ SELECT 1000 + c_custkey, c_name, 100 + CAST(c_nationkey AS BIGINT) FROM {custome
 
 FACTS = """
 SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'reflexion_etat_mental' WHEN 1 THEN 'reflexion_intuition' ELSE lang END AS domaine,
-       concat('sujet_', CAST(doc_id AS VARCHAR(20))) AS sujet, substring(text, 1, 200) AS information,
+       concat('sujet_', CAST(doc_id AS VARCHAR(20))) AS sujet, text AS information,
        CAST(1 + doc_id % 5 AS INT) AS importance,
        concat('{{"type_reflexion": "x", "poids_mnemique": 0.', CAST(doc_id % 10 AS VARCHAR(20)), ', "ego_version": "v', CAST(doc_id % 3 AS VARCHAR(20)), '"}}') AS metadata,
        {days}('2024-01-01', CAST(doc_id % 28 AS INT)) AS date_creation,
@@ -81,7 +81,7 @@ FROM {documents}
 """
 
 PILLARS = """
-SELECT doc_id AS id, substring(text, 1, 120) AS fait,
+SELECT doc_id AS id, text AS fait,
        CASE doc_id % 5 WHEN 0 THEN 'IDENTITE' WHEN 1 THEN 'RECHERCHE' WHEN 2 THEN 'TECHNIQUE' WHEN 3 THEN 'RELATION' ELSE 'VALEUR' END AS categorie,
        CAST(doc_id % 4 AS INT) AS importance, {days}('2024-01-01', CAST(doc_id % 28 AS INT)) AS date_creation
 FROM {documents}

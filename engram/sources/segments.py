@@ -62,14 +62,19 @@ def read_segments(spark: SparkSession, *paths: str) -> DataFrame:
 def scan_archive(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Dated text files below a folder, one row per file; files without a date drop out once a range is set.
 
-    With a range, the range's years become the folders that are listed at all.
+    With a range, only those of the archive's year folders that lie in it are listed.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-    roots = path
-    if start and end:
-        years = ",".join(str(y) for y in range(int(start[:4]), int(end[:4]) + 1))
-        roots = f"{path}/{{{years}}}"
-    files = reader.text(roots).select(
+    roots = [path]
+    if start or end:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        years = [f.getPath().getName() for f in found if f.isDirectory() and re.fullmatch(r"\d{4}", f.getPath().getName())]
+        if years:
+            roots = [f"{path}/{y}" for y in sorted(years) if (start or "0")[:4] <= y <= (end or "9999")[:4]]
+    if not roots:
+        return spark.createDataFrame([], "file_path string, file_name string, text string")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+    files = reader.text(roots, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")
     )
     return in_scope(files, start, end)

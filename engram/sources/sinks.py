@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -38,14 +40,31 @@ def swap(df: DataFrame, path: str, spark: SparkSession) -> None:
 
 
 def write_daily_archive(entries: DataFrame, path: str, day: str = "day", order: str = "timestamp", line: str = "line") -> None:
-    """Text archive with a folder per day, entries sorted by time.
+    """Text archive `YYYY/MM/<date>-<part>.txt`, entries sorted by time; `segments.scan_archive` reads it.
 
-    Entries are range partitioned by (day, time): a day that holds most of them becomes several files whose names
-    keep the time order, instead of one task that writes everything.
+    Entries are range partitioned by (day, time): a day that holds most of them becomes several files whose numbers
+    keep the time order, instead of one task that writes everything. The files are written aside and then renamed.
     """
-    entries.repartitionByRange(day, order).sortWithinPartitions(day, order).select(day, F.col(line).alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy(day).text(path)
+    spark = entries.sparkSession
+    date = F.date_format(F.col(day).cast("date"), "yyyy-MM-dd")
+    aside = f"{path}/.new-{uuid.uuid4().hex}"
+    entries.repartitionByRange(day, order).sortWithinPartitions(day, order).select(date.alias("_day"), F.col(line).alias("value")).write.partitionBy("_day").text(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(aside)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in sorted(fs.listStatus(source), key=lambda f: f.getPath().getName()):
+        name = folder.getPath().getName()
+        if not name.startswith("_day="):
+            continue
+        date_ = name.removeprefix("_day=")
+        target = hadoop.Path(f"{path}/{date_[:4]}/{date_[5:7]}")
+        fs.mkdirs(target)
+        for old in fs.listStatus(target):
+            if old.getPath().getName().startswith(date_):
+                fs.delete(old.getPath(), False)
+        for n, part in enumerate(sorted(p.getPath().getName() for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-"))):
+            fs.rename(hadoop.Path(folder.getPath(), part), hadoop.Path(target, f"{date_}-{n:05d}.txt"))
+    fs.delete(source, True)
 
 
 def archive_lines(messages: DataFrame) -> DataFrame:

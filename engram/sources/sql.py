@@ -14,54 +14,79 @@ class RefusedSql(ValueError):
     """The statement is not a plain read of the allowed relations."""
 
 
-def _nodes(plan) -> list:
-    out, todo = [], [plan]
+#: Leaves of a query's own making; every other leaf must lie below an allowed view.
+_OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}
+
+
+def _items(seq) -> list:
+    it, out = seq.iterator(), []
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def _functions(expression) -> list[str]:
+    """Class names of an expression and all its parts."""
+    out, todo = [], [expression]
     while todo:
-        node = todo.pop()
-        out.append(node)
-        for seq in (node.children(), node.innerChildren(), node.subqueries()):
-            it = seq.iterator()
-            while it.hasNext():
-                child = it.next()
-                if hasattr(child, "children"):
-                    todo.append(child)
+        e = todo.pop()
+        out.append(e.getClass().getSimpleName())
+        todo += _items(e.children())
     return out
 
 
+def _relations_read(plan, allowed: set[str]) -> set[str]:
+    """Views that an analysed plan reads; refuses whatever is not a plain read of the allowed ones."""
+    read, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if "Command" in name or "Python" in name or "Pandas" in name or "Arrow" in name:
+            raise RefusedSql(f"only SELECT is allowed, found {name}")
+        if name == "View":
+            view = node.desc().identifier().table().lower()
+            if view not in allowed or not node.isTempView():
+                raise RefusedSql(f"relation not allowed: {view}")
+            read.add(view)
+            continue  # what the view itself reads is the caller's business
+        for function in (f for e in _items(node.expressions()) for f in _functions(e)):
+            if "Reflect" in function or "Python" in function or function in ("ScalaUDF", "StaticInvoke", "Invoke"):
+                raise RefusedSql(f"function not allowed: {function}")
+        children = _items(node.children())
+        if not children and name not in _OWN_LEAVES:
+            raise RefusedSql(f"relation not allowed: {name}")
+        todo += [*children, *_items(node.innerChildren()), *_items(node.subqueries())]
+    return read
+
+
 def execute_sql(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], required: str | None = None) -> DataFrame:
     """Run a SELECT over the given views only.
 
-    The parsed plan is inspected (no commands, no relation outside `views` and the query's own CTEs), so a write
-    word inside a string literal is no reason to refuse. `required` must be among the relations read.
+    The statement is put in brackets, where the grammar takes nothing but a query, and its analysed plan is inspected:
+    names are resolved then, so a CTE hides a table only where it is in scope, and a computed name or a file path shows
+    what it reads. `required` must be among the relations read. Session views of the same names come back afterwards.
     """
-    parser = spark._jsparkSession.sessionState().sqlParser()
+    catalog = spark.catalog
+    before = {name: spark.table(name) for name in views if catalog.tableExists(name)}
     try:
-        plan = parser.parsePlan(sql)
-    except Exception as error:  # the JVM parser's own exception type
-        raise RefusedSql(f"not a query: {str(error).splitlines()[0]}") from None
-    read, ctes = set(), set()
-    for node in _nodes(plan):
-        name = node.getClass().getSimpleName()
-        if "Command" in name or name.startswith(("InsertInto", "Create", "Drop", "Alter", "Delete", "Update", "MergeInto", "SetCatalog")):
-            raise RefusedSql(f"only SELECT is allowed, found {name}")
-        if name == "UnresolvedWith":
-            it = node.cteRelations().iterator()
-            while it.hasNext():
-                ctes.add(it.next()._1().lower())
-        if name == "UnresolvedRelation":
-            read.add(node.name().replace("`", "").lower())
-        if name == "UnresolvedTableValuedFunction":
-            continue
-    allowed = {v.lower() for v in views} | ctes
-    if read - allowed:
-        raise RefusedSql(f"relations not allowed: {sorted(read - allowed)}")
-    if not read - ctes:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        try:
+            out = spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+        except Exception as error:  # the parser's and the analyser's own exception types
+            raise RefusedSql(f"not a query: {str(error).splitlines()[0]}") from None
+        read = _relations_read(out._jdf.queryExecution().analyzed(), {v.lower() for v in views})
+    finally:
+        for name in views:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                catalog.dropTempView(name)
+    if not read:
         raise RefusedSql("the query reads no table")
     if required and required.lower() not in read:
         raise RefusedSql(f"the query must read {required}")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    return out
 
 
 # declared type: how its text becomes a value
