@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from engram.operators import ordered as o
 from engram.session import materialise
 
 CORRUPT = "_corrupt_record"
@@ -21,6 +22,8 @@ def load_table(
 
     Avro has no reader in a plain Spark distribution and is refused.
     """
+    if skip_rows > 1:
+        raise ValueError("one header row can be skipped; more rows have no meaning in split files")
     fmt = fmt.lower()
     paths = [paths] if isinstance(paths, str) else list(paths)
     if fmt in ("parquet", "orc"):
@@ -46,14 +49,15 @@ def load_table(
         else:
             df = reader.csv(paths)
         # a row that is too short or too long counts as corrupt too; both can be allowed
-        cells = F.size(F.split(F.col(CORRUPT), re.escape(delimiter)))
+        # (delimiters within quotes don't part cells)
+        q = re.escape(quote)
+        bare = F.regexp_replace(CORRUPT, f"{q}(?:[^{q}]|{q}{q})*{q}", "") if quote else F.col(CORRUPT)
+        cells = F.size(F.split(bare, re.escape(delimiter), -1))
         bad = F.col(CORRUPT).isNotNull()
         if jagged:
             bad = bad & ~(cells < len(fields))
         if ignore_unknown:
             bad = bad & ~(cells > len(fields))
-    if skip_rows > 1:
-        raise ValueError("one header row can be skipped; more rows have no meaning in split files")
     names = [f.name for f in fields]
     checked = materialise(df)
     if checked.filter(bad).count() > max_bad:
@@ -230,9 +234,24 @@ def insert_rows(
 
 
 def latency_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, mean, population deviation and the 50th and 90th percentile with linear interpolation (exact)."""
-    v = F.col(value)
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"),
-        F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.9).alias("p90"),
-    )
+    """n, mean, population deviation and the 50th and 90th percentile with linear interpolation (exact).
+
+    Percentiles are picked by rank from sorted runs, so no group has to fit into one buffer.
+    """
+    v, by = F.col(value), list(by)
+    totals = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"))
+    ranked = o.ordinals(df.filter(v.isNotNull()).select(*by, v.cast("double").alias("_v")), ["_v"], "_rank", by)
+    sizes = totals.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("n").alias("_n"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = ranked.join(sizes, same)
+
+    def picked(share: float) -> Column:
+        at = F.lit(share) * (F.col("_n") - 1)
+        part = at - F.floor(at)
+        low, high = F.col("_rank") == F.floor(at), F.col("_rank") == F.floor(at) + 1
+        return F.sum(F.when(low, F.col("_v") * (1 - part)).when(high & (part > 0), F.col("_v") * part))
+
+    ranks = placed.groupBy(*by).agg(picked(0.5).alias("p50"), picked(0.9).alias("p90")).select(*[F.col(k).alias(f"_k_{k}") for k in by], "p50", "p90")
+    return totals.join(ranks, same, "left").select(*by, "n", "mean", "stddev", "p50", "p90")

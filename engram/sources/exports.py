@@ -36,22 +36,35 @@ def reachable_nodes(nodes: DataFrame) -> DataFrame:
     roots = nodes.groupBy("conv").agg(
         F.coalesce(F.min(F.when(F.col("is_root"), F.col("node"))), F.min("node")).alias("root")
     )
-    # the parent that lists a node among its children; the smallest one when several do
-    links = nodes.select("conv", F.col("node").alias("parent"), F.explode("children").alias("node"))
-    links = links.groupBy("conv", "node").agg(F.min("parent").alias("up"))
+    every = nodes.select("conv", F.col("node").alias("parent"), F.explode("children").alias("node"))
+    # the first pointer goes to the smallest parent; other parents count where that one leads nowhere
+    links = every.groupBy("conv", "node").agg(F.min("parent").alias("up"))
     joined = nodes.select("conv", "node").join(links, [*conv, "node"], "left").join(roots, conv)
     own = F.when(F.col("node") == F.col("root"), F.col("node")).otherwise(F.col("up"))
-    at = materialise(joined.select("conv", "node", own.alias("up"), "root"))
+    start = materialise(joined.select("conv", "node", own.alias("up"), "root"))
+    while True:
+        at = _jumped(start)
+        reached = at.filter("up = root").select("conv", "node")
+        known = reached.withColumnRenamed("node", "parent")
+        lost = at.join(reached, [*conv, "node"], "left_anti").select("conv", "node")
+        found = materialise(every.join(lost, [*conv, "node"]).join(known, [*conv, "parent"], "left_semi").select("conv", "node", F.lit(True).alias("_found")).distinct())
+        if found.isEmpty():
+            return reached
+        start = start.join(found, [*conv, "node"], "left").select("conv", "node", F.when(F.col("_found"), F.col("root")).otherwise(F.col("up")).alias("up"), "root")
+        start = materialise(start)
+
+
+def _jumped(at: DataFrame) -> DataFrame:
+    """Pointers doubled until no further node arrives at its root."""
     arrived = at.filter("up = root").count()
     while True:
         up = at.select("conv", F.col("node").alias("up"), F.col("up").alias("_to"))
-        at = materialise(at.join(up, [*conv, "up"], "left").select("conv", "node", F.col("_to").alias("up"), "root"))
+        at = materialise(at.join(up, ["conv", "up"], "left").select("conv", "node", F.when(F.col("up") == F.col("root"), F.col("root")).otherwise(F.col("_to")).alias("up"), "root"))
         now = at.filter("up = root").count()
         # depths along a chain have no gaps: a round without arrivals was the last one
         if now == arrived:
-            break
+            return at
         arrived = now
-    return at.filter("up = root").select("conv", "node")
 
 
 def tree_messages(export: DataFrame, after: datetime | None = None) -> DataFrame:
@@ -80,7 +93,7 @@ def tree_messages(export: DataFrame, after: datetime | None = None) -> DataFrame
 
 def read_tree_export(spark: SparkSession, path: str, after: datetime | None = None) -> DataFrame:
     raw = spark.read.schema(schema.TREE_EXPORT).json(path, multiLine=True)
-    return tree_messages(raw.withColumn("conv", F.concat_ws("|", "title", F.col("create_time").cast("string"))), after)
+    return tree_messages(raw.withColumn("conv", F.concat_ws("|", "title", F.col("create_time").cast("string"), F.xxhash64(F.to_json("mapping")).cast("string"))), after)
 
 
 def message_text(m: Column) -> Column:
