@@ -316,10 +316,10 @@ def _(d):
 def _(d):
     path, ckpt = _out(d, "arrivals")
     parts = []
-    jobs.run_batches(jobs.arrivals_stream(live_segments(d)), lambda df, n: parts.append(df.write.mode("overwrite").parquet(f"{path}/n={n}")), ckpt, "complete")
-    last = d.spark.read.parquet(path)
-    newest = last.agg(F.max("n")).first()[0]
-    return last.filter(F.col("n") == newest).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "received")
+    jobs.run_batches(jobs.arrivals_stream(live_segments(d)), lambda df, n: parts.append(df.write.mode("overwrite").parquet(f"{path}/n={n}")), ckpt, "update")
+    # each batch holds the windows that changed; the last one of a window counts
+    last = d.spark.read.parquet(path).groupBy("window_start").agg(F.max_by("received", "n").alias("received"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "received")
 
 
 DAY_SQL = "SELECT strftime(ts - INTERVAL 8 HOURS, '%Y-%m-%d') AS day, count(*) AS total, count_if(event_id % 3 = 0) AS human FROM events GROUP BY 1"

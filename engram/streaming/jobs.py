@@ -14,7 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from engram.functions.records import normalise_annotation
 from engram.functions.text import token_count
 from engram.functions.vector import vectorise
-from engram.session import SETTINGS
+from engram.session import SETTINGS, materialise
 
 COUNTER = T.StructType([T.StructField("n", T.LongType())])
 LATE = "1 day"  # how late an exchange may come
@@ -43,17 +43,22 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return query
 
 
-def run_until(stream: DataFrame, path: str, checkpoint: str, done: Callable[[], bool], seconds: float = 60.0) -> None:
-    """Run with a short trigger until `done()` or the time is over. For jobs whose output comes from timers."""
+def run_until(stream: DataFrame, path: str, checkpoint: str, done: Callable[[], bool], seconds: float = 600.0) -> None:
+    """Run with a short trigger until `done()`. For jobs whose output comes from timers.
+
+    A query that isn't done in time, or stops by itself, has an incomplete result and raises.
+    """
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(processingTime="500 milliseconds").start()
     )
     end = time.monotonic() + seconds
     try:
-        while query.isActive and time.monotonic() < end:
-            if query.lastProgress and done():
-                break
+        while not (query.lastProgress and done()):
+            if not query.isActive:
+                raise RuntimeError(f"the stream stopped before it was done: {query.exception()}")
+            if time.monotonic() > end:
+                raise TimeoutError(f"the stream wasn't done after {seconds:g} seconds")
             time.sleep(0.5)
     finally:
         query.stop()
@@ -219,24 +224,26 @@ def idle_monitor(stream: DataFrame, source: str, gap: float = 5.0) -> DataFrame:
 def entity_chain_batches(col: str, kind: str, edges_path: str, state_path: str) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` body that extends the entity chain with new segments.
 
-    The state is a table with the last segment of each entity, one version per batch. A batch is woven together
-    with those last segments by the batch rule itself, so a hot entity is handled the same way, and a repeated
-    batch starts from the same version and writes the same files again.
+    The state is a table of the last segment per entity and batch: a batch adds rows for the entities it holds and
+    touches no others. It is woven together with the last segments of its own entities by the batch rule itself, so a
+    hot entity is handled the same way, and a repeated batch reads what earlier batches wrote and writes the same again.
     """
     from engram.operators import graph
 
     def body(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("id", "timestamp", F.col(col).alias("names"))
+        flat = rows.select(F.explode(F.transform("names", lambda e: F.trim(e))).alias("entity"), "id", "timestamp").filter("entity <> ''")
         if number > 0:
-            last = spark.read.parquet(f"{state_path}/v={number - 1}")
+            own = flat.select("entity").distinct()
+            earlier = spark.read.parquet(state_path).filter(F.col("v") < number).join(own, "entity", "left_semi")
+            last = materialise(earlier.groupBy("entity").agg(F.max(F.struct("timestamp", "id")).alias("s")).select("entity", "s.timestamp", "s.id"))
             seeds = last.select("id", "timestamp", F.array("entity").alias("names"), F.lit(True).alias("seed"))
             joined = rows.withColumn("seed", F.lit(False)).unionByName(seeds)
         else:
             last, joined = None, rows.withColumn("seed", F.lit(False))
         edges = graph.weave_entities(joined.withColumnRenamed("names", col), col, kind)
         edges.write.mode("overwrite").parquet(f"{edges_path}/batch={number}")
-        flat = rows.select(F.explode(F.transform("names", lambda e: F.trim(e))).alias("entity"), "id", "timestamp").filter("entity <> ''")
         if last is not None:
             flat = flat.unionByName(last.select("entity", "id", "timestamp"))
         newest = flat.groupBy("entity").agg(F.max(F.struct("timestamp", "id")).alias("s")).select("entity", "s.timestamp", "s.id")

@@ -257,3 +257,48 @@ def test_rolling_window_equals_batch(spark, small):
         windows.sort(key=lambda r: r["window_no"])
         assert [w["window_no"] for w in windows] == list(range(len(windows)))
         assert all(b["first_turn"] <= a["last_turn"] + 1 for a, b in zip(windows, windows[1:]))
+
+
+def test_entity_chain_over_several_batches(spark):
+    from engram.operators import graph
+    from engram.session import scratch_path
+    from engram.streaming import jobs
+
+    rows = [(i, datetime(2024, 1, 1, i // 60, i % 60), [f"e{i % 3}", f"f{i % 5}"]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id LONG, timestamp TIMESTAMP, personnes ARRAY<STRING>")
+    edges, state = scratch_path(spark, "edges"), scratch_path(spark, "state")
+    body = jobs.entity_chain_batches("personnes", "LIEN_PERSONNE", edges, state)
+    for n in (0, 1, 2, 2):  # the last batch is repeated
+        body(df.filter(f"id >= {n * 30} AND id < {n * 30 + 30}"), n)
+    pairs = lambda t: {(r.source_id, r.target_id) for r in t.collect()}
+    assert pairs(spark.read.parquet(edges)) == pairs(graph.weave_entities(df))
+
+
+def test_tree_nodes_with_several_parents(spark):
+    rows = [("c", "r", True, ["m"]), ("c", "a0", False, ["m"]), ("c", "m", False, ["k"]), ("c", "k", False, []), ("c", "x", False, ["y"]), ("c", "y", False, ["x"])]
+    nodes = spark.createDataFrame(rows, "conv STRING, node STRING, is_root BOOLEAN, children ARRAY<STRING>")
+    assert sorted(r.node for r in exports.reachable_nodes(nodes).collect()) == ["k", "m", "r"]
+
+
+def test_jagged_rows_with_quoted_delimiters(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('"a,b",1\n"c",2,3\nzz,q,1\n')
+    got = tables.load_table(spark, str(tmp_path), "csv", "a STRING, b INT, c INT", jagged=True, max_bad=1).collect()
+    assert sorted(map(tuple, got)) == [("a,b", 1, None), ("c", 2, 3)] or sorted(map(repr, got)) == sorted(["Row(a='a,b', b=1, c=None)", "Row(a='c', b=2, c=3)"])
+
+
+def test_many_queries_and_pillars(spark):
+    seg = spark.createDataFrame([(1, datetime(2024, 1, 1), "alpha six")], "id LONG, timestamp TIMESTAMP, resume_texte STRING").withColumns(
+        {c: F.array().cast("array<string>") for c in ("sujets", "projets", "lieux", "personnes", "tags_roget")}
+    ).withColumns({"emotion_valence": F.lit(0.0), "emotion_activation": F.lit(0.0), "vecteur": F.lit(None).cast("map<int,double>")})
+    queries = [search.Query(i, keywords=["a1", "a2", "a3", "a4", "a5", "six"] if i % 2 else ["none"]) for i in range(300)]
+    assert search.score_pairs(seg, queries, datetime(2024, 1, 1)).count() == 150
+    old = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog", "VALEUR", 1)], "id LONG, fait STRING, categorie STRING, importance INT")
+    new = spark.createDataFrame([(i, f"fact number {i} of many that are all new", "VALEUR", 1) for i in range(10, 1300)] + [(2, "QUICK brown fox jumps over the", "VALEUR", 1), (3, "fox", "VALEUR", 1), (4, "foxes", "VALEUR", 1)], old.schema)
+    assert {r.id for r in mut.add_pillars(old, new).collect()} == {1, 4, *range(10, 1300)}
+
+
+def test_facts_keep_every_column(spark):
+    old = spark.createDataFrame([(7, "d", "s", "old", 9, "{}", 1, 1)], "id LONG, domaine STRING, sujet STRING, information STRING, importance INT, metadata STRING, date_creation INT, derniere_maj INT")
+    new = spark.createDataFrame([("d", "s", "new", 9, 5), ("d", "t", "x", 2, 6)], "domaine STRING, sujet STRING, information STRING, importance INT, derniere_maj INT")
+    got = {r.sujet: r for r in mut.upsert_facts(old, new).collect()}
+    assert (got["s"].id, got["s"].information, got["s"].importance, got["s"].metadata, got["s"].date_creation) == (7, "new", 5, "{}", 1) and got["t"].date_creation == 6
