@@ -169,7 +169,7 @@ SIGNS_SQL = r"""SELECT doc_id, x, trim(x, ' ' || chr(10)) AS t,
   CAST(contains(lower(x), 'je ') AS INT) + CAST(contains(lower(x), 'tu ') AS INT) + CAST(contains(lower(x), 'nous ') AS INT)
   + CAST(contains(lower(x), 'merci') AS INT) + CAST(contains(lower(x), 'bonjour') AS INT) + CAST(contains(x, '?') AS INT) + CAST(contains(x, '!') AS INT) AS talk
   FROM s"""
-MIXED_SQL = """s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('{"action": "x", "status": 1, "t": "', substring(text, 1, 40), 'import "}')
+MIXED_SQL = """s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('{"action": "x", "status": 1, "t": "', text, 'import "}')
    WHEN 1 THEN concat('def f(x): class A: import os; ', text) WHEN 2 THEN concat('Bonjour ! je tu nous ? def f(x): class A: import os function g ', text)
    WHEN 3 THEN substring(text, 1, 12) ELSE text END AS x FROM documents)"""
 
@@ -178,7 +178,7 @@ def mixed_texts(d):
     """Documents dressed up as code, JSON, talk and short answers."""
     t, k = F.col("text"), F.col("doc_id") % 5
     x = (
-        F.when(k == 0, F.concat(F.lit('{"action": "x", "status": 1, "t": "'), F.substring(t, 1, 40), F.lit('import "}')))
+        F.when(k == 0, F.concat(F.lit('{"action": "x", "status": 1, "t": "'), t, F.lit('import "}')))
         .when(k == 1, F.concat(F.lit("def f(x): class A: import os; "), t))
         .when(k == 2, F.concat(F.lit("Bonjour ! je tu nous ? def f(x): class A: import os function g "), t))
         .when(k == 3, F.substring(t, 1, 12))

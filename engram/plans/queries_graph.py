@@ -163,7 +163,12 @@ def _(d):
     return out.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg12_link_types")
+TYPED_SQL = EXPLORE_SQL.replace("max(b.poids) AS poids,", "max(b.poids) AS poids, min({'w': -b.poids, 't': b.type}).t AS type,").replace(
+    "SELECT start AS id, node AS linked_id, poids, depth, rank FROM r WHERE rank <= 50", "SELECT type AS link_type, count(*) AS n FROM r WHERE rank <= 50 GROUP BY type"
+)
+
+
+@query("agg12_link_types", TYPED_SQL)
 def _(d):
     from engram.operators.aggregates import link_histogram
 
@@ -438,7 +443,7 @@ def _(d):
     return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda w: F.contains(w, F.lit("_")))).alias("n_phrases"))
 
 
-@query("emb3_word2vec")
+@query("emb3_word2vec", f"WITH {CORPUS_SQL} SELECT w AS term, CAST(32 AS INT) AS dimensions FROM (SELECT unnest(w) AS w FROM kept) GROUP BY w HAVING count(*) >= 2")
 def _(d):
     vectors = _model(d)
     return vectors.select("term", F.size("embedding").alias("dimensions"))

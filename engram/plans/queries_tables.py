@@ -532,7 +532,12 @@ def _(d):
     return mut.entity_candidates(seg).select("kind", "nom", "contexte", "n_mentions")
 
 
-@query("snk14_write_results")
+@query(
+    "snk14_write_results",
+    """WITH s AS (SELECT doc_id, text, string_split(lower(text), 'ertion') AS p FROM documents WHERE contains(lower(text), 'ertion')),
+    m AS (SELECT doc_id, text, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + 6 * (k - 1))) AS position FROM s)
+    SELECT doc_id, CAST(position AS BIGINT) AS position, substring(text, CAST(position AS BIGINT) + 1, 6) AS matched FROM m""",
+)
 def _(d):
     from engram.operators.filters import search_text
 
