@@ -157,10 +157,15 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind in ("f", "m"):
         names = FIRST_NAMES[kind]
         return names[permuted(names.index(value), len(names), key)]
-    hexadecimal = all(c in "0123456789abcdefABCDEF" for c in value)
+    if value.isdigit():
+        return in_format(value, _DIGITS, key)
+    hexadecimal = value in (value.lower(), value.upper()) and all(c in "0123456789abcdefABCDEF" for c in value)
     prefix = re.match(r"(?:sk|pk|ghp|gho|xox[abp])[-_]|AKIA", value)
     start = prefix.end() if prefix else 0
-    return value[:start] + in_format(value[start:], _HEX if hexadecimal and not prefix else _LATIN | _DIGITS, key)
+    if hexadecimal and not prefix:  # digits and letters change places, so case is one for all
+        new = in_format(value.lower(), _HEX, key)
+        return new.upper() if value != value.lower() else new
+    return value[:start] + in_format(value[start:], _LATIN | _DIGITS, key)
 
 
 def _dressed(shape: str, bare: str, characters: str) -> str:
