@@ -24,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from engram.session import materialise
 
 ORDER = 4
 WIDTH, LEAST_SPREAD, BIN = 14.0, 0.05, 0.005
-MOST_GRAMS = 3_000_000
+MOST_GRAMS, ROWS_PER_PART = 3_000_000, 500_000
 FEWEST_WORDS, MOST_REPEATED = 50, 50  # words; percent of words
 
 _SYMBOLS = b"#*$%&|<>"
@@ -147,44 +148,56 @@ class Model:
 
 def fit(docs: DataFrame, order: int = ORDER) -> Model:
     """The model of all words of `docs` (columns language and text)."""
-    model = Model(order)
-    counts = materialise(count_grams(docs, order))
+    model, counts = Model(order), count_grams(docs, order)
     for k in range(order, 0, -1):
         if k < order:  # continuation counts: before how many different grams it stands
-            counts = materialise(counts.groupBy("language", F.expr("substring(gram, 5)").alias("gram")).agg(F.count("*").alias("c")))
-        kinds = counts.groupBy("language").agg(*[F.sum((F.col("c") == n).cast("double")).alias(f"n{n}") for n in (1, 2, 3, 4)])
-        y = F.coalesce(F.expr("n1 / nullif(n1 + 2 * n2, 0)"), F.lit(0.5))
-        d = [F.coalesce(F.least(F.greatest(n - (n + 1) * y * F.expr(f"n{n + 1} / nullif(n{n}, 0)"), F.lit(0.0)), F.lit(float(n))), F.lit(n / 2)) for n in (1, 2, 3)]
-        rates = kinds.select("language", *[x.alias(f"d{n}") for n, x in zip((1, 2, 3), d, strict=True)])
-        less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = counts.join(rates, "language").select("language", "gram", "c", less.alias("less"), F.expr(f"substring(gram, 1, {4 * (k - 1)})").alias("context"))
-        sums = rows.groupBy("language", "context").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("left"))
-        shares = rows.join(sums.select("language", "context", "total"), ["language", "context"]).select("language", "gram", ((F.col("c") - F.col("less")) / F.col("total")).alias("share"), "c")
-        shares, sums = _cut_off(shares, "c"), _cut_off(sums, "total")
-        model.add(k, _keyed(shares, "gram", "share", k), _keyed(sums, "context", "left", k - 1))
+            counts = counts.groupBy("language", F.expr("substring(gram, 5)").alias("gram")).agg(F.count("*").alias("c"))
+        counts = materialise(counts)
+        n = counts.count()
+        counts = counts.coalesce(1 + n // ROWS_PER_PART)  # a small table in many parts costs files, not work
+        kinds = counts.groupBy("language").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()  # a row per language
+        less = {r.language: discounts(r.n1, r.n2, r.n3, r.n4) for r in kinds}
+        of = [F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 2)]
+        sums = counts.groupBy("language", F.expr(f"substring(gram, 1, {4 * (k - 1)})").alias("gram")).agg(F.sum("c").alias("c"), *[x.alias(f"n{i}") for i, x in enumerate(of, 1)])
+        contexts, totals, left = [], [], []
+        for language, grams, c, n1, n2, n3 in _collected(sums, k - 1, n, "n1", "n2", "n3"):
+            contexts.append(gram_hashes(grams, language))
+            totals.append(c)
+            left.append((less[language][0] * n1 + less[language][1] * n2 + less[language][2] * n3) / c)
+        contexts, totals, left = (np.concatenate(x) if x else np.zeros(0) for x in (contexts, totals, left))
+        at = np.argsort(contexts)
+        known, totals = contexts[at].astype(np.uint64), totals[at]
+        keys, shares = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for language, grams, c in _collected(counts, k, n):
+            total = Model._find((known, totals), gram_hashes(grams[:, :-1], language), np.inf)
+            keys.append(gram_hashes(grams, language))
+            shares.append((c - np.array(less[language])[np.minimum(c, 3).astype(int) - 1]) / total)
+        model.add(k, (np.concatenate(keys), np.concatenate(shares)), (known, left[at]))
     model.floor = 1.0 / max(len(model.grams[1][0]), 2)
     return model
 
 
-def _cut_off(rows: DataFrame, count: str) -> DataFrame:
-    sizes = rows.groupBy(F.least(F.col(count), F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()  # 1,000 rows at most
-    total = 0
-    for r in sizes:
-        total += r.n
-        if total > MOST_GRAMS:
-            return rows.where(F.col(count) > r.c)
-    return rows
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """What is taken off counts of one, two, and three or more, from how many grams have counts of one to four."""
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    pairs = ((1, n1, n2), (2, n2, n3), (3, n3, n4))
+    return tuple(min(max(i - (i + 1) * y * (b / a), 0.0), float(i)) if a else i / 2 for i, a, b in pairs)
 
 
-def _keyed(rows: DataFrame, gram: str, value: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    found = rows.select("language", gram, value).toArrow()  # MOST_GRAMS rows at most
-    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+def _collected(rows: DataFrame, size: int, n: int, *more: str):
+    """(language, grams, c, more …) of each language; with over MOST_GRAMS rows, without those of the smallest counts."""
+    if n > MOST_GRAMS:
+        kept = 0
+        for r in rows.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():  # 1,000 rows at most
+            kept += r.n
+            if kept > MOST_GRAMS:
+                rows = rows.where(F.col("c") > r.c)
+                break
+    found = rows.select("language", "gram", "c", *more).toArrow()
     for language in found.column("language").unique().to_pylist():
         own = found.filter(pa.compute.equal(found.column("language"), language))
-        data = b"".join(own.column(gram).to_pylist())
-        keys.append(gram_hashes(np.frombuffer(data, np.uint32).reshape(own.num_rows, size), language))
-        values.append(own.column(value).to_numpy())
-    return np.concatenate(keys), np.concatenate(values)
+        grams = np.frombuffer(b"".join(own.column("gram").to_pylist()), np.uint32).reshape(own.num_rows, size)
+        yield (language, grams, *(own.column(x).to_numpy().astype(np.float64) for x in ("c", *more)))
 
 
 def with_perplexity(docs: DataFrame, model: Model) -> DataFrame:
