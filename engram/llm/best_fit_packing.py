@@ -14,13 +14,15 @@ Pieces find their places by their rank among those of their length. Ranks are co
 length that a third of all pieces have is spread over tasks; only narrow rows are moved, never texts or tokens.
 
 Words are tokenised once per task and looked up after that, which equals tokenising whole texts, because the tokenizer
-never joins what white space parts. Null and empty texts are one piece, the end mark. Rows without an id and repeated rows
+never joins what white space parts, nor a letter and a mark; ASCII letters are lowered and marks at the end of words cut
+off beforehand, which the tokenizer does too. Words of letters only are tokenised many at a time. Null and empty texts are one piece, the end mark. Rows without an id and repeated rows
 are packed like any other. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -37,6 +39,10 @@ NODES, FILLINGS = 6_000, 4
 ROWS_PER_SALT, LEAST_SALTS = 1_000_000, 64
 
 
+#: Marks behind a letter or digit at the end of a word.
+_MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?;:#*$%&|]+)(?=\s|\Z)")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -54,6 +60,9 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.fresh = Tokenizer.from_file(path), []
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the tokens that end a word
+        self.last[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self._empty()
 
     def _empty(self):
@@ -65,19 +74,39 @@ class Tokens(dict):
         self.fresh.append(word)
         return n
 
+    def _learn(self, words: list[str]) -> None:
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        odd = [k for k, w in enumerate(words) if not w.isalpha()]
+        order, ids, counts = [], [], []
+        groups = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+            own = np.array(found.ids, np.int64)
+            ends = np.flatnonzero(self.last[own]) + 1
+            if len(ends) != len(group) or ends[-1] != len(own):  # letters that become something else when lowered
+                odd += group
+                continue
+            order += group
+            ids.append(own)
+            counts.append(np.diff(ends, prepend=0))
+        for k, found in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+            order.append(k)
+            ids.append(np.array(found.ids, np.int64))
+            counts.append(np.array([len(found.ids)]))
+        counts = np.concatenate(counts)
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        at = np.argsort(np.array(order))
+        self.starts, self.counts = np.concatenate([self.starts, starts[at]]), np.concatenate([self.counts, counts[at]])
+        self.ids = np.concatenate([self.ids, np.concatenate(ids).astype(np.uint32)])
+
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         if len(self) > self.LIMIT:
             self._empty()
-        split = [t.split() if t else [] for t in texts]
+        split = [_MARKS.sub(rb" \1", t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         flat = [w for ws in split for w in ws]
         numbers = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
         if self.fresh:
-            new = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in self.fresh], add_special_tokens=False)]
-            counts = np.fromiter(map(len, new), np.int64, len(new))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(counts.sum()))])
+            self._learn([w.decode() for w in self.fresh])
             self.fresh = []
         counts = self.counts[numbers]
         ends = np.cumsum(counts)
