@@ -67,7 +67,9 @@ def _cut(docs: DataFrame, run: int) -> DataFrame:
     both = both.withColumn("gone", F.transform(numbers, lambda k: F.get(F.col("at"), k - 1)))
     left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("l")), F.col("gone")), lambda i: F.get(F.col("l"), i - 1))
     text = F.when(F.size("gone") == 0, F.col("row.text").cast("string")).otherwise(F.array_join(left, "\n"))
-    return both.select("row", F.size("at").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), text.alias("left"))
+    out = F.struct("row", F.size("at").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), text.alias("left"))
+    # the generator keeps filters above from being pushed into the expressions below, which would split a text per line
+    return both.select(F.inline(F.array(out)))
 
 
 def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
