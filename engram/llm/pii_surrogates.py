@@ -67,9 +67,11 @@ _FIND = re.compile(
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
 )
 _PERSON = re.compile(rf"\b(?:(?:{_ALL_TITLES})\.? (?:(?P<given>{_ALL_FIRST}) )?(?P<family>{_NAME})|(?P<first>{_ALL_FIRST}) (?P<last>{_NAME}))\b")
-#: Texts without any of these characters hold nothing that `_FIND` could find; texts without any of these words no person.
-_SIGN = re.compile(r"[@\d\"'_]")
-_CALLED = {x + mark for names in (*TITLES.values(), *FIRST_NAMES.values()) for x in names for mark in ("", ".")}
+#: Texts without any of these signs hold nothing that `_FIND` could find.
+_SIGN = re.compile(r"[@\d\"'_]|(?:sk|pk|ghp|gho|xox[abp])-|AKIA|[a-fA-F]{32}")
+#: `_PERSON` needs a title or first name between word boundaries, so as a whole run of word characters.
+_CAPITALISED = re.compile(r"\b[A-Z]\w*")
+_CALLED = {x for names in (*TITLES.values(), *FIRST_NAMES.values()) for x in names}
 
 
 def _number(key: bytes, value: bytes) -> int:
@@ -191,7 +193,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             continue
         out.append((*span, "secret" if kind == "named" else kind, value))
         taken.update(range(*span))
-    if _CALLED.isdisjoint(text.split()):
+    if _CALLED.isdisjoint(_CAPITALISED.findall(text)):
         return out
     for m in _PERSON.finditer(text):
         for group in ("given", "first", "family", "last"):
