@@ -287,6 +287,39 @@ def test_rules_model(spark, empty):
     assert perplexity_rules.quality_rules(empty).count() == 0
 
 
+def test_rules_verdict(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinrstl") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    follows = {w: rng.sample(words, 12) for w in words}
+
+    def chain(n, width):
+        w = [rng.choice(words)]
+        while len(w) < n:
+            w.append(rng.choice(follows[w[-1]][:width]))
+        return w
+
+    good = [chain(300, 12) for _ in range(150)]
+    salad = [rng.sample(w, len(w)) for w in good[:10]]
+    garbled = [["".join(rng.sample(x, len(x))) for x in w] for w in good[10:20]]
+    monotonous = []
+    for _ in range(5):  # always one of the longest followers
+        w = [rng.choice(words)]
+        while len(w) < 80:
+            w.append(rng.choice(sorted(follows[w[-1]], key=len)[-4:]))
+        monotonous.append(w)
+    rows = [(k, " ".join(w), "en") for k, w in enumerate([*good, *salad, *garbled, *monotonous])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in perplexity_rules.quality_rules(frame).collect()}
+    assert sum(got[k].kept for k in range(150)) >= 148
+    for k in range(150, 170):  # order counts, and so do letters of the same script
+        assert not got[k].kept and not got[k].base_failed, k
+    for k in range(170, 175):  # over-predictable
+        assert got[k].log_perplexity < min(got[x].log_perplexity for x in range(150)) and not got[k].kept and not got[k].base_failed
+    monkeypatch.setattr(perplexity_rules, "PART_GRAMS", 3000)  # several parts: the same for every gram
+    again = {r.doc_id: r for r in perplexity_rules.quality_rules(frame).collect()}
+    assert all(abs(again[k].log_perplexity - got[k].log_perplexity) < 1e-9 and again[k].kept == got[k].kept for k in got)
+
+
 def test_licence_phrases(docs, spark):
     rows = [(1, "x CC BY-NC 4.0 y"), (2, "All  rights\nreserved. GNU General Public License, general public license"), (3, None), (4, "Released under the MIT License."), (5, "cc"), (6, "")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
