@@ -317,6 +317,15 @@ def _(d):
     return search.search_by_emotion(d.segments, -0.7, 0.5, prefilter_limit=500).select("id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "srch2_emotion_all",
+    f"""WITH n AS (SELECT id, emotion_valence AS v, coalesce(nullif(emotion_activation, 0), 0.5) AS a, -0.7::DOUBLE AS ev, 0.5::DOUBLE AS ea FROM segments)
+    SELECT id, round({COSINE}, 6) AS score FROM n ORDER BY round({COSINE}, 9) DESC, id LIMIT 10""",
+)
+def _(d):
+    return search.search_by_emotion(d.segments, -0.7, 0.5).select("id", F.round("score", 6).alias("score"))
+
+
 FIELDS = ["path_display", "name", "summary"]
 POSTINGS_CTE = f"""docs AS (SELECT id, regexp_extract_all(lower(translate(concat_ws(chr(10), path_display, name, summary), '{lx.ACCENTED}', '{lx.UNACCENTED}')), '[\\p{{L}}\\p{{N}}]+') AS w FROM files),
  postings AS (SELECT id AS doc_id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM docs) GROUP BY ALL), stats AS (SELECT id AS doc_id, len(w) AS length FROM docs)"""
@@ -591,7 +600,7 @@ def query_log(d):
         F.when(k == 0, "Que dit Marie du code Python hier ").when(k == 1, "Question sur la semaine avec Jean triste 01-0020-0030 ")
         .when(k == 2, "projet de travail content ").otherwise("le mois de Paris calme ")
     )
-    return d.benchmark.select(F.col("item_id").alias("query_id"), F.concat(text, F.substring("text", 1, 60)).alias("text"))
+    return d.benchmark.select(F.col("item_id").alias("query_id"), F.concat(text, F.col("text")).alias("text"))
 
 
 @query(

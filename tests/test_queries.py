@@ -26,3 +26,16 @@ def test_checks_belong_to_queries():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_query_log_has_whole_texts(spark):
+    from types import SimpleNamespace
+
+    from engram.plans.queries_graph import query_log
+
+    rows = spark.createDataFrame([(3, "x" * 200 + " end")], "item_id bigint, text string")
+    assert query_log(SimpleNamespace(benchmark=rows)).first().text.endswith("x" * 200 + " end")
+
+
+def test_emotions_rank_all_segments():
+    assert "srch2_emotion_all" in QUERIES and "500" not in CHECKS["srch2_emotion_all"]
