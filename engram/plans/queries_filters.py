@@ -288,7 +288,8 @@ def _(d):
     return flt.title_suggestions(d.documents.select(F.col("source").alias("title")), "C1")
 
 
-def _correction_sql() -> str:
+def _correction_sql(fact: str = "lower(nouveau_fait)") -> str:
+    """`fact`: what makes two new facts of a document the same."""
     parts = []
     for no, rx in enumerate(CORRECTION_PATTERNS):
         rx = "(?i)" + rx.replace("'", "''")
@@ -300,21 +301,30 @@ def _correction_sql() -> str:
         """WITH t AS (SELECT doc_id, concat('non, c''est ', replace(text, ', ', ', c''est pas ')) AS text FROM documents),
         l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM t),
         hits AS (""" + "\nUNION ALL ".join(parts) + """),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substring(lower(nouveau_fait), 1, 50) ORDER BY line_no, pattern_no) AS rn
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, """ + fact + """ ORDER BY line_no, pattern_no) AS rn
               FROM hits WHERE length(nouveau_fait) > 3)
         SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pattern_no AS INT) AS pattern_no, ancien_fait, nouveau_fait FROM r WHERE rn = 1"""
     )
 
 
-@query("flt26_detect_corrections", _correction_sql())
-def _(d):
+def _corrections(d, letters=None):
     # the invented prose holds no corrections, so marker phrases are woven into every text
     docs = d.wide("documents").select("doc_id", F.concat(F.lit("non, c'est "), F.replace("text", F.lit(", "), F.lit(", c'est pas "))).alias("text"))
-    return flt.detect_corrections(docs, "doc_id").select(
+    return flt.detect_corrections(docs, "doc_id", letters=letters).select(
         "doc_id", F.col("line_no").cast("long"), "pattern_no", "ancien_fait", "nouveau_fait"
     )
 
 
+@query("flt26_detect_corrections", _correction_sql())
+def _(d):
+    return _corrections(d)
+
+
+@query("flt26_corrections_by_start", _correction_sql("substring(lower(nouveau_fait), 1, 50)"))
+def _(d):
+    return _corrections(d, 50)
+
+
 @query("flt27_indexable", "SELECT conv_id, turn FROM exchanges WHERE length(trim(text, ' ')) >= 3 AND turn % 5 <> 0")
 def _(d):
     rows = d.exchanges.withColumn("indexable", F.when(F.col("turn") % 5 == 0, False))
