@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import best_fit_packing, decontamination, html_extraction, license_scan, line_dedup, minhash_dedup, perplexity_rules, pii_surrogates, quality_classifier, substring_dedup
+from engram.llm import best_fit_packing, decontamination, fill_in_middle, html_extraction, license_scan, line_dedup, merkle_manifest
+from engram.llm import minhash_dedup, perplexity_rules, piece_codec, pii_surrogates, quality_classifier, substring_dedup
 from engram.llm.common import LOWERED, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,59 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data."""
     return pii_surrogates.surrogates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-middle form, by digests of output and restored text."""
+    return fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: list_reduce(list_transform(range(k, k + 8), lambda j: CAST(instr('0123456789abcdef', substr(h, j, 1)) - 1 AS BIGINT)), lambda a, b: a * 16 + b)) AS x FROM d),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its tampered text is noticed."""
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"))
+
+
+_FIELDS = ", ".join(f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+SQL["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE c AS (SELECT *, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+    lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(a, x)), 4294967295) AS crc FROM documents),
+l AS (SELECT row_number() OVER () AS r, doc_id, source, xor(crc, 4294967295) % 5 = 0 AS tampered,
+    sha256(concat({_FIELDS}, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+    sha256(concat({_FIELDS}, coalesce(concat(strlen(text), ':', translate(text, '{UPPER}', '{LOWERED}')), '-'))) AS other FROM c),
+k AS (SELECT *, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM l),
+up(lvl, g, k, h, n) AS (SELECT 0, g, k, leaf, count(*) OVER (PARTITION BY g) FROM k
+    UNION ALL SELECT lvl + 1, g, k // 16, sha256(string_agg(h, '' ORDER BY k)), any_value((n + 15) // 16) FROM up WHERE n > 1 GROUP BY lvl, g, k // 16),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS k FROM up WHERE n = 1),
+top(lvl, k, h, n) AS (SELECT 0, k, h, count(*) OVER () FROM s
+    UNION ALL SELECT lvl + 1, k // 16, sha256(string_agg(h, '' ORDER BY k)), any_value((n + 15) // 16) FROM top WHERE n > 1 GROUP BY lvl, k // 16),
+heights AS (SELECT g, max(lvl) AS top FROM up GROUP BY g),
+nodes AS (SELECT g, lvl, k, h FROM up WHERE n > 1 UNION ALL SELECT s.g, heights.top + top.lvl, top.k, top.h FROM s JOIN heights USING (g) CROSS JOIN top WHERE top.n > 1),
+ends AS (SELECT g, lvl, k, coalesce(string_agg(h, '') OVER (PARTITION BY g, lvl, k // 16 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, lvl, k // 16 ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM nodes),
+fold(r, g, lvl, top, k, rank, acc, proof) AS (SELECT k.r, k.g, 0, heights.top, k.k, s.k, CASE WHEN tampered THEN other ELSE leaf END, '' FROM k JOIN heights USING (g) JOIN s USING (g)
+    UNION ALL SELECT r, fold.g, fold.lvl + 1, top, CASE WHEN fold.lvl + 1 = top THEN rank ELSE fold.k // 16 END, rank, sha256(concat(a, acc, b)), concat(proof, a, b)
+    FROM fold JOIN ends ON ends.g = fold.g AND ends.lvl = fold.lvl AND ends.k = CASE WHEN fold.lvl = top THEN rank ELSE fold.k END),
+last AS (SELECT r, arg_max(acc, lvl) AS acc, arg_max(proof, lvl) AS proof FROM fold GROUP BY r),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT k.doc_id, k.leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM k JOIN last USING (r) JOIN s USING (g) CROSS JOIN root
+"""
+
+
+@register
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, by digests."""
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"))
