@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import formats, vector as vec
 from engram.operators import aggregates as agg, embeddings as emb, windows as win
+from engram.functions.text import token_count
 from engram.operators.filters import AuditFilters
 from engram.operators.joins import new_only
 from engram.operators.search import ranked_union
@@ -272,10 +273,11 @@ def _(d):
       OR abs(coalesce(nullif(emotion_activation, 0), 0.5) - pc) > 0.3::DOUBLE""",
 )
 def _(d):
-    seg = d.segments.withColumns(
-        {"timestamp": F.to_date("timestamp"), "tags_roget": F.array(F.substring(F.col("tags_roget")[0], 1, 2))}
+    seg = d.segments.select(
+        "id", "source_file", F.to_date("timestamp").alias("timestamp"), "auteur", F.array(F.substring(F.col("tags_roget")[0], 1, 2)).alias("tags_roget"),
+        "emotion_valence", "emotion_activation",
     )
-    return win.significant_changes(seg, order=("id",)).select("id")
+    return win.significant_changes(seg, order=("id",), carry=None).select("id")
 
 
 @query(
@@ -285,7 +287,8 @@ def _(d):
     CAST(sum(CAST(floor(length(text) / 4.0) AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS token_end FROM exchanges""",
 )
 def _(d):
-    return win.token_offsets(d.exchanges).select("conv_id", "turn", "token_count", "token_start", "token_end")
+    counts = d.exchanges.select("conv_id", "turn", token_count(F.col("text")).alias("token_count"))
+    return win.token_offsets(counts, count="token_count").select("conv_id", "turn", "token_count", "token_start", "token_end")
 
 
 @query(
@@ -318,7 +321,8 @@ def _(d):
     25 + sum(length(resume_texte)) OVER (PARTITION BY source_file ORDER BY id) <= 4000 AS kept FROM segments""",
 )
 def _(d):
-    out = win.context_budget(d.segments, 1000, by="source_file", rank="id", block="resume_texte")
+    sizes = d.segments.select("source_file", "id", F.length("resume_texte").alias("size"))
+    out = win.context_budget(sizes, 1000, by="source_file", rank="id", size="size")
     return out.select("source_file", "id", "chars_before", "kept")
 
 
@@ -397,7 +401,7 @@ def _(d):
     "SELECT id, CAST(floor((row_number() OVER (PARTITION BY source_file ORDER BY timestamp, id) - 1) / 5) AS BIGINT) AS batch FROM segments",
 )
 def _(d):
-    return win.batch_no(d.segments, ["timestamp", "id"], 5, ["source_file"]).select("id", "batch")
+    return win.batch_no(d.segments.select("id", "timestamp", "source_file"), ["timestamp", "id"], 5, ["source_file"]).select("id", "batch")
 
 
 @query(
@@ -407,7 +411,7 @@ def _(d):
     CASE WHEN ok THEN resume_texte ELSE '[Extraction échouée - contexte précédent]' END AS resume_texte FROM (SELECT *, id % 3 <> 0 AS ok FROM segments)""",
 )
 def _(d):
-    ann = d.segments.withColumn("ok", F.col("id") % 3 != 0)
+    ann = d.segments.select("id", "timestamp", "source_file", "emotion_valence", "tags_roget", "resume_texte", (F.col("id") % 3 != 0).alias("ok"))
     out = win.fallback_fill(ann, ["timestamp", "id"], ["source_file"], fields=["emotion_valence", "tags_roget"])
     return out.select("id", "emotion_valence", "resume_texte")
 

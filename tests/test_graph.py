@@ -108,8 +108,13 @@ def test_neighbours_have_no_cartesian_product(seg):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_windows_run_inside_sorted_runs(seg):
-    assert "_run" in [line for line in plan_of(graph.weave_tags(seg)).splitlines() if "Window" in line][0]
+def test_scans_move_rows_once(seg):
+    """Behind the sorted runs only the carry table is windowed, and nothing is dealt out by run."""
+    plan = plan_of(graph.weave_entities(seg))
+    assert "hashpartitioning(_run" not in plan
+    windows = [k for k, line in enumerate(plan.splitlines()) if "Window" in line]
+    carry = next(k for k, line in enumerate(plan.splitlines()) if "BroadcastExchange" in line)
+    assert windows and min(windows) > carry
 
 
 def test_version_chain(spark):
