@@ -41,17 +41,20 @@ def mask_of(weights: Mapping[str, float]) -> dict[int, float]:
     }
 
 
-def resonance(vector: Column, mask: Mapping[int, float]) -> Column:
-    """Dot product of a sparse vector with a mask, rounded to 4 places."""
-    if not mask:
+def resonance(vector: Column, mask: Mapping[int, float] | Column) -> Column:
+    """Dot product of a sparse vector with a mask (positions and weights, or a column of them), rounded to 4 places."""
+    if isinstance(mask, Column):
+        weights = mask
+    elif not mask:
         return F.lit(0.0)
-    # the mask is one constant map; vectors have few entries
-    weights = F.expr("map(" + ", ".join(f"{p}, {w!r}D" for p, w in mask.items()) + ")")
+    else:
+        # the mask is one constant map; vectors have few entries
+        weights = F.expr("map(" + ", ".join(f"{p}, {w!r}D" for p, w in mask.items()) + ")")
     part = lambda e: F.coalesce(F.try_element_at(weights, e["key"]), F.lit(0.0)) * e["value"]
     return F.round(F.aggregate(F.map_entries(vector), F.lit(0.0), lambda acc, e: acc + part(e)), 4)
 
 
-def resonance_score(vector: Column, mask: Mapping[int, float]) -> Column:
+def resonance_score(vector: Column, mask: Mapping[int, float] | Column) -> Column:
     """Resonance over its practical maximum; neutral without a vector."""
     empty = vector.isNull() | (F.size(vector) == 0)
     return F.when(empty, 0.5).otherwise(F.least(F.lit(1.0), resonance(vector, mask) / 5))

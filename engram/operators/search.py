@@ -4,28 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from engram.functions import lexicon as lx, scores
 from engram.functions.dates import at
 from engram.functions.formats import context_block
 from engram.functions.text import fold, normalize_list
-from engram.operators import filters as flt, windows
+from engram.operators import filters as flt, grams, windows
 from engram.session import materialise
 
-# queries travel in the plan: so many per scan
-QUERIES_PER_SCAN = 128
-
-
-def _in_slices(queries: Sequence, one: Callable[[Sequence], DataFrame]) -> DataFrame:
-    """One scan per slice of the queries."""
-    parts = [one(queries[k : k + QUERIES_PER_SCAN]) for k in range(0, len(queries), QUERIES_PER_SCAN)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @dataclass(frozen=True)
 class Query:
     """One parsed search."""
@@ -41,97 +31,148 @@ class Query:
     weights: Mapping[str, float] = field(default_factory=lambda: dict(lx.DEFAULT_WEIGHTS))
     top_k: int = 5
 
-    def predicate(self) -> Column:
-        return flt.candidate_predicate(self.keywords, self.tags, self.persons, self.start, self.end)
+
+QUERY_ROW = """query_id bigint, text string, keywords array<string>, tags array<string>, persons array<string>, start timestamp, end timestamp,
+    ev double, ea double, w_tags double, w_emotion double, w_time double, w_persons double, w_summary double, mask map<int,double>, top_k int"""
+
+
+def query_table(spark: SparkSession, queries: Sequence[Query]) -> DataFrame:
+    """A log of searches as a table, one row each (the columns of `QUERY_ROW`)."""
+    def instant(t: datetime | None) -> datetime | None:
+        return t if t is None or t.tzinfo else t.replace(tzinfo=timezone.utc)
+
+    rows = []
+    for q in queries:
+        w = {k: float(q.weights.get(k, d)) for k, d in lx.DEFAULT_WEIGHTS.items()}
+        rows.append((
+            q.query_id, q.text, list(q.keywords), list(q.tags), list(q.persons), instant(q.start), instant(q.end), *(map(float, q.emotion) if q.emotion else (None, None)),
+            w["tags_roget"], w["emotion"], w["timestamp"], w["personnes"], w["resume_texte"], scores.mask_of(q.weights), q.top_k,
+        ))
+    return spark.createDataFrame(rows, QUERY_ROW)
+
+
+def _words(col: str) -> Column:
+    return F.transform(col, lambda w: F.lower(w))
+
+
+def _names() -> Column:
+    return F.transform("q.persons", lambda p: fold(p))
+
+
+KEYWORD_TEXT = ("resume_texte", "sujets", "projets", "lieux")
+
+
+def index_segments(seg: DataFrame, only: DataFrame | None = None) -> grams.Postings:
+    """Postings of the texts that searches look into (keywords, tags, persons) and of the days. Built once and stored by
+    `grams.write_postings`; `only` restricts them to what some queries ask for."""
+    texts = {"keyword": flt.haystack(*KEYWORD_TEXT), "tag": flt.haystack("tags_roget"), "person": normalize_list(F.col("personnes"))}
+    return grams.build_postings(seg, "id", texts, F.col("timestamp"), only)
 
 
-def hybrid_score(q: Query, now: datetime) -> Column:
-    """Weighted sum of five partial scores, raised by up to 20 % through the vector resonance."""
-    w = {k: float(q.weights.get(k, d)) for k, d in lx.DEFAULT_WEIGHTS.items()}
-    tags = F.col("tags_roget")
+def conditions(log: DataFrame) -> DataFrame:
+    """What a segment must hold for each query, but for the days: query_id, kind, no, value (one value per kind is enough)."""
+    asked = log.select(F.struct("*").alias("q"))
+    # persons take the place of keywords
+    words = F.when(F.size("q.persons") == 0, _words("q.keywords")).otherwise(F.array().cast("array<string>"))
+    parts = [asked.select("q.query_id", F.lit(kind).alias("kind"), F.posexplode(values).alias("no", "value"))
+             for kind, values in (("keyword", words), ("tag", _words("q.tags")), ("person", _names()))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _day_conditions(log: DataFrame, terms: DataFrame) -> DataFrame:
+    first, last = terms.filter("kind = 'day'").agg(F.to_date(F.min("term")), F.to_date(F.max("term"))).first()
+    ranged = log.filter("start IS NOT NULL OR end IS NOT NULL")
+    if first is None:
+        return ranged.select("query_id", F.lit("day").alias("kind"), F.lit(0).alias("no"), F.lit("none").alias("value"))
+    days = grams.days_between(F.col("start"), F.col("end"), first, last)
+    # a range without a day that occurs has no candidates, which is still a condition
+    return ranged.select("query_id", F.lit("day").alias("kind"), F.posexplode(F.when(F.size(days) > 0, days).otherwise(F.array(F.lit("none")))).alias("no", "value"))
+
+
+def accepts() -> Column:
+    """Whether the segment meets all conditions of the query in `q`."""
+    low, tags, people = flt.haystack(*KEYWORD_TEXT), flt.haystack("tags_roget"), normalize_list(F.col("personnes"))
+    one_of = lambda values, text: (F.size(values) == 0) | F.exists(values, lambda v: F.contains(text, v))
+    return (
+        (F.col("q.start").isNull() | (F.col("timestamp") >= F.col("q.start"))) & (F.col("q.end").isNull() | (F.col("timestamp") <= F.col("q.end")))
+        & ((F.size("q.persons") > 0) | one_of(_words("q.keywords"), low)) & one_of(_words("q.tags"), tags) & one_of(_names(), people)
+    )
+
+
+def hybrid_score(now: datetime) -> Column:
+    """Weighted sum of five partial scores of the segment for the query in `q`, raised by up to 20 % through the resonance."""
+    tags, wanted = F.col("tags_roget"), F.col("q.tags")
     has_tags = F.size(tags) > 0
-    neutral = F.when(has_tags, 0.5).otherwise(0.3)
-    if q.tags:
-        wanted = F.array(*[F.lit(t) for t in q.tags])
-        pairs = F.flatten(F.transform(tags, lambda s: F.transform(wanted, lambda t: scores.tag_proximity(t, s))))
-        s_tags = F.when(has_tags, F.array_max(pairs)).otherwise(0.3)
-    else:
-        s_tags = neutral
-    s_emotion = F.lit(0.5)
-    if q.emotion:
-        v, a = (F.coalesce(c, F.lit(0.0)) for c in ("emotion_valence", "emotion_activation"))
-        s_emotion = scores.emotion_similarity(F.lit(q.emotion[0]), F.lit(q.emotion[1]), v, a)
+    pairs = F.flatten(F.transform(tags, lambda s: F.transform(wanted, lambda t: scores.tag_proximity(t, s))))
+    s_tags = F.when(F.size(wanted) > 0, F.when(has_tags, F.array_max(pairs)).otherwise(0.3)).otherwise(F.when(has_tags, 0.5).otherwise(0.3))
+    v, a = (F.coalesce(c, F.lit(0.0)) for c in ("emotion_valence", "emotion_activation"))
+    s_emotion = F.when(F.col("q.ev").isNull(), 0.5).otherwise(scores.emotion_similarity(F.col("q.ev"), F.col("q.ea"), v, a))
     s_time = scores.time_score(F.col("timestamp"), at(now))
-    s_persons = F.lit(0.5)
-    if q.persons:
-        names = normalize_list(F.col("personnes"))
-        hits = sum((F.contains(names, fold(F.lit(p))).cast("int") for p in q.persons), F.lit(0))
-        s_persons = scores.hits_score(hits, 0.5, 0.25)
-    s_summary = F.lit(0.5)
-    if q.keywords:
-        low = F.lower(F.coalesce("resume_texte", F.lit("")))
-        hits = sum((F.contains(low, F.lit(k)).cast("int") for k in q.keywords), F.lit(0))
-        s_summary = scores.hits_score(hits, 0.3, 0.15)
+    people = normalize_list(F.col("personnes"))
+    s_persons = scores.hits_score(F.size(F.filter(_names(), lambda p: F.contains(people, p))), 0.5, 0.25)
+    low = F.lower(F.coalesce("resume_texte", F.lit("")))
+    s_summary = scores.hits_score(F.size(F.filter("q.keywords", lambda k: F.contains(low, k))), 0.3, 0.15)
     base = (
-        s_tags * w["tags_roget"] + s_emotion * w["emotion"] + s_time * w["timestamp"]
-        + s_persons * w["personnes"] + s_summary * w["resume_texte"]
+        s_tags * F.col("q.w_tags") + s_emotion * F.col("q.w_emotion") + s_time * F.col("q.w_time")
+        + s_persons * F.col("q.w_persons") + s_summary * F.col("q.w_summary")
     )
-    return base * (1 + 0.2 * scores.resonance_score(F.col("vecteur"), scores.mask_of(q.weights)))
+    return base * (1 + 0.2 * scores.resonance_score(F.col("vecteur"), F.col("q.mask")))
 
 
-def score_pairs(seg: DataFrame, queries: Sequence[Query], now: datetime) -> DataFrame:
-    """(query_id, score) for every segment a query accepts.
+def score_pairs(seg: DataFrame, queries: Sequence[Query] | DataFrame, now: datetime, index: grams.Postings | None = None) -> DataFrame:
+    """(query_id, score, top_k) for every segment a query accepts.
 
-    One scan serves up to `QUERIES_PER_SCAN` queries: they are literals of the plan, each segment emits one row per query
-    that accepts it. Nothing is joined and rejected pairs never leave the scan.
+    The log is a table: each query looks up its rarest condition in the postings, the candidates found meet the segments
+    once by id, and are tested and scored there. One scan of the segments serves a log of any length. Without an `index`
+    (see `index_segments`) the postings of what the log asks for are made on the way. Queries without a condition accept
+    every segment, and get them all.
     """
-    if not queries:
+    log = queries if isinstance(queries, DataFrame) else query_table(seg.sparkSession, queries)
+    log = materialise(log.select(*[F.col(c) for c in T._parse_datatype_string(QUERY_ROW).names]))
+    if log.isEmpty():
         raise ValueError("no query")
-    return _in_slices(queries, lambda own: _score_slice(seg, own, now))
-
-
-def _score_slice(seg: DataFrame, queries: Sequence[Query], now: datetime) -> DataFrame:
-    accepts = [q.predicate() for q in queries]
-    scored = [
-        F.when(
-            accept,
-            F.struct(F.lit(q.query_id).cast("long").alias("query_id"), hybrid_score(q, now).alias("score"), F.lit(q.top_k).alias("top_k")),
-        )
-        for q, accept in zip(queries, accepts)
-    ]
-    return seg.filter(flt.any_of(accepts)).select("*", F.explode(F.filter(F.array(*scored), lambda s: s.isNotNull())).alias("_s")).select(
-        *seg.columns, "_s.*"
-    )
-
-
-def hybrid_search(seg: DataFrame, queries: Sequence[Query], now: datetime, prefilter_limit: int | None = None) -> DataFrame:
+    asked = conditions(log)
+    postings = index or index_segments(seg, only=asked)
+    asked = asked.unionByName(_day_conditions(log, postings.terms))
+    own = log.select("query_id", F.struct("*").alias("q"))
+    pairs = grams.candidates(asked, postings).join(own, "query_id").join(seg, "id")
+    found = pairs.filter(accepts())
+    free = log.join(grams.bound_queries(asked), "query_id", "left_anti")
+    if not free.isEmpty():
+        listed = free.agg(F.collect_list(F.struct(*log.columns)).alias("_all"))  # one row
+        found = found.select(*seg.columns, "q").unionByName(seg.join(F.broadcast(listed), F.lit(True)).select(*seg.columns, F.explode("_all").alias("q")).filter(accepts()))
+    return found.select(*seg.columns, F.col("q.query_id").alias("query_id"), hybrid_score(now).alias("score"), F.col("q.top_k").alias("top_k"))
+
+
+def hybrid_search(
+    seg: DataFrame, queries: Sequence[Query] | DataFrame, now: datetime, prefilter_limit: int | None = None, index: grams.Postings | None = None
+) -> DataFrame:
     """Best segments per query. `prefilter_limit=100` scores only the newest hundred candidates of each query."""
-    pairs = score_pairs(seg, queries, now)
+    pairs = score_pairs(seg, queries, now, index)
     if prefilter_limit:
         pairs = windows.top_k(pairs, ["query_id"], [F.desc("timestamp"), F.asc("id")], prefilter_limit, "_newest").drop("_newest")
-    largest = max(q.top_k for q in queries)
+    largest = queries.agg(F.max("top_k")).first()[0] if isinstance(queries, DataFrame) else max(q.top_k for q in queries)
     ranked = windows.top_k(pairs, ["query_id"], [F.desc("score"), F.asc("id")], largest)
     return ranked.filter("rank <= top_k").drop("top_k")
 
 
-def text_fallback(docs: DataFrame, queries: Sequence[Query], answered: DataFrame, name: str = "file_name") -> DataFrame:
-    """For queries without a hit: first matching line of the files that hold the query text, score 0.1."""
-    wanted = [q for q in queries if q.text]
-    if not wanted:
+def text_fallback(docs: DataFrame, queries: Sequence[Query] | DataFrame, answered: DataFrame, name: str = "file_name", cut: int | None = None) -> DataFrame:
+    """For queries without a hit: first matching line (its first `cut` letters) of the files that hold the query text, score 0.1.
+
+    Candidates come from the rarest trigram of each text; files and queries meet by these only.
+    """
+    log = queries if isinstance(queries, DataFrame) else query_table(docs.sparkSession, queries)
+    wanted = materialise(log.filter("text <> ''").select("query_id", F.lower("text").alias("value"), "top_k"))
+    if wanted.isEmpty():
         raise ValueError("no query has a text")
-    return _in_slices(wanted, lambda own: _fallback_slice(docs, own, answered, name))
-
-
-def _fallback_slice(docs: DataFrame, wanted: Sequence[Query], answered: DataFrame, name: str) -> DataFrame:
-    slots = F.array(*[
-        F.struct(F.lit(q.query_id).cast("long").alias("query_id"), F.lit(q.text.lower()).alias("text"), F.lit(q.top_k).alias("top_k")) for q in wanted
-    ])
-    low = F.lower("text")
-    hits = docs.select(name, "text", F.explode(F.filter(slots, lambda s: F.contains(low, s["text"]))).alias("q"))
-    line = F.filter(F.split("text", "\n"), lambda l: F.contains(F.lower(l), F.col("q.text")))
-    rows = hits.select("q.query_id", "q.top_k", name, F.substring(F.try_element_at(line, F.lit(1)), 1, 200).alias("resume_texte"))
-    rows = rows.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    ranked = windows.top_k(rows, ["query_id"], [F.asc(name)], max((q.top_k for q in wanted), default=1))
+    wanted = wanted.join(answered.select("query_id").distinct(), "query_id", "left_anti")
+    asked = wanted.select("query_id", F.lit("text").alias("kind"), F.lit(0).alias("no"), "value")
+    postings = grams.build_postings(docs, name, {"text": F.lower("text")}, only=asked)
+    hits = grams.candidates(asked, postings).join(wanted, "query_id").join(docs.select(F.col(name).alias("id"), "text"), "id").filter(F.contains(F.lower("text"), F.col("value")))
+    line = F.try_element_at(F.filter(F.split("text", "\n"), lambda l: F.contains(F.lower(l), F.col("value"))), F.lit(1))
+    rows = hits.select("query_id", "top_k", F.col("id").alias(name), (F.substring(line, 1, cut) if cut else line).alias("resume_texte"))
+    largest = wanted.agg(F.max("top_k")).first()[0] or 1
+    ranked = windows.top_k(rows, ["query_id"], [F.asc(name)], largest)
     return ranked.filter("rank <= top_k").drop("top_k").withColumn("score", F.lit(0.1))
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from engram.functions import lexicon as lx, records as rec, scores, text as tx, vector as vec
-from engram.operators import embeddings as emb, fulltext as fts, graph, profiles, search
+from engram.operators import embeddings as emb, fulltext as fts, grams, graph, profiles, search
 from engram.operators.filters import get_pillars
 from engram.operators.mutations import EDGE_KEY
 from engram.plans.queries_aggregates import CLASS_SQL, MIXED_SQL, SIGNS_SQL, mixed_texts
 from engram.plans.queries_filters import NOW
 from engram.plans.registry import query
-from engram.session import materialise
+from engram.session import materialise, scratch_path
 
 ENTITY_SQL = """SELECT prev_id AS source_id, id AS target_id, '{kind}' AS type, 1.5::DOUBLE AS poids, arg_min(e, pos) AS label FROM (
   SELECT id, e, pos, lag(id) OVER (PARTITION BY e ORDER BY timestamp, id) AS prev_id FROM (
@@ -37,17 +38,17 @@ def labelled(edges, key):
 
 @query("graph1_person_chain", PERSON_SQL)
 def _(d):
-    return labelled(graph.weave_entities(d.segments, "personnes", "LIEN_PERSONNE"), "sujet")
+    return labelled(graph.weave_entities(d.wide("segments"), "personnes", "LIEN_PERSONNE"), "sujet")
 
 
 @query("graph1_project_chain", PROJECT_SQL)
 def _(d):
-    return labelled(graph.weave_entities(d.segments, "projets", "LIEN_PROJET"), "sujet")
+    return labelled(graph.weave_entities(d.wide("segments"), "projets", "LIEN_PROJET"), "sujet")
 
 
 @query("graph2_emotion_resonance", f"WITH {PEAKS_CTE} {EMOTION_SQL}")
 def _(d):
-    return labelled(graph.weave_emotions(d.segments), "val")
+    return labelled(graph.weave_emotions(d.wide("segments")), "val")
 
 
 @query("graph3_block_edges", BLOCK_SQL)
@@ -67,7 +68,7 @@ def _(d):
 
 @query("graph4_shared_tags", f"WITH {TAG_CTE} {TAG_SQL}")
 def _(d):
-    return labelled(graph.weave_tags(d.segments), "tag")
+    return labelled(graph.weave_tags(d.wide("segments")), "tag")
 
 
 @query("graph5_version_links", """SELECT a.id AS source_id, b.id AS target_id, 'LIEN_VERSION' AS type, 2.0::DOUBLE AS poids FROM segments a JOIN segments b ON b.id = a.id + 50 WHERE a.id % 50 < 5""")
@@ -88,18 +89,18 @@ def _(d):
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
     stale = manual.withColumn("type", F.lit("TAGS_PARTAGES"))
-    woven = graph.rebuild_graph(d.segments, manual.unionByName(stale))
+    woven = graph.rebuild_graph(d.wide("segments"), manual.unionByName(stale))
     return woven.unionByName(graph.weave_blocks(d.segments)).select(*EDGE_KEY, "poids")
 
 
 @query("graph6_counts", f"WITH {ALL_EDGES_CTE} SELECT type, count(*) AS n FROM edges GROUP BY type")
 def _(d):
-    return graph.graph_counts(graph.rebuild_graph(d.segments), graph.block_members(d.segments))
+    return graph.graph_counts(graph.rebuild_graph(d.wide("segments")), graph.block_members(d.wide("segments")))
 
 
 @query("set2_union_edges", f"WITH {PEAKS_CTE}, u AS ({PERSON_SQL} UNION ALL {PROJECT_SQL} UNION ALL {EMOTION_SQL}) SELECT type, count(*) AS n FROM u GROUP BY type")
 def _(d):
-    seg = d.segments
+    seg = d.wide("segments")
     person, project = graph.weave_entities(seg), graph.weave_entities(seg, "projets", "LIEN_PROJET")
     return graph.graph_counts(graph.union_edges(person, project, person.withColumn("poids", F.lit(9.0)), graph.weave_emotions(seg)))
 
@@ -120,8 +121,8 @@ BOTH = "both_ways AS (SELECT source_id AS here, target_id AS there, type, poids
     f"""WITH {ALL_EDGES_CTE}, {BOTH} SELECT s.start AS id, b.there AS linked_id, b.type AS link_type, b.poids FROM {STARTS_SQL} s JOIN both_ways b ON b.here = s.start WHERE b.type IN ('LIEN_PERSONNE', 'TAGS_PARTAGES', 'MEME_GROUPE')""",
 )
 def _(d):
-    edges = materialise(graph.rebuild_graph(d.segments))
-    members = graph.block_members(d.segments)
+    edges = materialise(graph.rebuild_graph(d.wide("segments")))
+    members = graph.block_members(d.wide("segments"))
     return graph.neighbours(edges, d.segments, starts(d), ["LIEN_PERSONNE", "TAGS_PARTAGES", "MEME_GROUPE"], members).select("id", "linked_id", "link_type", "poids")
 
 
@@ -136,8 +137,8 @@ EXPLORE_SQL = f"""WITH {ALL_EDGES_CTE}, {BOTH},
 
 @query("graph7_explore_depth2", EXPLORE_SQL)
 def _(d):
-    edges = materialise(graph.rebuild_graph(d.segments))
-    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=materialise(graph.block_members(d.segments)))
+    edges = materialise(graph.rebuild_graph(d.wide("segments")))
+    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=materialise(graph.block_members(d.wide("segments"))))
     return out.select("id", "linked_id", "poids", "depth", F.col("rank").cast("long").alias("rank"))
 
 
@@ -158,8 +159,8 @@ def _(d):
 
 @query("agg12_link_histogram", EXPLORE_SQL.replace("SELECT start AS id, node AS linked_id, poids, depth, rank FROM r WHERE rank <= 50", "SELECT depth, count(*) AS n FROM r WHERE rank <= 50 GROUP BY depth"))
 def _(d):
-    edges = materialise(graph.rebuild_graph(d.segments))
-    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=materialise(graph.block_members(d.segments)))
+    edges = materialise(graph.rebuild_graph(d.wide("segments")))
+    out = graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=materialise(graph.block_members(d.wide("segments"))))
     return out.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -172,8 +173,8 @@ TYPED_SQL = EXPLORE_SQL.replace("max(b.poids) AS poids,", "max(b.poids) AS poids
 def _(d):
     from engram.operators.aggregates import link_histogram
 
-    edges = materialise(graph.rebuild_graph(d.segments))
-    members = materialise(graph.block_members(d.segments))
+    edges = materialise(graph.rebuild_graph(d.wide("segments")))
+    members = materialise(graph.block_members(d.wide("segments")))
     return link_histogram(graph.explore_links(edges, d.segments, starts(d), depth=2, max_results=50, members=members))
 
 
@@ -257,6 +258,43 @@ def _(d):
     return pairs.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def _log(d):
+    """One search per customer: a word, a person, a tag or a time range, in turn."""
+    k = F.col("c_custkey")
+    turn, text = k % 5, lambda c: c.cast("string")
+    pad = lambda c, n: F.lpad(text(c), n, "0")
+    none = F.array().cast("array<string>")
+    only = lambda which, c: F.when(turn == which, F.array(c)).otherwise(none)
+    start = F.when(turn == 3, F.timestamp_seconds(F.unix_seconds(F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc))) + (k % 30) * 86_400))
+    weights = search.query_table(d.spark, [search.Query(1)]).first().asDict()
+    return d.customer.select(
+        k.alias("query_id"), F.lit("").alias("text"),
+        F.when(turn == 0, F.array(F.concat(F.lit("user "), text(k % 97)), F.concat(F.lit("absent"), text(k)))).when(turn == 4, F.array(F.lit("ou"))).otherwise(none).alias("keywords"),
+        only(1, F.concat_ws("-", pad(1 + k % 6, 2), pad(10 * (k % 30), 4), pad(10 * (k % 40), 4))).alias("tags"), only(2, F.concat(F.lit("Person"), text(k % 11))).alias("persons"),
+        start.alias("start"), (start + F.expr("INTERVAL 1 DAY")).alias("end"), F.lit(None).cast("double").alias("ev"), F.lit(None).cast("double").alias("ea"),
+        *[F.lit(weights[w]).alias(w) for w in ("w_tags", "w_emotion", "w_time", "w_persons", "w_summary")],
+        F.from_json(F.lit(json.dumps({str(p): v for p, v in weights["mask"].items()})), "map<string,double>").alias("_mask"), F.lit(3).alias("top_k"),
+    ).withColumn("mask", F.transform_keys("_mask", lambda p, _: p.cast("int"))).drop("_mask")
+
+
+LOG_CTE = SEARCH_CTE.replace(SEARCH_CTE[SEARCH_CTE.index("AS (VALUES"):SEARCH_CTE.index(",\n s AS (")], """AS (SELECT c_custkey,
+  CASE c_custkey % 5 WHEN 0 THEN ['user ' || CAST(c_custkey % 97 AS VARCHAR), 'absent' || CAST(c_custkey AS VARCHAR)] WHEN 4 THEN ['ou'] ELSE []::VARCHAR[] END,
+  CASE WHEN c_custkey % 5 = 1 THEN [concat(lpad(CAST(1 + c_custkey % 6 AS VARCHAR), 2, '0'), '-', lpad(CAST(10 * (c_custkey % 30) AS VARCHAR), 4, '0'), '-', lpad(CAST(10 * (c_custkey % 40) AS VARCHAR), 4, '0'))] ELSE []::VARCHAR[] END,
+  CASE WHEN c_custkey % 5 = 2 THEN ['person' || CAST(c_custkey % 11 AS VARCHAR)] ELSE []::VARCHAR[] END,
+  CASE WHEN c_custkey % 5 = 3 THEN TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 30 AS INT)) END, CASE WHEN c_custkey % 5 = 3 THEN TIMESTAMP '2024-01-02' + to_days(CAST(c_custkey % 30 AS INT)) END,
+  NULL::DOUBLE, NULL::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE, 3 FROM customer)""")
+
+
+@query("srch1_query_log", f"WITH {LOG_CTE} SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= top_k")
+def _(d):
+    # the postings are stored and read back; every customer's search is answered in one pass
+    seg = stored_segments(d)
+    path = scratch_path(d.spark, "postings")
+    grams.write_postings(search.index_segments(seg), path)
+    hits = search.hybrid_search(seg, _log(d), NOW, index=grams.read_postings(d.spark, path))
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("srch1_answer_context")
 def _(d):
     return search.answer_context(search.hybrid_search(stored_segments(d), SEARCHES, NOW), max_tokens=200)
@@ -272,7 +310,7 @@ def _(d):
     asked = [search.Query(1, "ERTION"), search.Query(2, "und die", top_k=3), search.Query(9, "answered")]
     docs = d.documents.select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file_name"), "text")
     answered = d.spark.createDataFrame([(9,)], "query_id LONG")
-    return search.text_fallback(docs, asked, answered).withColumn("rank", F.col("rank").cast("long"))
+    return search.text_fallback(docs, asked, answered, cut=200).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(

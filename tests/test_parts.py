@@ -292,6 +292,57 @@ def test_many_queries_and_pillars(spark):
     ).withColumns({"emotion_valence": F.lit(0.0), "emotion_activation": F.lit(0.0), "vecteur": F.lit(None).cast("map<int,double>")})
     queries = [search.Query(i, keywords=["a1", "a2", "a3", "a4", "a5", "six"] if i % 2 else ["none"]) for i in range(300)]
     assert search.score_pairs(seg, queries, datetime(2024, 1, 1)).count() == 150
+    # queries without conditions accept all; persons take the place of keywords; empty and short values
+    odd = [search.Query(1), search.Query(2, keywords=["zz"], persons=["Ann"]), search.Query(3, keywords=[""]), search.Query(4, keywords=["x"]), search.Query(5, keywords=["a", "x"]),
+           search.Query(6, start=datetime(2024, 1, 1), end=datetime(2024, 1, 2)), search.Query(7, end=datetime(2020, 1, 1)), search.Query(8, tags=["07"]), search.Query(9, keywords=[""], tags=["07"]),
+           search.Query(10, keywords=["ha si"]), search.Query(11, keywords=["ha\nsi"])]
+    rich = seg.withColumns({"personnes": F.array(F.lit("Joanna")), "tags_roget": F.array(F.lit("01-0010-0070"))})
+    assert {r.query_id for r in search.score_pairs(rich, odd, datetime(2024, 1, 1)).collect()} == {1, 2, 3, 4, 5, 6, 8, 9, 10}
+
+
+def test_stored_postings_equal_scan(spark, tmp_path):
+    """Ten thousand searches in one scan of the segments, through a stored index, give what testing every pair gives."""
+    words = ["alpha", "beta", "gamma", "Delta", "be", "ta ga"]
+    seg = spark.range(400).select(
+        "id", F.timestamp_seconds(F.col("id") * 40_000 + 1_700_000_000).alias("timestamp"), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 6 + 1).cast("int")).alias("resume_texte"),
+        *[F.array(F.concat(F.lit(c), F.col("id") % 13)).alias(c) for c in ("sujets", "projets", "lieux", "personnes")], F.array(F.concat(F.lit("01-0010-0"), F.col("id") % 7)).alias("tags_roget"),
+        F.lit(0.1).alias("emotion_valence"), F.lit(0.2).alias("emotion_activation"), F.lit(None).cast("map<int,double>").alias("vecteur"))
+    log = [search.Query(i, keywords=[words[i % 6]] if i % 3 == 0 else [], persons=[f"personnes{i % 13}"] if i % 3 == 1 else [], tags=[f"0{i % 9}"] if i % 2 else [], top_k=2,
+                        start=datetime(2023, 11, 20) if i % 5 == 0 else None) for i in range(10_000)]
+    from engram.operators import grams
+
+    grams.write_postings(search.index_segments(seg), str(tmp_path / "p"))
+    got = search.score_pairs(seg, log, datetime(2024, 1, 1), grams.read_postings(spark, str(tmp_path / "p"))).select("query_id", "id").collect()
+    rows = [(r.id, r.timestamp, r) for r in seg.collect()]
+    want = set()
+    for q in log[:300]:
+        for i, t, r in rows:
+            hay = "\n".join([r.resume_texte, *r.sujets, *r.projets, *r.lieux]).lower()
+            ok = (not q.keywords or any(k.lower() in hay for k in q.keywords)) and (not q.persons or any(p in r.personnes[0] for p in q.persons)) and (not q.tags or any(t_ in r.tags_roget[0] for t_ in q.tags))
+            if ok and (q.start is None or t >= q.start):
+                want.add((q.query_id, i))
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got if r.query_id < 300} == want
+
+
+def test_documents_by_trigrams(spark, tmp_path):
+    """A search reads the blocks that can hold its words, and finds what a scan finds."""
+    from engram.operators import grams
+
+    docs = spark.range(2_000).select("id", F.when(F.col("id") == 77, "Only HERE\nzebra").when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("plain text "), F.col("id"))).alias("text"))
+    grams.write_blocks(docs, "id", "text", str(tmp_path / "b"), size=20)
+    index = grams.read_blocks(spark, str(tmp_path / "b"))
+    total = index.docs.select("_block").distinct().count()
+    assert grams.holding(index, ["ZEBRA"]).count() == 1 < total
+    assert 1 <= grams.holding(index, ["text 12", "9"]).count() < total
+    assert grams.holding(index, []).count() == total and grams.holding(index, ["nowhere"]).count() == 0
+    for word in ("zebra", "text 12", "x", "nowhere", "he"):
+        got = flt.grep_lines(grams.reading(index, [word]), word).select("id", "line_no", "line").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, flt.grep_lines(docs, word).select("id", "line_no", "line").collect()))
+    for wild in ("t*ext 1", "he*re", "*"):
+        got = flt.search_text(grams.reading(index, grams.literal_pieces(wild)), wild).select("id", "position").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, flt.search_text(docs, wild).select("id", "position").collect()))
+    plan = grams.reading(index, ["zebra"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "_block" in plan.split("PushedFilters", 1)[1].split("]", 1)[0]
     old = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog", "VALEUR", 1)], "id LONG, fait STRING, categorie STRING, importance INT")
     new = spark.createDataFrame([(i, f"fact number {i} of many that are all new", "VALEUR", 1) for i in range(10, 1300)] + [(2, "QUICK brown fox jumps over the", "VALEUR", 1), (3, "fox", "VALEUR", 1), (4, "foxes", "VALEUR", 1)], old.schema)
     assert {r.id for r in mut.add_pillars(old, new).collect()} == {1, 4, *range(10, 1300)}
