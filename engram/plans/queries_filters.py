@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from engram.functions import dates, formats, text as tx
 from engram.functions.lexicon import ACCENTED, CORRECTION_PATTERNS, TEXT_EXTENSIONS, UNACCENTED
-from engram.operators import filters as flt
+from engram.operators import filters as flt, grams
 from engram.plans.registry import query
+from engram.session import scratch_path
 
 NOW = datetime(2024, 1, 31)
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -180,6 +181,28 @@ def _(d):
     return hits.select("doc_id", F.col("match_no").cast("long"), F.lower("matched").alias("matched"), F.col("position").cast("long"))
 
 
+def by_trigrams(d, pieces):
+    """Documents of the blocks that can hold the pieces, through a stored trigram index."""
+    path = scratch_path(d.spark, "blocks")
+    grams.write_blocks(d.wide("documents").select("doc_id", "text"), "doc_id", "text", path)
+    return grams.reading(grams.read_blocks(d.spark, path), pieces)
+
+
+@query(
+    "flt15_by_trigrams",
+    r"""WITH m AS (SELECT doc_id, regexp_split_to_array(lower(text), 'th.*and') AS pieces, regexp_extract_all(lower(text), 'th.*and') AS found
+               FROM documents WHERE regexp_matches(lower(text), 'th.*and')),
+    e AS (SELECT doc_id, unnest(range(len(found))) AS match_no, found, pieces FROM m)
+    SELECT doc_id, match_no, found[match_no + 1] AS matched,
+      CAST(list_sum(list_transform(pieces[1:match_no + 1], lambda p: length(p)))
+         + coalesce(list_sum(list_transform(found[1:match_no], lambda p: length(p))), 0) AS BIGINT) AS position
+    FROM e""",
+)
+def _(d):
+    hits = flt.search_text(by_trigrams(d, grams.literal_pieces("th*and")), "th*and")
+    return hits.select("doc_id", F.col("match_no").cast("long"), F.lower("matched").alias("matched"), F.col("position").cast("long"))
+
+
 @query(
     "flt15_context",
     r"""WITH m AS (SELECT doc_id, text, strpos(lower(text), 'nnting') AS p FROM documents WHERE contains(lower(text), 'nnting'))
@@ -210,6 +233,15 @@ def _(d):
     return flt.grep_lines(d.documents.select("doc_id", "text"), "NTER").withColumn("line_no", F.col("line_no").cast("long"))
 
 
+@query(
+    "flt17_by_trigrams",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+    SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, trim(line, ' ') AS line FROM l WHERE contains(lower(line), 'nter')""",
+)
+def _(d):
+    return flt.grep_lines(by_trigrams(d, ["NTER"]), "NTER").withColumn("line_no", F.col("line_no").cast("long"))
+
+
 @query(
     "flt17_grep_counts",
     """WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -389,17 +389,47 @@ def _(d):
     return fts.bm25(postings, stats, ["ouo", "the", "src1"]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+def stored_index(d, size=fts.DOCS_PER_BLOCK):
+    """The index of the files, stored and read back."""
+    path = scratch_path(d.spark, "index")
+    fts.write_index(fts.build_index(d.wide("files"), "id", FIELDS, size), path)
+    return fts.read_index(d.spark, path)
+
+
 @query(
     "srch3_full_text",
     f"""WITH {BM25_CTE} SELECT f.id, f.importance, round(rank, 6) AS rank FROM bm JOIN files f ON f.id = bm.doc_id WHERE f.domain = 'fr' AND f.extension = '.md' AND f.importance >= 2
     ORDER BY bm.rank, f.importance DESC, f.id LIMIT 20""",
 )
+def _(d):
+    hits = fts.search_index(stored_index(d), d.files, "\"Ouo\" the* src1", domain="FR", extension="MD", limit=20, min_importance=2)
+    return hits.select("id", "importance", F.round("rank", 6).alias("rank"))
+
+
+@query(
+    "srch3_all_postings",
+    f"""WITH {BM25_CTE} SELECT f.id, f.importance, round(rank, 6) AS rank FROM bm JOIN files f ON f.id = bm.doc_id WHERE f.domain = 'fr' AND f.extension = '.md' AND f.importance >= 2
+    ORDER BY bm.rank, f.importance DESC, f.id LIMIT 20""",
+)
 def _(d):
     postings, stats = index(d)
     hits = fts.full_text_search(postings, stats, d.files, "\"Ouo\" the* src1", domain="FR", extension="MD", limit=20, min_importance=2)
     return hits.select("id", "importance", F.round("rank", 6).alias("rank"))
 
 
+@query(
+    "srch3_updated_index",
+    f"""WITH {BM25_CTE.replace("summary), '", "CASE WHEN id % 5 = 0 THEN 'the new ouo text' ELSE summary END), '").replace("FROM files)", "FROM files WHERE id % 7 <> 0)")}
+    SELECT f.id, f.importance, round(rank, 6) AS rank FROM bm JOIN files f ON f.id = bm.doc_id ORDER BY bm.rank, f.importance DESC, f.id LIMIT 40""",
+)
+def _(d):
+    changed = d.files.filter("id % 5 = 0 AND id % 7 <> 0").withColumn("summary", F.lit("the new ouo text"))
+    path = scratch_path(d.spark, "index")
+    fts.write_index(fts.update_index(stored_index(d, 64), changed, "id", FIELDS, deleted=d.files.filter("id % 7 = 0")), path)
+    hits = fts.search_index(fts.read_index(d.spark, path), d.files, "ouo the src1", limit=40)
+    return hits.select("id", "importance", F.round("rank", 6).alias("rank"))
+
+
 @query(
     "srch4_like_search",
     """SELECT id, importance FROM files WHERE (contains(lower(path_display), 'src1') OR contains(lower(name), 'src1') OR contains(lower(summary), 'src1')) AND importance >= 3
@@ -419,6 +449,18 @@ def _(d):
     return fts.update_postings(index(d)[0], changed, "id", FIELDS, deleted=files.filter("id % 7 = 0"))
 
 
+@query(
+    "srch4_by_trigrams",
+    """SELECT id, importance FROM files WHERE (contains(lower(path_display), 'oui') OR contains(lower(name), 'oui') OR contains(lower(summary), 'oui')) AND importance >= 3
+    ORDER BY importance DESC, id LIMIT 80""",
+)
+def _(d):
+    path = scratch_path(d.spark, "blocks")
+    grams.write_blocks(d.wide("files"), "id", F.concat_ws("\n", *FIELDS), path)
+    found = grams.reading(grams.read_blocks(d.spark, path), ["OUI"])
+    return search.like_search(found, "OUI", limit=80, min_importance=3).select("id", "importance")
+
+
 @query("srch7_boolean_and", f"WITH {POSTINGS_CTE} SELECT doc_id FROM postings WHERE term IN ('the', 'and', 'of') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
 def _(d):
     return fts.boolean_search(index(d)[0], ["the", "and", "of"]).select("doc_id")

@@ -353,3 +353,43 @@ def test_facts_keep_every_column(spark):
     new = spark.createDataFrame([("d", "s", "new", 9, 5), ("d", "t", "x", 2, 6)], "domaine STRING, sujet STRING, information STRING, importance INT, derniere_maj INT")
     got = {r.sujet: r for r in mut.upsert_facts(old, new).collect()}
     assert (got["s"].id, got["s"].information, got["s"].importance, got["s"].metadata, got["s"].date_creation) == (7, "new", 5, "{}", 1) and got["t"].date_creation == 6
+
+
+def test_index_equals_full_scoring(spark, tmp_path):
+    """Bounds never lose a document, before and after updates, ties and long words included."""
+    import random
+
+    from engram.operators import fulltext as fts
+
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(40)] + ["alpha", "alphabet", "x" * 40, "x" * 41]
+    text = lambda: None if r.random() < 0.05 else " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=r.choice([1, 5, 60])))
+    rows = [(i, text(), i % 4, "fr", ".md") for i in range(600)]
+    schema = "id LONG, summary STRING, importance INT, domain STRING, extension STRING"
+    files = spark.createDataFrame(rows, schema)
+    fts.write_index(fts.build_index(files, "id", ["summary"], size=16), str(tmp_path / "i"))
+    index = fts.read_index(spark, str(tmp_path / "i"))
+
+    def same(index, files, query, limit, **kw):
+        plain = fts.full_text_search(fts.build_postings(files, "id", ["summary"]), fts.build_doc_stats(files, "id", ["summary"]), files, query, limit=limit, **kw)
+        shown = lambda df: [(x.id, round(x["rank"], 9)) for x in df.select("id", "rank").collect()]
+        got, want = shown(fts.search_index(index, files, query, limit=limit, **kw)), shown(plain)
+        assert got == want, (query, limit)
+
+    for query, limit in (("w30", 5), ("w1 w39", 10), ("alpha*", 7), ("w", 20), ("nothing here", 5), ("x" * 40, 3), ("x" * 33, 50), ("w2 alphabet w17", 600)):
+        same(index, files, query, limit)
+    same(index, files, "w3 w20", 5, min_importance=3)
+    # a narrow search judges most blocks by their bounds alone
+    weights, mean = fts._weights(index, ["w39"])
+    bounds = fts.block_bounds(index, ["w39"], [weights["w39"]], mean)
+    assert 0 < bounds.count() < index.totals.first()["n_blocks"]
+    changed = spark.createDataFrame([(i, "alpha changed w39" if i % 2 else None, 5, "fr", ".md") for i in [*range(0, 60, 3), 900, 901]], schema)
+    gone = files.filter("id % 50 = 7")
+    fts.write_index(fts.update_index(index, changed, "id", ["summary"], deleted=gone), str(tmp_path / "j"))
+    after = fts.read_index(spark, str(tmp_path / "j"))
+    now = files.join(gone, "id", "left_anti").join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    fresh = fts.build_index(now, "id", ["summary"], size=16)
+    assert sorted(map(tuple, after.prefixes.select("prefix", "df").collect())) == sorted(map(tuple, fresh.prefixes.select("prefix", "df").collect()))
+    assert after.totals.drop("n_blocks").first() == fresh.totals.drop("n_blocks").first()
+    for query in ("changed", "alpha", "w39 w1"):
+        same(after, now, query, 15)
