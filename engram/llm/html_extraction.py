@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from engram.llm.common import map_slices
 
 SAMPLE, EPOCHS, RATE = 150, 4, 0.5
+DEEPEST = 200  # open elements on a page that may be trained on; pages are read whatever their depth
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|select|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -41,19 +44,54 @@ _CLOSES_P = _BLOCK - {"button", "html", "head", "body", "title"}
 _PART = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An element with those above it. What it adds to their features is kept, not the whole list, so deep pages stay linear."""
+
+    __slots__ = ("above", "tag", "names", "own", "block", "depth", "headed")
+
+    def __init__(self, above: Path | None, tag: str, names: tuple, own: tuple):
+        self.above, self.tag, self.names, self.own = above, tag, names, own
+        self.block = self if tag in _BLOCK else above.block if above else None  # the nearest one
+        self.depth = above.depth + 1 if above else 0
+        self.headed = tag in ("head", "title") or bool(above and above.headed)
+
+    @staticmethod
+    def of(elements) -> Path | None:
+        path, known = None, set()
+        for tag, names in elements:
+            own = tuple(f for f in element_features(tag, names) if f not in known)
+            known.update(own)
+            path = Path(path, tag, names, own)
+        return path
+
+    def up(self) -> Iterator[Path]:
+        node = self
+        while node:
+            yield node
+            node = node.above
+
+    def __iter__(self):
+        return iter([(x.tag, x.names) for x in self.up()][::-1])
+
+
+def element_features(tag: str, names: tuple) -> list[str]:
+    return list(dict.fromkeys([*([f"<{tag}"] if tag in _BLOCK else []), *(f".{name}" for name in names)]))
+
+
 class Leaf:
-    """A leaf block: the names above it, its text, and how much of that is in links."""
+    """A leaf block: the elements above it, its text, and how much of that is in links."""
 
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path, text: str, linked: int):
+        self.path, self.text, self.linked = path if isinstance(path, Path) or path is None else Path.of(path), text, linked
 
 
 def leaves(html: str) -> list[Leaf]:
     """The leaf blocks of a page, in order."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple]] = []  # tag, names
+    stack: list[Path] = []
+    opened, shown = defaultdict(int), defaultdict(int)  # open elements by tag, and features by how many of them have it as their own
     piece: list[str] = []
     linked, at = 0, 0
 
@@ -62,7 +100,7 @@ def leaves(html: str) -> list[Leaf]:
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             if text:
-                out.append(Leaf(tuple(stack), text, linked))
+                out.append(Leaf(stack[-1] if stack else None, text, linked))
             piece.clear()
             linked = 0
 
@@ -70,9 +108,16 @@ def leaves(html: str) -> list[Leaf]:
         nonlocal linked
         if end > at:
             piece.append(html[at:end])
-            if any(tag == "a" for tag, _ in stack):
+            if opened["a"]:
                 linked += end - at
 
+    def close_down_to(depth: int):
+        while len(stack) > depth:
+            node = stack.pop()
+            opened[node.tag] -= 1
+            for f in node.own:
+                shown[f] -= 1
+
     for m in _TOKEN.finditer(html):
         text_to(m.start())
         at = m.end()
@@ -89,34 +134,40 @@ def leaves(html: str) -> list[Leaf]:
         if tag in _VOID:
             continue
         if m.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                while stack[-1].tag != tag:
+                    close_down_to(len(stack) - 1)
+                close_down_to(len(stack) - 1)
             continue
         close = _SAME.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-        if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in close:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK and stack[k][0] not in ("tr", "td", "th"):
-                    break
+        block = stack[-1].block if close and stack else None
+        while block:
+            if block.tag in close:
+                close_down_to(block.depth)
+                break
+            if block.tag not in ("tr", "td", "th"):
+                break
+            block = block.above.block if block.above else None
         attributes = m.group(4)
         names = tuple(x for found in _NAMES.findall(attributes) for x in _PART.findall("".join(found).lower())) if attributes else ()
         if attributes and _HIDDEN.search(attributes):
             names += ("hidden",)
-        stack.append((tag, names))
+        own = tuple(f for f in element_features(tag, names) if not shown[f])
+        for f in own:
+            shown[f] += 1
+        opened[tag] += 1
+        stack.append(Path(stack[-1] if stack else None, tag, names, own))
     text_to(len(html))
     flush()
-    return [x for x in out if not any(tag in ("head", "title") for tag, _ in x.path)]
+    return [x for x in out if not (x.path and x.path.headed)]
 
 
-def path_features(path: tuple) -> list[str]:
-    out = {f"<{tag}" for tag, _ in path if tag in _BLOCK} | {f".{name}" for _, names in path for name in names}
-    last = next((tag for tag, _ in reversed(path) if tag in _BLOCK), "")
-    out.add(f"leaf {last}")
-    return sorted(out)
+def _last(path: Path | None) -> str:
+    return f"leaf {path.block.tag if path and path.block else ''}"
+
+
+def path_features(path: Path | None) -> list[str]:
+    return sorted({*(f for node in path.up() for f in node.own), _last(path)} if path else {_last(path)})
 
 
 def text_features(leaf: Leaf) -> list[str]:
@@ -136,18 +187,19 @@ class Field:
     def __init__(self):
         self.weights: dict[str, float] = {}
         self.pairs, self.first = np.zeros((2, 2)), np.zeros(2)
-        self._paths: dict[tuple, float] = {}
 
     def scores(self, page: list[Leaf]) -> np.ndarray:
         """How far the features speak for label 1, block by block."""
-        out = np.empty(len(page))
+        out, known = np.empty(len(page)), {None: 0.0}
         for k, leaf in enumerate(page):
-            s = self._paths.get(leaf.path)
-            if s is None:
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                s = self._paths[leaf.path] = sum(self.weights.get(f, 0.0) for f in path_features(leaf.path))
-            out[k] = s + sum(self.weights.get(f, 0.0) for f in text_features(leaf))
+            waiting, node = [], leaf.path
+            while node not in known:
+                waiting.append(node)
+                node = node.above
+            s = known[node]
+            for node in reversed(waiting):
+                s = known[node] = s + sum(self.weights.get(f, 0.0) for f in node.own)
+            out[k] = s + self.weights.get(_last(leaf.path), 0.0) + sum(self.weights.get(f, 0.0) for f in text_features(leaf))
         return out
 
     def decode(self, page: list[Leaf]) -> list[int]:
@@ -173,7 +225,6 @@ class Field:
         rng, seen, seen_pairs, seen_first = random.Random(seed), {}, np.full((2, 2), 1e-2), np.full(2, 1e-2)
         for _ in range(epochs):
             for page, labels in rng.sample(pages, len(pages)):
-                self._paths = {}
                 s = np.stack([np.zeros(len(page)), self.scores(page)], axis=1)
                 n = len(page)
                 fore, aft = np.zeros((n, 2)), np.zeros((n, 2))
@@ -200,7 +251,6 @@ class Field:
                 first = np.eye(2)[labels[0]] - np.exp(fore[0] + aft[0] - total)
                 seen_first += first**2
                 self.first = self.first + RATE * first / np.sqrt(seen_first)
-        self._paths = {}
         return self
 
 
@@ -223,7 +273,7 @@ _BOILER_NAMES = frozenset(name for group in _OTHER.values() for _, names in grou
 def named_label(leaf: Leaf) -> int | None:
     """What the mark-up says of a block on a page that names its article: the label of training pages."""
     inside = [k for k, (tag, _) in enumerate(leaf.path) if tag in ("article", "main")]
-    other = any(tag in _BOILER_TAGS or _BOILER_NAMES & set(names) for tag, names in leaf.path)
+    other = any(tag in _BOILER_TAGS or _BOILER_NAMES & set(names) for tag, names in leaf.path or ())
     return int(bool(inside) and not other)
 
 
@@ -248,13 +298,13 @@ def redressed(page: list[Leaf], labels: list[int], rng: random.Random) -> tuple[
                 words = rng.choice(texts).split()
                 foreign(" ".join(words[: rng.randint(1, 40)]), rng.random() < 0.5)
         if label:
-            inner = tuple(x for x in leaf.path if x[0] not in ("html", "body", "article", "main", "section"))
+            inner = tuple(x for x in leaf.path or () if x[0] not in ("html", "body", "article", "main", "section"))
             out.append(Leaf((*body, dress, *inner), leaf.text, leaf.linked))
         else:
-            outer = next((x for x in leaf.path if x[0] not in ("html", "body", "article", "main", "div", "ul", "li") or x[1]), ("div", ()))
+            outer = next((x for x in leaf.path or () if x[0] not in ("html", "body", "article", "main", "div", "ul", "li") or x[1]), ("div", ()))
             if outer not in swap:
                 swap[outer] = rng.choice(_OTHER[rng.choice(kinds)])
-            out.append(Leaf((*body, swap[outer], *(x for x in leaf.path if x[0] in ("ul", "li", "p", "a"))), leaf.text, leaf.linked))
+            out.append(Leaf((*body, swap[outer], *(x for x in leaf.path or () if x[0] in ("ul", "li", "p", "a"))), leaf.text, leaf.linked))
         marks.append(label)
     return out, marks
 
@@ -301,6 +351,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Field:
     rows = picked.select("page_id", F.col("html").cast("string").alias("html")).collect()  # about `sample` pages
     for row in sorted(rows, key=lambda r: (r.page_id is None, r.page_id, r.html or "")):
         page = leaves(row.html or "")
+        if any(x.path and x.path.depth >= DEEPEST for x in page):
+            continue
         labels = [named_label(x) for x in page]
         if any(labels):
             training += [(page, labels), redressed(page, labels, rng)]

@@ -33,6 +33,7 @@ from engram.session import materialise, scratch_path
 ORDER = 5
 BELOW, ABOVE, BIN = 5.0, 5.0, 0.001
 PART_GRAMS, ROWS_PER_PART = 2_000_000, 500_000
+MOST_LANGUAGES = 10_000  # bands that are broadcast
 FEWEST_WORDS, MOST_REPEATED = 50, 50  # words; percent of words
 
 _SYMBOLS = b"#*$%&|<>"
@@ -268,5 +269,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     half = lambda width: F.greatest(width / 0.6745, F.lit(BIN))
     bands = bins.groupBy("language").agg((middle - BELOW * half(middle - low)).alias("least"), (middle + ABOVE * half(high - middle)).alias("most"))
     inside = F.col("log_perplexity").between(F.col("least"), F.col("most"))
-    out = scored.join(bands, "language", "left")
+    bands = materialise(bands)
+    few = bands.count() <= MOST_LANGUAGES  # a row per language; beyond that Spark picks the join
+    out = scored.join(F.broadcast(bands) if few else bands, "language", "left")
     return out.select(*[c for c in _NAMES if c not in ("language", "log_perplexity")], "base_failed", "log_perplexity", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

@@ -10,8 +10,10 @@ top-level domains are kept. First names come from lists by gender. As a permutat
 gives equal values equal surrogates in every document, whatever separators they were written with.
 
 What a permutation can't rule out is checked over the whole corpus: a surrogate that is some other document's real value,
-or that two values share. The distinct values are a table; values that fail are tried again under the next key until none
-do. Only those exceptions are stored and joined to the documents that hold them; all others need no table at all.
+or that two values share. The distinct values are a table; values that fail are tried again under the next key. A format
+can be used up, as when a corpus holds every short surname, or have nothing to permute; after `TRIES` keys a value gets a
+surrogate of the same type in a larger format, with a letter, digit or character more at every further try (a network
+address becomes one of the longer kind), until none fails. Only those exceptions are stored and joined to the documents that hold them; all others need no table at all.
 
 Null texts stay null. Rows without an id and repeated rows are treated like others; empty texts and texts without personal
 data stay as they are. An empty table gives no rows; other columns are ignored.
@@ -31,7 +33,7 @@ from engram.llm.common import map_slices
 from engram.session import materialise, scratch_path
 
 KEY = b"public demonstration key"
-MOST_TRIES = 50
+TRIES = 6
 
 #: Titles and first names by gender.
 TITLES = {
@@ -123,6 +125,21 @@ def iban_check(country: str, account: str) -> str:
     return f"{98 - n % 97:02d}"
 
 
+def lengthened(kind: str, value: str, more: int) -> str:
+    """A value of the same type with some characters more, which a permutation then fills."""
+    if kind == "email":
+        return ("ra" * more)[:more] + value
+    if kind in ("phone", "ssn"):
+        return value + "0" * more
+    if kind == "card":
+        return value[:-1] + "0" * more + value[-1]
+    if kind == "family":
+        last = value[-1].lower()
+        filler = "ра" if "а" <= last <= "џ" else "ρα" if "α" <= last <= "ώ" else "ra"
+        return value + (filler * more)[:more]
+    return value + (("A0" if value == value.upper() else "a0") * more)[:more]
+
+
 def canonical(kind: str, value: str) -> str:
     """The value without what doesn't tell two apart."""
     if kind in ("phone", "card", "ssn"):
@@ -134,7 +151,13 @@ def canonical(kind: str, value: str) -> str:
 
 @lru_cache(maxsize=20_000)
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of a canonical value."""
+    """The surrogate of a canonical value; from attempt `TRIES` on in a larger format."""
+    more = attempt - TRIES + 1
+    if more > 0 and kind == "ip":
+        digits = hashlib.blake2b(f"{value} {attempt}".encode(), key=key, digest_size=12).hexdigest()
+        return "2001:db8:" + ":".join(digits[k : k + 4] for k in range(0, 24, 4))
+    if more > 0 and kind not in ("f", "m"):
+        value = lengthened(kind, value, more)
     key = hashlib.blake2b(f"{kind} {attempt}".encode(), key=key, digest_size=16).digest()
     if kind == "email":
         name, _, top = value.rpartition(".")
@@ -253,7 +276,7 @@ def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
 
     real = every.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
     accepted, rest = None, every.withColumn("attempt", F.lit(0))
-    for _ in range(MOST_TRIES):
+    while True:  # formats grow with the tries, so values run out
         tried = rest.mapInArrow(run, "kind string, value string, attempt int, new string")
         tried = tried.join(real, ["kind", "new"], "left")
         own = tried.where("real is null").groupBy("kind", "new").agg(F.min("value").alias("value"), F.min("attempt").alias("attempt"))
@@ -264,7 +287,6 @@ def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
         rest = materialise(rest.join(own.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("attempt", F.col("attempt") + 1))
         if rest.isEmpty():
             return accepted.where("attempt > 0").select("kind", "value", "attempt")
-    raise ValueError("too few values of some format to keep all surrogates apart")
 
 
 def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:

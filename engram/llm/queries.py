@@ -97,7 +97,9 @@ n AS (SELECT doc_id, i, trim(line, concat(' ', chr(9), chr(13), chr(11), chr(12)
 k AS (SELECT doc_id, i, t, row_number() OVER o AS k, lead(t) OVER o AS t2, lead(i) OVER o AS i2 FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 f AS (SELECT t, t2, min((doc_id, k)) AS m FROM k WHERE t2 IS NOT NULL GROUP BY ALL),
 g AS (SELECT doc_id, i, i2 FROM k JOIN f USING (t, t2) WHERE (doc_id, k) > m),
-x AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i2 FROM g),
+one AS (SELECT doc_id, i, k, t FROM k WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 50),
+m AS (SELECT t, min((doc_id, k)) AS m FROM one GROUP BY t),
+x AS (SELECT doc_id, i FROM g UNION SELECT doc_id, i2 FROM g UNION SELECT doc_id, i FROM one JOIN m USING (t) WHERE (doc_id, k) > m),
 r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM x)) AS kept FROM l GROUP BY doc_id)
 SELECT doc_id, (SELECT count(*) FROM n WHERE n.doc_id = r.doc_id) AS n_lines, (SELECT count(*) FROM x WHERE x.doc_id = r.doc_id) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM r
 """

@@ -168,7 +168,7 @@ def test_decontamination_edges(spark, docs, empty, clashing, monkeypatch):
     assert left.columns == clashing.columns and left.count() == 0
 
 
-def brute_lines(texts, run=2):
+def brute_lines(texts, run=2, long=50):
     strip = " \t\r\x0b\x0c"
     split = [(t or "").split("\n") for t in texts]
     at = [[i for i, x in enumerate(s) if x.strip(strip)] for s in split]
@@ -178,6 +178,9 @@ def brute_lines(texts, run=2):
         for i in range(len(a) - run + 1):
             if not first.setdefault(tuple(s[k].strip(strip) for k in a[i : i + run]), (len(out), i)) == (len(out), i):
                 gone |= set(a[i : i + run])
+        for i in range(len(a)):
+            if len(s[a[i]].split()) >= long and first.setdefault(s[a[i]].strip(strip), (len(out), i)) != (len(out), i):
+                gone.add(a[i])
         out.append((len(out), len(a), len(gone), "\n".join(x for k, x in enumerate(s) if k not in gone)))
     return out
 
@@ -199,6 +202,19 @@ def test_line_dedup_edges(spark, empty, clashing):
     assert sorted((r.doc_id or 0, r.text) for r in line_dedup.without_repeats(two).collect()) == [(0, "x\ny"), (2, "k"), (3, None)]
 
 
+def test_long_lines_are_runs_of_their_own(spark):
+    """A line of fifty words goes at its later places, whatever stands around it; one of 49 stays."""
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
+    texts = [f"a\n{long}\nb", f"c\n\t{long} \nd", long, f"{short}\ne", f"f\n{short}", short, f"{long}\n{long}\ng", None, "x " * 5000, "x " * 5000]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.line_dedup(frame).collect()}
+    assert got[0] == (0, texts[0]) and got[1] == (1, "c\nd") and got[2] == (1, "") and got[6] == (2, "g")
+    assert all(got[k] == (0, texts[k]) for k in (3, 4, 5, 7, 8)) and got[9] == (1, "")
+    assert {r.doc_id for r in line_dedup.without_repeats(frame).collect()} == {0, 1, 3, 4, 5, 6, 7, 8}
+    many = spark.createDataFrame([(k, "\n".join([f"n{k}", long, f"m{k}"])) for k in range(300)], "doc_id bigint, text string").repartition(5)
+    assert sorted(r.n_removed for r in line_dedup.line_dedup(many).collect()) == [0] + [1] * 299
+
+
 def test_packing_round_trip(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -484,3 +500,40 @@ def test_pipeline_stages(spark):
     empty = spark.createDataFrame([], before.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.01").count() == 0
+
+
+def test_used_up_formats(spark):
+    """All surnames of one consonant and one vowel are taken: surrogates get longer, stay apart and are nobody's name."""
+    names = [c.upper() + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    texts = [f"Mr {n} wrote. {n} left." for n in names] + ["Dr Åå came.", "Herr Иа и Иб.", "Mr Иа.", "token = 'ссссссс' 'x'"]
+    got = {r.doc_id: r.text for r in pii_surrogates.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    new = [re.fullmatch(r"Mr (\w+) wrote. (\w+) left.", got[k]).groups() for k in range(len(names))]
+    assert all(a == b for a, b in new) and len({a for a, _ in new}) == len(names) and not {a for a, _ in new} & set(names)
+    assert all(a.istitle() and len(a) > 2 for a, _ in new)
+    assert got[len(names)] != texts[len(names)] and re.search("[а-я]", got[len(names) + 2])
+
+
+@pytest.mark.parametrize("kind,value", [("phone", "+4930123"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("ip", "1.2.3.4"), ("ssn", "123456789"), ("email", "a@b.org"), ("secret", "AKIA" + "A" * 16), ("family", "Ωα")])
+def test_larger_formats_keep_the_type(kind, value):
+    seen = {pii_surrogates.surrogate(kind, value, a) for a in range(pii_surrogates.TRIES, pii_surrogates.TRIES + 6)}
+    assert len(seen) == 6 and value not in seen
+    last = pii_surrogates.surrogate(kind, value, pii_surrogates.TRIES + 5)
+    assert len(last) > len(value)
+    if kind == "card":
+        assert pii_surrogates.luhn(last[:-1]) == int(last[-1])
+    if kind == "iban":
+        assert pii_surrogates.iban_check(last[:2], last[4:]) == last[2:4]
+
+
+def test_pages_of_many_open_tags():
+    """Unclosed and unmatched tags cost what the page is long."""
+    import time
+
+    field = html_extraction.Field().train(html_extraction.labelled_pages(), epochs=1)
+    for page in ("<div>x y" * 100_000, "<b>" * 50_000 + "<div>z</div>" * 50_000, "<div>" * 50_000 + "</span>t" * 50_000, '<div class="a%d">q' % 7 * 50_000, "<td>" * 50_000 + "<p>u" * 50_000):
+        start = time.perf_counter()
+        html_extraction.main_text(field, page)
+        assert time.perf_counter() - start < 20
+    blocks = html_extraction.leaves("<article><div class='c c'>one<div class='c d'>two</div></div><p>three<p>four</article>five")
+    assert [x.text for x in blocks] == ["one", "two", "three", "four", "five"]
+    assert html_extraction.path_features(blocks[1].path) == sorted(["<article", "<div", ".c", ".d", "leaf div"]) and html_extraction.path_features(blocks[4].path) == ["leaf "]
