@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from engram.functions import lexicon as lx, records as rec, scores, text as tx, vector as vec
-from engram.operators import embeddings as emb, fulltext as fts, grams, graph, profiles, search
+from engram.operators import embeddings as emb, fulltext as fts, grams, graph, profiles, search, wordvectors
 from engram.operators.filters import get_pillars
 from engram.operators.mutations import EDGE_KEY
 from engram.plans.queries_aggregates import CLASS_SQL, MIXED_SQL, SIGNS_SQL, mixed_texts
@@ -475,9 +475,14 @@ def _(d):
     return fts.fact_search(d.facts, ["the", "of"], 30).select("id", "importance")
 
 
+def _phrased(d):
+    """The corpus with its phrases joined."""
+    corpus = materialise(emb.build_corpus(d.wide("documents"), "doc_id"))
+    return materialise(emb.apply_phrases(corpus, materialise(emb.detect_phrases(corpus)), ["doc_id", "par_no"]))
+
+
 def _model(d):
-    corpus = emb.build_corpus(d.wide("documents"), "doc_id")
-    return emb.vectors_table(emb.train_word2vec(materialise(corpus), size=32, epochs=1, partitions=4))
+    return wordvectors.train_vectors(_phrased(d))
 
 
 @query("srch6_expanded_search")
@@ -525,14 +530,29 @@ def _(d):
     return phrases.select("phrase", "c_ab", F.round("score", 6).alias("score"))
 
 
-@query("emb2_apply_phrases")
+# paragraphs, their words by place, and which places start a phrase: of a run of overlapping pairs every second one counts
+PHRASED_SQL = CORPUS_SQL.replace("AS (SELECT doc_id, list_filter", "AS (SELECT doc_id, par_no, list_filter").replace(
+    "FROM documents WHERE length(text) > 50", "FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS par_no FROM documents) WHERE length(text) > 50") + """,
+    places AS (SELECT doc_id, par_no, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b, generate_subscripts(w, 1) AS i FROM kept), words AS (SELECT a AS w, count(*) AS c FROM places GROUP BY a),
+    pairs AS (SELECT a, b, count(*) AS c_ab FROM places WHERE b IS NOT NULL GROUP BY ALL), v AS (SELECT (SELECT count(*) FROM words) + (SELECT count(*) FROM pairs) AS n),
+    phrases AS (SELECT a, b FROM pairs JOIN words x ON x.w = a JOIN words y ON y.w = b, v WHERE c_ab >= 2 AND (c_ab - 2) / x.c / y.c * n > 5),
+    hits AS (SELECT doc_id, par_no, i, i - row_number() OVER (PARTITION BY doc_id, par_no ORDER BY i) AS run FROM places JOIN phrases USING (a, b)),
+    starts AS (SELECT doc_id, par_no, i FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, par_no, run) AS first FROM hits) WHERE (i - first) % 2 = 0),
+    joined AS (SELECT p.doc_id, p.par_no, p.i, CASE WHEN s.i IS NOT NULL THEN concat(p.a, '_', p.b) ELSE p.a END AS term FROM places p
+      LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.par_no = p.par_no AND s.i = p.i ANTI JOIN starts t ON t.doc_id = p.doc_id AND t.par_no = p.par_no AND t.i = p.i - 1)"""
+
+
+@query(
+    "emb2_apply_phrases",
+    f"""WITH {PHRASED_SQL} SELECT doc_id, CAST(par_no AS INT) AS par_no, CAST(count(*) AS INT) AS n_tokens, CAST(count(*) FILTER (contains(term, '_')) AS INT) AS n_phrases, md5(string_agg(term, ' ' ORDER BY i)) AS digest
+    FROM joined GROUP BY doc_id, par_no""",
+)
 def _(d):
-    corpus = materialise(emb.build_corpus(d.wide("documents"), "doc_id"))
-    out = emb.apply_phrases(corpus, emb.detect_phrases(corpus), ["doc_id", "par_no"])
-    return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda w: F.contains(w, F.lit("_")))).alias("n_phrases"))
+    out = _phrased(d).withColumn("digest", F.md5(F.array_join("tokens", " ")))
+    return out.select("doc_id", "par_no", "digest", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda w: F.contains(w, F.lit("_")))).alias("n_phrases"))
 
 
-@query("emb3_word2vec", f"WITH {CORPUS_SQL} SELECT w AS term, CAST(32 AS INT) AS dimensions FROM (SELECT unnest(w) AS w FROM kept) GROUP BY w HAVING count(*) >= 2")
+@query("emb3_word2vec", f"WITH {PHRASED_SQL} SELECT term, CAST(100 AS INT) AS dimensions FROM joined GROUP BY term HAVING count(*) >= 2")
 def _(d):
     vectors = _model(d)
     return vectors.select("term", F.size("embedding").alias("dimensions"))

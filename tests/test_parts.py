@@ -393,3 +393,30 @@ def test_index_equals_full_scoring(spark, tmp_path):
     assert after.totals.drop("n_blocks").first() == fresh.totals.drop("n_blocks").first()
     for query in ("changed", "alpha", "w39 w1"):
         same(after, now, query, 15)
+
+
+@pytest.mark.parametrize("blocks,shards", [(10_000, 1), (10_000, 4), (60, 2)])
+def test_word_vectors_find_planted_synonyms(spark, blocks, shards):
+    """Two words of one use are closer to each other than to words of other uses, with whole and with cut contexts."""
+    import random
+
+    from engram.operators import wordvectors
+
+    r = random.Random(1)
+    rows = []
+    for _ in range(1_500):
+        g = r.randrange(12)
+        rows.append(([x for _ in range(10) for x in (f"g{g}c{r.randrange(10)}", *([f"syn{g}{r.choice('ab')}"] if r.random() < 0.3 else []))] + [f"once{len(rows)}"],))
+    corpus = spark.createDataFrame(rows, "tokens array<string>").repartition(4)
+    vectors = wordvectors.train_vectors(corpus, size=24, epochs=6, words_per_block=blocks, shards=shards)
+    found = {x.term: x.embedding for x in vectors.collect()}
+    assert set(found) == {f"g{g}c{k}" for g in range(12) for k in range(10)} | {f"syn{g}{c}" for g in range(12) for c in "ab"} and {len(v) for v in found.values()} == {24}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    near = sum(cosine(found[f"syn{g}a"], found[f"syn{g}b"]) > max(cosine(found[f"syn{g}a"], found[f"syn{h}b"]) for h in range(12) if h != g) for g in range(12))
+    assert near >= 11
+
+
+def test_no_word_vectors(spark):
+    from engram.operators import wordvectors
+
+    assert wordvectors.train_vectors(spark.createDataFrame([(["once"],), ([],)], "tokens array<string>"), epochs=1).count() == 0
