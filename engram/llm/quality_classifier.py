@@ -28,6 +28,7 @@ from engram.llm.common import Words, as_bytes, map_slices, mix, slices, word_has
 
 BITS, MAX_ROWS, SHARDS, EPOCHS = 18, 16_000, 4, 3
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.02, 0.1, 20.0
+SLICE = 1 << 20  # bytes of text whose features a task holds at a time
 THRESHOLD = 0.7
 
 _FORM = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -93,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
                 x.append((c * (SCALE / max(k, 1))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("_shard"), b.column("_id"), b.column("_y"), pa.array(n, pa.binary()), pa.array(x, pa.binary())], names=["_shard", "_id", "_y", "i", "x"])
 
-    vectors = map_slices(rows, count, "_shard int, _id bigint, _y int, i binary, x binary")
+    vectors = map_slices(rows, count, "_shard int, _id bigint, _y int, i binary, x binary", limit=SLICE)
     vectors = vectors.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_id"))
 
     def follow(batches):
@@ -147,7 +148,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, name: str, bits: int = BITS
         features, w = Features(bits), sent.value.astype(np.float64)
         for column in batches:
             done = []
-            for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text"):
+            for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text", SLICE):
                 flat, sizes = features(as_bytes(part.column("text")))
                 sums = np.concatenate([[0.0], np.cumsum(w[flat])])
                 ends = np.cumsum(sizes)
