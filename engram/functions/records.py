@@ -142,13 +142,17 @@ def clamp(col: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), col))
 
 
-def normalise_annotation(df: DataFrame) -> DataFrame:
-    """Bring raw annotation columns into the contract.
+def normalise_annotation(df: DataFrame, most: int | None = None, letters: int | None = None, places: bool = True) -> DataFrame:
+    """Bring raw annotation columns into the contract: usable types, repaired tags, numbers in range, no nulls.
+
+    `most` keeps the first tags and subjects, `letters` the start of the summary; without `places` these are emptied. The
+    contract's values are 5, 800 and False; by default nothing is cut.
 
     Expected raw columns: indexable, gr_id, confidence_score, emotion_valence, emotion_activation (any scalar
     type), tags_roget, sujets, lieux, personnes, projets (arrays), resume_texte.
     """
-    tags = F.filter(F.transform(F.slice("tags_roget", 1, 5), fix_tag), lambda t: t.isNotNull())
+    first = lambda c: F.slice(c, 1, most) if most else F.col(c)
+    tags = F.filter(F.transform(first("tags_roget"), fix_tag), lambda t: t.isNotNull())
     number = lambda c, d: F.coalesce(F.col(c).try_cast("double"), F.lit(d))
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     summary = F.coalesce("resume_texte", F.lit(""))
@@ -156,17 +160,15 @@ def normalise_annotation(df: DataFrame) -> DataFrame:
         {
             "indexable": F.lit(True),
             "tags_roget": F.coalesce(tags, F.array().cast("array<string>")),
-            "sujets": F.coalesce(F.slice("sujets", 1, 5), F.array().cast("array<string>")),
-            "lieux": F.array().cast("array<string>"),
+            "sujets": F.coalesce(first("sujets"), F.array().cast("array<string>")),
+            "lieux": listed("lieux") if places else F.array().cast("array<string>"),
             "personnes": listed("personnes"),
             "projets": listed("projets"),
             "gr_id": F.col("gr_id").try_cast("double").cast("long"),
             "confidence_score": clamp(number("confidence_score", 0.5), 0.0, 1.0),
             "emotion_valence": number("emotion_valence", 0.0),
             "emotion_activation": number("emotion_activation", 0.5),
-            "resume_texte": F.when(F.length(summary) > 800, F.concat(F.substring(summary, 1, 800), F.lit("..."))).otherwise(
-                summary
-            ),
+            "resume_texte": F.when(F.length(summary) > letters, F.concat(F.substring(summary, 1, letters), F.lit("..."))).otherwise(summary) if letters else summary,
         }
     )
 

@@ -54,8 +54,8 @@ def annotate(df: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], text: str =
     return df.select(key, text).mapInPandas(run, schema)
 
 
-def rule_annotation(df: DataFrame, text: str = "text") -> DataFrame:
-    """Built-in annotation without any model: capitalised names, the first sentence, emotion words."""
+def rule_annotation(df: DataFrame, text: str = "text", cut: int | None = None) -> DataFrame:
+    """Built-in annotation without any model: capitalised names, the first sentence (its first `cut` letters), emotion words."""
     body = F.col(text)
     low = F.lower(body)
     mood = F
@@ -67,6 +67,7 @@ def rule_annotation(df: DataFrame, text: str = "text") -> DataFrame:
     mood = mood.otherwise(F.struct(F.lit(0.0).alias("v"), F.lit(0.5).alias("a")))
     names = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?<![\p{L}\p{N}.!?]\s?)(?<!^)\b([A-Z][a-zÀ-ÿ]{2,})\b"), F.lit(1)))
     empty = F.array().cast("array<string>")
+    sentence = F.split_part(body, F.lit("."), F.lit(1))
     return df.withColumn("_m", mood).withColumns(
         {
             "indexable": F.length(F.trim(body)) >= 3,
@@ -79,7 +80,7 @@ def rule_annotation(df: DataFrame, text: str = "text") -> DataFrame:
             "emotion_valence": F.col("_m.v"),
             "emotion_activation": F.col("_m.a"),
             "confidence_score": F.lit(0.7),
-            "resume_texte": F.substring(F.split_part(body, F.lit("."), F.lit(1)), 1, 200),
+            "resume_texte": F.substring(sentence, 1, cut) if cut else sentence,
         }
     ).drop("_m")
 

@@ -307,8 +307,8 @@ def grep_counts(docs: DataFrame, term: str, by: str) -> DataFrame:
     return grep_lines(docs, term).groupBy(by).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def grep_regex(docs: DataFrame, pattern: str, k: int = 50, name: str = "file_name", text: str = "text") -> DataFrame:
-    """First matches of a regex per line, newest file name first, with the token offset before `|`."""
+def grep_regex(docs: DataFrame, pattern: str, k: int = 50, name: str = "file_name", text: str = "text", cut: int | None = None) -> DataFrame:
+    """First matches of a regex per line (its first `cut` letters), newest file name first, with the token offset before `|`."""
     rx = "(?i)" + pattern
     lines = docs.filter(F.col(text).rlike(rx)).select(name, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     offset = F.when(F.contains("line", F.lit("|")), F.trim(F.split_part("line", F.lit("|"), F.lit(1))).try_cast("long"))
@@ -316,7 +316,7 @@ def grep_regex(docs: DataFrame, pattern: str, k: int = 50, name: str = "file_nam
         lines.filter(F.col("line").rlike(rx))
         .select(
             name, (F.col("line_no") + 1).alias("line_no"), offset.alias("token_start"),
-            F.substring("line", 1, 500).alias("content"), F.regexp_extract("line", f"({rx})", 1).alias("matched"),
+            (F.substring("line", 1, cut) if cut else F.col("line")).alias("content"), F.regexp_extract("line", f"({rx})", 1).alias("matched"),
         )
         .orderBy(F.desc(name), F.asc("line_no"))
         .limit(k)
@@ -365,8 +365,8 @@ def docs_by_tag_prefix(docs: DataFrame, prefix: str) -> DataFrame:
     return docs.filter(F.exists("roget_codes", lambda c: c.startswith(prefix))).orderBy(F.desc("indexed_at"), "doc_id")
 
 
-def enrich_status(files: DataFrame) -> DataFrame:
-    """Next status of a file; `content` and `parse_error` come from the reading step."""
+def enrich_status(files: DataFrame, cut: int | None = None) -> DataFrame:
+    """Next status of a file; `content` and `parse_error` (its first `cut` letters are kept) come from the reading step."""
     readable = F.col("extension").isNull() | (F.col("extension") == "") | F.lower("extension").isin(*lx.TEXT_EXTENSIONS)
     status = (
         F.when(~readable, "skipped")
@@ -375,7 +375,7 @@ def enrich_status(files: DataFrame) -> DataFrame:
         .otherwise("enriched")
     )
     return files.withColumn("status", status).withColumn(
-        "error_message", F.when(F.col("status") == "error", F.substring("parse_error", 1, 500))
+        "error_message", F.when(F.col("status") == "error", F.substring("parse_error", 1, cut) if cut else F.col("parse_error"))
     )
 
 
@@ -393,10 +393,11 @@ def title_suggestions(conversations: DataFrame, part: str) -> DataFrame:
 CORRECTION_WORDS = ["c'est", "correction", "vraie", "bonne", "trompe", "oublie", "dis", "utilise"]
 
 
-def detect_corrections(docs: DataFrame, key: str, text: str = "text", letters: int | None = None) -> DataFrame:
+def detect_corrections(docs: DataFrame, key: str, text: str = "text", letters: int | None = None, cut: int | None = None) -> DataFrame:
     """Sentences that correct something: (old fact, new fact), one per document and new fact.
 
-    `letters=50` is the contract's rule, which takes new facts of one start for the same."""
+    `letters=50` is the contract's rule, which takes new facts of one start for the same; `cut` keeps the start of the line
+    that is given as context (300 in the contract)."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     # every pattern needs one of these words; the test is far cheaper than nine regexes
     lines = lines.filter(contains_any(F.lower("line"), CORRECTION_WORDS))
@@ -417,7 +418,7 @@ def detect_corrections(docs: DataFrame, key: str, text: str = "text", letters: i
             )
         )
     hits = (
-        lines.select(key, (F.col("line_no") + 1).alias("line_no"), F.substring("line", 1, 300).alias("contexte"),
+        lines.select(key, (F.col("line_no") + 1).alias("line_no"), (F.substring("line", 1, cut) if cut else F.col("line")).alias("contexte"),
                      F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("hit"))
         .select(key, "line_no", "contexte", "hit.*")
         .filter(F.length("nouveau_fait") > 3)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from engram.functions import lexicon as lx
 from engram.operators import ordered as o
@@ -74,14 +74,6 @@ def block_members(seg: DataFrame) -> DataFrame:
     return o.ordinals(rows.join(sizes, BLOCK), ["timestamp", "id"], "place", BLOCK)
 
 
-def weave_blocks(seg: DataFrame) -> DataFrame:
-    """The links within blocks listed one by one: as many rows as asked for, so only for blocks meant to be read as pairs."""
-    rows = _blocks(seg)
-    later = rows.select(*BLOCK, F.col("id").alias("target_id"), F.struct("timestamp", "id").alias("_after"))
-    pairs = rows.join(later, BLOCK).filter(F.struct("timestamp", "id") < F.col("_after"))
-    return _edges(pairs, "MEME_GROUPE", "id", "target_id", _meta(gr_id=F.col("gr_id"), source_file=F.col("source_file")))
-
-
 def weave_tags(seg: DataFrame, window: int = 10) -> DataFrame:
     """Link each segment to the 10 before it with the same primary tag."""
     tag = F.try_element_at("tags_roget", F.lit(1))
@@ -190,11 +182,34 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
+def store_adjacency(edges: DataFrame, path: str) -> None:
+    """Store each edge at both its ends, sorted by node, so that a walk from some nodes skips the other row groups."""
+    _both_ways(edges).repartitionByRange("here").sortWithinPartitions("here").write.mode("overwrite").parquet(path)
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """here, there, type, poids: takes the place of `edges` in `explore_links` and `neighbours`."""
+    return spark.read.parquet(path)
+
+
+READ_BY_LIST = 1_000  # nodes that a scan of the adjacency gets as a list; more are joined
+
+
+def _seen_from(edges: DataFrame) -> DataFrame:
+    return edges if "here" in edges.columns else _both_ways(edges)
+
+
+def _around(usable: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The adjacency of the frontier's nodes (`here`), read by a list of nodes where that is short."""
+    nodes = [r[0] for r in frontier.select("here").distinct().limit(READ_BY_LIST + 1).collect()]
+    return usable.filter(F.col("here").isin(nodes)) if len(nodes) <= READ_BY_LIST else usable
+
+
 def neighbours(edges: DataFrame, seg: DataFrame, ids: DataFrame, types: Sequence[str] | None = None, members: DataFrame | None = None) -> DataFrame:
     """Neighbours of a segment set with their attributes; `members` are the blocks of `block_members`."""
     kinds = link_types(types)
     asked = ids.select(F.col("id").alias("here")).distinct()
-    hits = _both_ways(edges.filter(F.col("type").isin(*kinds)) if types else edges).join(asked, "here")
+    hits = _seen_from(edges.filter(F.col("type").isin(*kinds)) if types else edges).join(asked, "here")
     if members is not None and "MEME_GROUPE" in kinds:
         own = members.select(*BLOCK, F.col("id").alias("here")).join(asked, "here")
         within = own.join(members.select(*BLOCK, F.col("id").alias("there")), BLOCK).filter("here <> there").select(
@@ -218,7 +233,7 @@ def link_types(types: Sequence[str] | None) -> list[str]:
 
 def explore_links(
     edges: DataFrame, seg: DataFrame, starts: DataFrame, types: Sequence[str] | None = None, depth: int = 1,
-    max_results: int = 10, members: DataFrame | None = None,
+    max_results: int = 10, members: DataFrame | None = None, cut: int | None = None,
 ) -> DataFrame:
     """Breadth-first walk of `depth` hops from many starts (column `id`) at once.
 
@@ -226,12 +241,13 @@ def explore_links(
     `members` are the blocks of `block_members`. A block is followed at the first hop that touches it: all its members
     are reached then. All links of a block weigh the same and older members come first, so at the last hop only the first
     `max_results` members that aren't known yet can be reported, and no more are read, however large the block is.
-    Starts that do not exist give no rows (see `missing_starts`).
+    `edges` may be a stored adjacency (`read_adjacency`): the first hops then read what lies around their nodes only.
+    Starts that do not exist give no rows (see `missing_starts`). `cut` keeps the start of the summaries (150 in the contract).
     """
     if depth < 1 or max_results < 1:
         raise ValueError("depth and max_results must be at least 1")
     kinds = link_types(types)
-    usable = _both_ways(edges.filter(F.col("type").isin(*kinds)))
+    usable = _seen_from(edges.filter(F.col("type").isin(*kinds)))
     if "MEME_GROUPE" not in kinds:
         members = None
     attrs = seg.select(F.col("id").alias("node"), "timestamp", "resume_texte", "auteur")
@@ -240,7 +256,7 @@ def explore_links(
     found, visited, followed = None, frontier.select("start", F.col("here").alias("node")), None
     best = F.min(F.struct((-F.col("poids")).alias("w"), "type"))
     for d in range(1, depth + 1):
-        hop = frontier.join(usable, "here").select("start", F.col("there").alias("node"), "poids", "type")
+        hop = frontier.join(_around(usable, frontier), "here").select("start", F.col("there").alias("node"), "poids", "type")
         if members is not None:
             own = members.select(*BLOCK, F.col("id").alias("here"))
             touched = frontier.join(own, "here").groupBy("start", *BLOCK).agg(F.count(F.lit(1)).alias("known"))
@@ -262,9 +278,10 @@ def explore_links(
         frontier = hop.select("start", F.col("node").alias("here"))
         visited = visited.unionByName(hop.select("start", "node"))
     rank = F.row_number().over(W.partitionBy("start").orderBy(F.desc("poids"), "timestamp", "node"))
+    summary = F.coalesce("resume_texte", F.lit("N/A"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= max_results).select(
         F.col("start").alias("id"), F.col("node").alias("linked_id"), F.col("type").alias("link_type"), "poids", "depth",
-        "timestamp", F.substring(F.coalesce("resume_texte", F.lit("N/A")), 1, 150).alias("resume_texte"), "auteur", "rank",
+        "timestamp", (F.substring(summary, 1, cut) if cut else summary).alias("resume_texte"), "auteur", "rank",
     )
 
 

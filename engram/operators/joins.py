@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from engram.operators.filters import KEYWORD_FIELDS, haystack, like
-from engram.session import materialise
+from engram.session import stored
 
 
 def alias_dim(persons: DataFrame) -> DataFrame:
@@ -18,39 +18,39 @@ def alias_dim(persons: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("alias").alias("alias")).agg(F.min("nom_canonique").alias("canonical"))
 
 
+MOST_NAMES = 500_000  # resolved names that are sent to every task
+
+
 def canonicalise(seg: DataFrame, aliases: DataFrame, known_projects: DataFrame) -> DataFrame:
     """Replace people by canonical names and move unknown projects to subjects.
 
     Adds `personne_candidat` / `projet_candidat`, the first unknown one. `known_projects` has `nom`.
-    Names are joined per distinct name, so a name that fills a third of all segments is still one join row on
-    the dimension side, and segments are regrouped by their unique id.
+    The distinct names are resolved first; only those that are known are kept, with a checked number. Mentions of both kinds
+    then meet that table and are regrouped by id once, and join their segments by the same key.
     """
-    known = known_projects.select(F.lower("nom").alias("nom"), F.lit(True).alias("known")).distinct()
-    people = seg.select("id", F.posexplode("personnes").alias("pos", "name"))
-    people = people.join(aliases, F.lower("name") == F.col("alias"), "left").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("canonical", "name").alias("name")))).alias("_p"),
-        F.min_by("name", F.when(F.col("canonical").isNull(), F.col("pos"))).alias("personne_candidat"),
-    )
-    projects = seg.select("id", F.posexplode("projets").alias("pos", "name"))
-    projects = projects.join(known, F.lower("name") == F.col("nom"), "left").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("known"), F.struct("pos", "name")))).alias("_k"),
-        F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", "name")))).alias("_u"),
-        F.min_by("name", F.when(F.col("known").isNull(), F.col("pos"))).alias("projet_candidat"),
+    mention = lambda kind, col: F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")), lambda n, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), n.alias("name")))
+    rows = seg.select("id", F.inline(F.concat(mention("p", "personnes"), mention("j", "projets"))))
+    names = rows.select("kind", "name").distinct()
+    people = names.filter("kind = 'p'").join(aliases, F.lower("name") == F.col("alias")).select("kind", "name", F.col("canonical").alias("known"))
+    known = known_projects.select(F.lower("nom").alias("nom")).distinct()
+    projects = names.filter("kind = 'j'").join(known, F.lower("name") == F.col("nom"), "left_semi").select("kind", "name", F.col("name").alias("known"))
+    resolved = stored(people.unionByName(projects))
+    few = resolved.count() <= MOST_NAMES
+    found = rows.join(F.broadcast(resolved) if few else resolved, ["kind", "name"], "left")
+
+    def listed(kept: Column, value: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when(kept, F.struct("pos", value.alias("name")))))["name"]
+
+    person, project, new = F.col("kind") == "p", F.col("kind") == "j", F.col("known").isNull()
+    own = found.groupBy("id").agg(
+        listed(person, F.coalesce("known", "name")).alias("_p"), listed(project & ~new, F.col("name")).alias("_k"), listed(project & new, F.col("name")).alias("_u"),
+        F.min_by("name", F.when(person & new, F.col("pos"))).alias("personne_candidat"), F.min_by("name", F.when(project & new, F.col("pos"))).alias("projet_candidat"),
     )
     empty = F.array().cast("array<string>")
-    listed = lambda c: F.coalesce(F.col(f"{c}.name"), empty)
-    return (
-        seg.join(people, "id", "left")
-        .join(projects, "id", "left")
-        .withColumns(
-            {
-                "personnes": listed("_p"),
-                "projets": listed("_k"),
-                "sujets": F.array_union(F.coalesce("sujets", empty), listed("_u")),
-            }
-        )
-        .drop("_p", "_k", "_u")
-    )
+    given = lambda c: F.coalesce(F.col(c), empty)
+    return seg.join(own, "id", "left").withColumns(
+        {"personnes": given("_p"), "projets": given("_k"), "sujets": F.array_union(given("sujets"), given("_u"))}
+    ).drop("_p", "_k", "_u")
 
 
 def new_only(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,32 +151,28 @@ def merge_exports(exports: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
     return conversations.drop("_first"), unique.unionByName(unnamed).drop("_src", "_pos")
 
 
-def hierarchy(projects: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Depth and `a > b > c` path of every node, level by level from the roots.
+def hierarchy(projects: DataFrame) -> DataFrame:
+    """Depth and `a > b > c` path of every node below a root, for trees of any depth.
 
-    Each level is one equi-join with its children; levels are materialised so the plan does not grow.
+    Every node knows an ancestor and the path from there. A round hands it that ancestor's ancestor and path, which doubles
+    the distance, so a tree of n levels takes log2(n) rounds of one equi-join; nodes that have reached their root take part
+    no more. Nodes whose chain ends in a missing parent are left out. Nodes that haven't reached a root when the distance
+    exceeds the number of nodes stand in or below a cycle, which is an error that names some of them.
     """
-    level = projects.filter("parent_id IS NULL").select(
-        "id", "nom", "parent_id", F.lit(0).alias("niveau"), F.col("nom").alias("chemin")
-    )
-    children = projects.filter("parent_id IS NOT NULL").select("id", "nom", "parent_id")
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col("id").alias("parent_id"), F.col("chemin").alias("_up"))
-        level = materialise(
-            children.join(up, "parent_id").select(
-                "id", "nom", "parent_id", F.lit(depth).alias("niveau"), F.concat_ws(" > ", "_up", "nom").alias("chemin")
-            )
-        )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    else:
-        raise ValueError(f"hierarchy deeper than {max_depth} levels or cyclic")
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = projects.select("id", "nom", "parent_id", F.col("parent_id").alias("above"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("niveau"), F.col("nom").alias("chemin"))
+    rows = stored(rows)
+    done, left, reach, most = rows.filter("above IS NULL"), rows.filter("above IS NOT NULL"), 1, rows.count()
+    known = rows.select("id", "above", "niveau", "chemin")
+    while not left.isEmpty():
+        if reach > 2 * most:
+            raise ValueError(f"cyclic: {[r.id for r in left.orderBy('id').limit(10).collect()]}")
+        up = known.select(F.col("id").alias("above"), F.col("above").alias("_above"), F.col("niveau").alias("_niveau"), F.col("chemin").alias("_chemin"))
+        moved = stored(left.join(up, "above").select(
+            "id", "nom", "parent_id", F.col("_above").alias("above"), (F.col("niveau") + F.col("_niveau")).alias("niveau"), F.concat_ws(" > ", "_chemin", "chemin").alias("chemin")))
+        done, left, reach = done.unionByName(moved.filter("above IS NULL")), moved.filter("above IS NOT NULL"), 2 * reach
+        # ancestors that reached their root stay as they are
+        known = done.unionByName(left).select("id", "above", "niveau", "chemin")
+    return done.select("id", "nom", "parent_id", "niveau", "chemin")
 
 
 def person_lookup(persons: DataFrame, term: str) -> DataFrame:
@@ -191,7 +187,7 @@ def newest_hit(seg: DataFrame, term: str):
     return F.max_by("id", F.when(F.coalesce(hit, F.lit(False)), F.struct("timestamp", -F.col("id"))))
 
 
-def weave_trajectories(trajectories: Sequence[dict], seg: DataFrame) -> DataFrame:
+def weave_trajectories(trajectories: Sequence[dict], seg: DataFrame, cut: int | None = None) -> DataFrame:
     """Link the newest segment of the old concept to the newest of the new one, when both exist and differ.
 
     All trajectories of a reflection run share one aggregation pass over the segments: two `max_by` each.
@@ -208,7 +204,7 @@ def weave_trajectories(trajectories: Sequence[dict], seg: DataFrame) -> DataFram
             F.struct(
                 F.col(f"a{i}").alias("source_id"), F.col(f"b{i}").alias("target_id"),
                 F.lit(t.get("type", "TRAJECTOIRE")).alias("type"),
-                F.substring(F.lit(t.get("description", "")), 1, 200).alias("description"),
+                F.lit(t.get("description", "")[:cut]).alias("description"),
                 F.lit(float(t.get("confidence", 0.5))).alias("confidence"),
             )
             for i, t in enumerate(trajectories)

@@ -196,9 +196,9 @@ def write_reflections(notes: DataFrame) -> DataFrame:
     )
 
 
-def entity_candidates(seg: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Queue of unknown names: one row per kind and name with the context of its earliest segment."""
-    context = F.substring("resume_texte", 1, 200)
+def entity_candidates(seg: DataFrame, existing: DataFrame | None = None, cut: int | None = None) -> DataFrame:
+    """Queue of unknown names: one row per kind and name with the context (its first `cut` letters) of its earliest segment."""
+    context = F.substring("resume_texte", 1, cut) if cut else F.col("resume_texte")
     kinds = {"personne": "personne_candidat", "projet": "projet_candidat"}
     rows = seg.select(
         F.col("timestamp"), "id", context.alias("contexte"),

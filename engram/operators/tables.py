@@ -172,6 +172,14 @@ def merge_shards(shards: Mapping[str, DataFrame], prefix: str) -> DataFrame:
     return out
 
 
+def read_shards(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """The date-sharded parquet folders `<prefix>YYYY[mm[dd[HH]]]` below `root` in one scan, with the suffix of each row's
+    folder as `partition_id`. Columns that only some shards have are null elsewhere."""
+    suffix = F.regexp_extract("_metadata.file_path", rf"{re.escape(prefix)}(\d{{4}}(?:\d{{2}}){{0,3}})/[^/]*$", 1)
+    df = spark.read.option("mergeSchema", True).parquet(f"{root}/*{prefix}[0-9]*")
+    return df.withColumn("partition_id", suffix).filter("partition_id <> ''")
+
+
 def head(df: DataFrame, order: Sequence[str], start: int = 0, n: int = 100, fields: Sequence[str] = ()) -> DataFrame:
     """Rows start … start+n in the given order, with chosen (also nested) fields."""
     page = df.orderBy(*order).offset(start).limit(n)

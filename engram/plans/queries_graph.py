@@ -51,9 +51,15 @@ def _(d):
     return labelled(graph.weave_emotions(d.wide("segments")), "val")
 
 
-@query("graph3_block_edges", BLOCK_SQL)
+@query(
+    "graph3_block_edges",
+    f"""WITH b AS ({BLOCK_SQL}) SELECT s.id, s.gr_id, (SELECT count(*) FROM b WHERE b.target_id = s.id) AS n_earlier, (SELECT count(*) FROM b WHERE b.source_id = s.id) AS n_later
+    FROM segments s WHERE s.id IN (SELECT source_id FROM b UNION SELECT target_id FROM b)""",
+)
 def _(d):
-    return labelled(graph.weave_blocks(d.segments), "gr_id")
+    # the links of a block as one row per member: its place says how many lead to it, and how many from it
+    members = graph.block_members(d.wide("segments"))
+    return members.select("id", "gr_id", F.col("place").alias("n_earlier"), (F.col("size") - 1 - F.col("place")).alias("n_later"))
 
 
 @query(
@@ -82,15 +88,14 @@ def _(d):
     return insert_edges(stored, good, "replace").select(*EDGE_KEY, "poids")
 
 
-@query("graph6_rebuild", f"WITH {ALL_EDGES_CTE} SELECT source_id, target_id, type, poids FROM edges UNION ALL SELECT id, id + 1, 'CORRIGE_PAR', 1.0 FROM segments WHERE id % 100 = 0")
+@query("graph6_rebuild", f"WITH {ALL_EDGES_CTE} SELECT source_id, target_id, type, poids FROM edges WHERE type <> 'MEME_GROUPE' UNION ALL SELECT id, id + 1, 'CORRIGE_PAR', 1.0 FROM segments WHERE id % 100 = 0")
 def _(d):
     manual = d.segments.filter("id % 100 = 0").select(
         F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("CORRIGE_PAR").alias("type"), F.lit(1.0).alias("poids"),
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
     stale = manual.withColumn("type", F.lit("TAGS_PARTAGES"))
-    woven = graph.rebuild_graph(d.wide("segments"), manual.unionByName(stale))
-    return woven.unionByName(graph.weave_blocks(d.segments)).select(*EDGE_KEY, "poids")
+    return graph.rebuild_graph(d.wide("segments"), manual.unionByName(stale)).select(*EDGE_KEY, "poids")
 
 
 @query("graph6_counts", f"WITH {ALL_EDGES_CTE} SELECT type, count(*) AS n FROM edges GROUP BY type")
@@ -142,6 +147,21 @@ def _(d):
     return out.select("id", "linked_id", "poids", "depth", F.col("rank").cast("long").alias("rank"))
 
 
+DEPTH3_SQL = EXPLORE_SQL.replace("  a AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)", """  l3 AS (SELECT l2.start, b.there AS node, max(b.poids) AS poids, 3 AS depth FROM l2 JOIN both_ways b ON b.here = l2.node
+         WHERE b.there <> l2.start AND NOT EXISTS (SELECT 1 FROM l1 v WHERE v.start = l2.start AND v.node = b.there) AND NOT EXISTS (SELECT 1 FROM l2 v WHERE v.start = l2.start AND v.node = b.there) GROUP BY l2.start, b.there),
+  a AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)""")
+
+
+@query("graph7_explore_stored", DEPTH3_SQL)
+def _(d):
+    # edges stored at both ends and read back, three hops
+    path = scratch_path(d.spark, "adjacency")
+    seg = d.wide("segments")
+    graph.store_adjacency(graph.rebuild_graph(seg), path)
+    out = graph.explore_links(graph.read_adjacency(d.spark, path), seg, starts(d), depth=3, max_results=50, members=materialise(graph.block_members(seg)))
+    return out.select("id", "linked_id", "poids", "depth", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "graph7_explore_large_blocks",
     f"""WITH b AS (SELECT id, timestamp, id % 7 AS gr_id, source_file FROM segments),
@@ -505,7 +525,12 @@ def _(d):
     return search.expanded_search(d.segments, "Error", lambda t: [("user_7_", 0.9), ("purchase", 0.8), ("view", 0.5)], 60, per_term=30).select("id", "term_rank")
 
 
-@query("srch8_widening_search")
+@query(
+    "srch8_widening_search",
+    r"""WITH l AS (SELECT concat('doc', doc_id, '.txt') AS file_name, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+    h AS (SELECT file_name, line_no FROM l WHERE regexp_matches(line, '(?i)\bthe\b') ORDER BY file_name DESC, line_no LIMIT 50)
+    SELECT CAST(3 AS INT) AS stage, concat(file_name, ':', line_no) AS ref FROM h""",
+)
 def _(d):
     docs = d.documents.select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file_name"), "text")
     return search.widening_search(d.segments, docs, "absent", lambda t: [("missing", 0.9)], r"\bthe\b")
@@ -853,7 +878,7 @@ def _(d):
         F.array(F.lit("Paris")).alias("lieux"), "personnes", "projets", F.when(k != 0, F.col("emotion_valence").cast("string")).otherwise("x").alias("emotion_valence"),
         F.lit(None).cast("double").alias("emotion_activation"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 900)).otherwise(F.col("resume_texte")).alias("resume_texte"),
     )
-    out = rec.normalise_annotation(raw)
+    out = rec.normalise_annotation(raw, most=5, letters=800, places=False)
     return out.select("id", "gr_id", "confidence_score", F.size("tags_roget").alias("n_tags"), F.size("sujets").alias("n_subjects"), F.length("resume_texte").cast("long").alias("summary_length"), "emotion_valence")
 
 

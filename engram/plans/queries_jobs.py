@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -98,9 +100,10 @@ def _(d):
 
 @query("sdk7_merge_shards", "SELECT strftime(o_orderdate, '%Y') AS partition_id, count(*) AS n FROM orders GROUP BY 1")
 def _(d):
-    years = [r[0] for r in d.orders.select(F.year("o_orderdate")).distinct().collect()]
-    shards = {f"orders_{y}": d.orders.filter((F.col("o_orderdate") >= f"{y}-01-01") & (F.col("o_orderdate") < f"{y + 1}-01-01")) for y in years}
-    return tables.merge_shards({**shards, "other_2020": d.orders}, "orders_").groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"))
+    root = scratch_path(d.spark, "shards")
+    name = F.concat(F.when(F.col("o_orderkey") % 100 == 0, "other_").otherwise("orders_"), F.year("o_orderdate"))
+    d.orders.withColumn("shard", F.concat(F.lit("orders_"), F.year("o_orderdate"))).unionByName(d.orders.filter("o_orderkey % 100 = 0").withColumn("shard", name)).write.partitionBy("shard").parquet(root)
+    return tables.read_shards(d.spark, root, "orders_").groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sdk8_head", "SELECT o_orderkey, o_totalprice AS o_price FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 250")
@@ -322,6 +325,20 @@ def _(d):
     return last.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "received")
 
 
+@query("str5_live_counters", "SELECT count(*) AS received, count_if(event_id % 4 < 2) AS processed, count_if(event_id % 4 >= 2) AS pending, true AS idle FROM events")
+def _(d):
+    # the stream takes what is there, then more files come
+    root, (path, ckpt) = scratch_path(d.spark, "inbox"), _out(d, "counters")
+    parts = d.spark.read.parquet(f"{d.sf_dir}/events.parquet").withColumn("part", F.col("event_id") % 4)
+    write = lambda which: parts.filter(which).repartition(3).write.mode("append").parquet(root)
+    write("part < 2")
+    stream = jobs.file_stream(d.spark, root, parts.schema, files_per_trigger=2)
+    jobs.run_once(stream, path, ckpt)
+    write("part >= 2")
+    row = jobs.live_counters(d.spark, root, ckpt, datetime.now(timezone.utc))
+    return row.select("received", "processed", "pending", (F.col("idle_seconds") > 0).alias("idle"))
+
+
 DAY_SQL = "SELECT strftime(ts - INTERVAL 8 HOURS, '%Y-%m-%d') AS day, count(*) AS total, count_if(event_id % 3 = 0) AS human FROM events GROUP BY 1"
 
 
@@ -340,7 +357,12 @@ def _(d):
     return out.select(F.date_format(F.col("window_start") - F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd").alias("day"), "total")
 
 
-@query("str6_sessions")
+@query(
+    "str6_sessions",
+    """WITH g AS (SELECT concat('u', user_id % 5, '.txt') AS source_file, ts, ts - lag(ts) OVER (PARTITION BY user_id % 5 ORDER BY ts) AS gap FROM events),
+    s AS (SELECT source_file, ts, count_if(gap IS NULL OR gap > INTERVAL 300 SECOND) OVER (PARTITION BY source_file ORDER BY ts) AS no FROM g)
+    SELECT source_file, count(*) AS n FROM s GROUP BY source_file, no HAVING max(ts) + INTERVAL 300 SECOND <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+)
 def _(d):
     path, ckpt = _out(d, "sessions")
     jobs.run_once(jobs.session_stream(live_segments(d), "source_file"), path, ckpt)

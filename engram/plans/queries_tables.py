@@ -529,7 +529,7 @@ def _(d):
     seg = d.segments.withColumns(
         {"personne_candidat": F.when(F.col("id") % 2 == 0, F.col("personnes")[1]), "projet_candidat": F.col("projets")[0]}
     )
-    return mut.entity_candidates(seg).select("kind", "nom", "contexte", "n_mentions")
+    return mut.entity_candidates(seg, cut=200).select("kind", "nom", "contexte", "n_mentions")
 
 
 @query(

@@ -60,6 +60,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Written to the shared folder and read back: as `materialise`, and Spark knows the size for what follows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy row work when the input has fewer splits than cores (a few files of one row group).
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from engram.functions.dates import at
 from engram.functions.records import normalise_annotation
 from engram.functions.text import token_count
 from engram.functions.vector import vectorise
@@ -117,13 +119,24 @@ def arrivals_stream(stream: DataFrame, width: str = "1 hour", delay: str = LATE)
     )
 
 
-def live_counters(query: StreamingQuery) -> dict:
-    """Received, processed and pending rows and whether the query waits, from its own progress reports."""
-    done = query.recentProgress
-    received = sum(p.numInputRows for p in done)
-    last = done[-1] if done else None
-    written = sum(max(p.sink.numOutputRows, 0) for p in done) if done else 0
-    return {"batches": len(done), "received": received, "processed": written, "idle": not query.status["isTriggerActive"], "last_batch": last.batchId if last else None}
+def live_counters(spark: SparkSession, source: str, checkpoint: str, now: datetime, fmt: str = "parquet") -> DataFrame:
+    """One row: received, processed and pending rows of a file stream, and the seconds since its last finished batch.
+
+    Taken from what the stream itself keeps in its checkpoint: the source's log says which batch took which file, the
+    commit log which batches are finished. Files that no finished batch took are pending. Nothing of the stream has to run,
+    and its progress survives restarts, which the reports of a running query don't.
+    """
+    files = spark.read.format(fmt).load(source).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    log = spark.read.text(f"{checkpoint}/sources/0/*").select(F.from_json("value", "path string, batchId bigint").alias("e")).select("e.*").filter("path IS NOT NULL").distinct()
+    commits = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select(
+        F.element_at(F.split("path", "/"), -1).try_cast("bigint").alias("batch"), F.col("modificationTime").alias("at")).filter("batch IS NOT NULL")
+    last = commits.agg(F.max("batch").alias("_done"), F.max("at").alias("_at"))
+    name = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")  # noqa: E731  (one path may be written with one slash or three)
+    taken = log.join(F.broadcast(last), F.col("batchId") <= F.col("_done")).select(name(F.col("path")).alias("_taken")).distinct()
+    both = files.join(taken, name(F.col("path")) == F.col("_taken"), "left")
+    total = both.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("received"), F.coalesce(F.sum(F.when(F.col("_taken").isNotNull(), F.col("rows"))), F.lit(0)).alias("processed"))
+    idle = F.unix_micros(at(now)) - F.unix_micros("_at")
+    return total.join(F.broadcast(last), F.lit(True)).select("received", "processed", (F.col("received") - F.col("processed")).alias("pending"), (idle / 1_000_000).alias("idle_seconds"))
 
 
 # --- rolling window ---------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Graph properties and plan shapes."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -49,7 +50,6 @@ def test_null_and_zero_activation_count_as_half(spark):
 
 def test_blocks_of_any_size_are_member_rows(spark):
     s = small_segments(spark, [(i, [], 0.0, 0.0, 1 if i < 300 else 2, []) for i in range(303)] + [(303, [], 0.0, 0.0, 3, [])])
-    assert graph.weave_blocks(s.filter("gr_id = 2")).count() == 3
     members = graph.block_members(s).cache()
     assert members.count() == 303 and sorted(r["place"] for r in members.filter("gr_id = 2").collect()) == [0, 1, 2]
     none = graph.weave_tags(s)
@@ -121,3 +121,17 @@ def test_version_chain(spark):
     e = spark.createDataFrame([(1, 2, "LIEN_VERSION"), (2, 3, "LIEN_VERSION"), (3, 9, "LIEN_VERSION"), (4, 5, "AUTRE")], "source_id LONG, target_id LONG, type STRING")
     ids = spark.createDataFrame([(i,) for i in (1, 3, 4, 9)], "id LONG")
     assert {r["id"]: r["latest_id"] for r in graph.latest_version(e, ids).collect()} == {1: 9, 3: 9, 4: 4, 9: 9}
+
+
+def test_walk_on_stored_edges(spark, seg, tmp_path):
+    """A stored adjacency gives the walk of the plain edges, and the nodes asked for reach the scan."""
+    edges = graph.rebuild_graph(seg)
+    graph.store_adjacency(edges, str(tmp_path / "a"))
+    stored = graph.read_adjacency(spark, str(tmp_path / "a"))
+    starts = seg.select("id").orderBy("id").limit(3)
+    shown = lambda e, depth: sorted(map(tuple, graph.explore_links(e, seg, starts, depth=depth).select("id", "linked_id", "link_type", "poids", "depth", "rank").collect()))
+    assert shown(stored, 1) == shown(edges, 1) and shown(stored, 3) == shown(edges, 3)
+    plan = plan_of(graph.explore_links(stored, seg, starts, depth=1))
+    assert re.search(r"here#\d+L? IN \(", plan) and "PushedFilters" in plan
+    with_blocks = lambda e: sorted(map(tuple, graph.neighbours(e, seg, starts, members=graph.block_members(seg)).select("id", "linked_id", "link_type").collect()))
+    assert with_blocks(stored) == with_blocks(edges)

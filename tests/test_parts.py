@@ -420,3 +420,42 @@ def test_no_word_vectors(spark):
     from engram.operators import wordvectors
 
     assert wordvectors.train_vectors(spark.createDataFrame([(["once"],), ([],)], "tokens array<string>"), epochs=1).count() == 0
+
+
+def test_trees_of_any_depth(spark):
+    """Ten thousand levels, broken chains and cycles."""
+    n = 10_000
+    deep = spark.range(1, n + 1).select("id", F.concat(F.lit("n"), F.col("id") % 7).alias("nom"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"))
+    got = joins.hierarchy(deep).select("niveau", F.length("chemin").alias("l")).orderBy("niveau").collect()
+    assert [r.niveau for r in got] == list(range(n)) and got[-1].l == 2 * n + 3 * (n - 1)
+    odd = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "lost", 99), (4, "below", 3)], "id LONG, nom STRING, parent_id LONG")
+    assert sorted(tuple(r) for r in joins.hierarchy(odd).select("id", "chemin").collect()) == [(1, "a"), (2, "a > b")]
+    with pytest.raises(ValueError, match="5, 6"):
+        joins.hierarchy(odd.unionByName(spark.createDataFrame([(5, "x", 6), (6, "y", 5)], odd.schema)))
+    assert joins.hierarchy(odd.limit(0)).count() == 0
+
+
+def test_nothing_is_cut_unasked(spark):
+    """More tags, subjects, places and letters than the contract keeps go through ingest whole."""
+    from engram.functions import records
+
+    raw = spark.createDataFrame([("x" * 2000, ["01-0010-0010"] * 9, ["s"] * 9, ["here"])], "resume_texte STRING, tags_roget ARRAY<STRING>, sujets ARRAY<STRING>, lieux ARRAY<STRING>").withColumns(
+        {c: F.lit(None).cast("string") for c in ("gr_id", "confidence_score", "emotion_valence", "emotion_activation")} | {c: F.array().cast("array<string>") for c in ("personnes", "projets")} | {"indexable": F.lit(True)})
+    r = records.normalise_annotation(raw).first()
+    assert (len(r.resume_texte), len(r.tags_roget), len(r.sujets), r.lieux) == (2000, 9, 9, ["here"])
+    c = records.normalise_annotation(raw, most=5, letters=800, places=False).first()
+    assert (len(c.resume_texte), len(c.tags_roget), len(c.sujets), c.lieux) == (803, 5, 5, [])
+    long = "non, c'est " + "y" * 900
+    docs = spark.createDataFrame([(1, long, f"f.txt")], "id LONG, text STRING, file_name STRING")
+    assert len(flt.grep_regex(docs, "y+").first().content) == 911 and len(flt.grep_regex(docs, "y+", cut=500).first().content) == 500
+    assert len(flt.detect_corrections(docs, "id").first().contexte) == 911
+
+
+def test_names_are_resolved_once(spark):
+    seg = spark.createDataFrame([(1, ["ANN", "Bob", "ann"], ["P", "q"], ["s"]), (2, None, [], None), (3, ["zed"], ["Q", "r", "r"], ["r"])], "id LONG, personnes ARRAY<STRING>, projets ARRAY<STRING>, sujets ARRAY<STRING>")
+    persons = spark.createDataFrame([("Anna", ["ann"])], "nom_canonique STRING, variantes ARRAY<STRING>")
+    known = spark.createDataFrame([("Q",)], "nom STRING")
+    got = {r.id: r for r in joins.canonicalise(seg, joins.alias_dim(persons), known).collect()}
+    assert (got[1].personnes, got[1].projets, got[1].sujets, got[1].personne_candidat, got[1].projet_candidat) == (["Anna", "Bob", "Anna"], ["q"], ["s", "P"], "Bob", "P")
+    assert (got[2].personnes, got[2].projets, got[2].sujets, got[2].personne_candidat) == ([], [], [], None)
+    assert (got[3].personnes, got[3].projets, got[3].sujets, got[3].projet_candidat) == (["zed"], ["Q"], ["r"], "r")
