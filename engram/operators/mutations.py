@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from engram.functions import lexicon as lx
+from engram.functions.vector import vectorise
 from engram.operators.filters import importance_of
+from engram.operators.joins import canonicalise
 from engram.session import materialise
 
 EDGE_KEY = ["source_id", "target_id", "type"]
@@ -25,10 +27,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Column, first: bool = Fals
     return df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
-def ingest_segments(exchanges: DataFrame, annotations: DataFrame, key: str = "id") -> DataFrame:
-    """Join exchanges with their annotations, drop what is not indexable, fill defaults and the epoch."""
+def ingest_segments(
+    exchanges: DataFrame, annotations: DataFrame, key: str = "id", aliases: DataFrame | None = None, known_projects: DataFrame | None = None
+) -> DataFrame:
+    """Exchanges as stored segments: joined with their annotations, without what is not indexable, with defaults, epoch and
+    vector. With `aliases` and `known_projects` people and projects are resolved first (see `joins.canonicalise`)."""
     joined = exchanges.join(annotations, key, "left").filter(F.coalesce(F.col("indexable"), F.lit(True)))
-    return joined.withColumns(
+    filled = joined.withColumns(
         {
             "timestamp_epoch": F.unix_seconds("timestamp"),
             "emotion_valence": F.coalesce("emotion_valence", F.lit(0.0)),
@@ -36,6 +41,9 @@ def ingest_segments(exchanges: DataFrame, annotations: DataFrame, key: str = "id
             "confidence_score": F.coalesce("confidence_score", F.lit(0.5)),
         }
     ).drop("indexable")
+    if aliases is not None and known_projects is not None:
+        filled = canonicalise(filled, aliases, known_projects)
+    return vectorise(filled)
 
 
 def upsert_facts(facts: DataFrame, updates: DataFrame) -> DataFrame:

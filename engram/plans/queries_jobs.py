@@ -325,7 +325,7 @@ def _(d):
     return last.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "received")
 
 
-@query("str5_live_counters", "SELECT count(*) AS received, count_if(event_id % 4 < 2) AS processed, count_if(event_id % 4 >= 2) AS pending, true AS idle FROM events")
+@query("str5_live_counters", "SELECT count(*) AS received, CAST(count_if(event_id % 4 < 2) AS BIGINT) AS processed, CAST(count_if(event_id % 4 >= 2) AS BIGINT) AS pending, true AS idle FROM events")
 def _(d):
     # the stream takes what is there, then more files come
     root, (path, ckpt) = scratch_path(d.spark, "inbox"), _out(d, "counters")

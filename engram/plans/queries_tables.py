@@ -360,13 +360,18 @@ def _(d):
 @query(
     "snk1_ingest_segments",
     """SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN emotion_valence END, 0.0) AS emotion_valence, coalesce(CASE WHEN id % 3 = 0 THEN emotion_activation END, 0.5) AS emotion_activation,
-    coalesce(CASE WHEN id % 3 = 0 THEN confidence_score END, 0.5) AS confidence_score, CAST(floor(epoch(timestamp)) AS BIGINT) AS timestamp_epoch FROM segments WHERE id % 5 <> 0""",
+    coalesce(CASE WHEN id % 3 = 0 THEN confidence_score END, 0.5) AS confidence_score, CAST(floor(epoch(timestamp)) AS BIGINT) AS timestamp_epoch,
+    nullif(coalesce(CASE WHEN id % 3 = 0 THEN emotion_valence END, 0.0), 0.0)::DOUBLE AS v1, nullif(coalesce(CASE WHEN id % 3 = 0 THEN emotion_activation END, 0.5), 0.0)::DOUBLE AS v2,
+    CASE WHEN personnes[2] = 'person3' THEN 'Trois' ELSE personnes[2] END AS second_person FROM segments WHERE id % 5 <> 0""",
 )
 def _(d):
     seg = d.segments
     notes = seg.filter("id % 3 = 0 OR id % 5 = 0").select("id", "emotion_valence", "emotion_activation", "confidence_score", (F.col("id") % 5 != 0).alias("indexable"))
-    out = mut.ingest_segments(seg.select("id", "timestamp"), notes)
-    return out.select("id", "emotion_valence", "emotion_activation", "confidence_score", "timestamp_epoch")
+    persons = d.spark.createDataFrame([("Trois", ["PERSON3"])], "nom_canonique STRING, variantes ARRAY<STRING>")
+    projects = seg.select(F.explode("projets").alias("nom")).distinct()
+    out = mut.ingest_segments(seg.select("id", "timestamp", "personnes", "projets", "sujets"), notes, aliases=joins.alias_dim(persons), known_projects=projects)
+    at = lambda k: F.try_element_at("vecteur", F.lit(k)).alias(f"v{k}")
+    return out.select("id", "emotion_valence", "emotion_activation", "confidence_score", "timestamp_epoch", at(1), at(2), F.col("personnes")[1].alias("second_person"))
 
 
 @query(

@@ -16,6 +16,7 @@ from engram.functions.dates import at
 from engram.functions.records import normalise_annotation
 from engram.functions.text import token_count
 from engram.functions.vector import vectorise
+from engram.operators.joins import canonicalise
 from engram.session import SETTINGS, materialise
 
 COUNTER = T.StructType([T.StructField("n", T.LongType())])
@@ -72,8 +73,9 @@ def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpo
     return query
 
 
-def start_ingest(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str] = ("timestamp", "source_origine")) -> StreamingQuery:
-    """Exchanges -> annotation -> normalising -> vector -> parquet, one pass per batch.
+def start_ingest(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: Sequence[str] = ("timestamp", "source_origine"),
+                 aliases: DataFrame | None = None, known_projects: DataFrame | None = None) -> StreamingQuery:
+    """Exchanges -> annotation -> normalising -> known people and projects (where given) -> vector -> parquet, per batch.
 
     The batch number names the folder and a batch is written with overwrite, so a batch that is repeated after a
     failure replaces itself: each exchange is stored once.
@@ -81,7 +83,10 @@ def start_ingest(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame],
     live = stream.withWatermark("timestamp", LATE).dropDuplicatesWithinWatermark(list(keys))
 
     def store(batch: DataFrame, number: int) -> None:
-        vectorise(normalise_annotation(annotate(batch))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = normalise_annotation(annotate(batch))
+        if aliases is not None and known_projects is not None:
+            rows = canonicalise(materialise(rows), aliases, known_projects)
+        vectorise(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run_batches(live, store, checkpoint)
 
