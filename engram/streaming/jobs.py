@@ -239,12 +239,17 @@ def idle_monitor(stream: DataFrame, source: str, gap: float = 5.0) -> DataFrame:
 
 
 # --- entity chain -------------------------------------------------------------------------------------
-def entity_chain_batches(col: str, kind: str, edges_path: str, state_path: str) -> Callable[[DataFrame, int], None]:
+STATE_BUCKETS = 256  # parts of the chain's state
+
+
+def entity_chain_batches(col: str, kind: str, edges_path: str, state_path: str, buckets: int = STATE_BUCKETS) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` body that extends the entity chain with new segments.
 
-    The state is a table of the last segment per entity and batch: a batch adds rows for the entities it holds and
-    touches no others. It is woven together with the last segments of its own entities by the batch rule itself, so a
-    hot entity is handled the same way, and a repeated batch reads what earlier batches wrote and writes the same again.
+    The state holds the last segment of every entity, in buckets by entity. A batch reads the buckets of its own entities,
+    each in its newest version, and writes these again under its number with an index (a row per bucket) of where the newest
+    versions are; the others stay where they are. It is woven together with the last segments of its own entities by the
+    batch rule itself, so a hot entity is handled the same way, and a repeated batch starts from the index of the batch
+    before it and writes the same again.
     """
     from engram.operators import graph
 
@@ -252,20 +257,24 @@ def entity_chain_batches(col: str, kind: str, edges_path: str, state_path: str)
         spark = batch.sparkSession
         rows = batch.select("id", "timestamp", F.col(col).alias("names"))
         flat = rows.select(F.explode(F.transform("names", lambda e: F.trim(e))).alias("entity"), "id", "timestamp").filter("entity <> ''")
-        if number > 0:
-            own = flat.select("entity").distinct()
-            earlier = spark.read.parquet(state_path).filter(F.col("v") < number).join(own, "entity", "left_semi")
-            last = materialise(earlier.groupBy("entity").agg(F.max(F.struct("timestamp", "id")).alias("s")).select("entity", "s.timestamp", "s.id"))
+        bucket = F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in flat.select(bucket).distinct().collect()]  # at most `buckets`
+        places = {r["b"]: r["at"] for r in spark.read.parquet(f"{state_path}/index/v={number - 1}").collect()} if number > 0 else {}
+        paths = [f"{state_path}/rows/v={places[b]}/bucket={b}" for b in touched if b in places]
+        earlier = spark.read.parquet(*paths).select("entity", "timestamp", "id") if paths else None
+        if earlier is not None:
+            last = earlier.join(flat.select("entity").distinct(), "entity", "left_semi")
             seeds = last.select("id", "timestamp", F.array("entity").alias("names"), F.lit(True).alias("seed"))
             joined = rows.withColumn("seed", F.lit(False)).unionByName(seeds)
+            flat = flat.unionByName(earlier.select("entity", "id", "timestamp"))
         else:
-            last, joined = None, rows.withColumn("seed", F.lit(False))
+            joined = rows.withColumn("seed", F.lit(False))
         edges = graph.weave_entities(joined.withColumnRenamed("names", col), col, kind)
         edges.write.mode("overwrite").parquet(f"{edges_path}/batch={number}")
-        if last is not None:
-            flat = flat.unionByName(last.select("entity", "id", "timestamp"))
         newest = flat.groupBy("entity").agg(F.max(F.struct("timestamp", "id")).alias("s")).select("entity", "s.timestamp", "s.id")
-        newest.write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        newest.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/rows/v={number}")
+        index = places | dict.fromkeys(touched, number)
+        spark.createDataFrame(list(index.items()), "b INT, at BIGINT").coalesce(1).write.mode("overwrite").parquet(f"{state_path}/index/v={number}")
 
     return body
 
