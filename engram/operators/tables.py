@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from engram.operators import ordered as o
@@ -207,6 +208,42 @@ def make_view(spark: SparkSession, name: str, sql: str, materialised: str | None
     return df
 
 
+READ_BY_LIST = 1_000  # changed partitions that a scan gets as a list; more are joined
+
+
+def refresh_view(spark: SparkSession, table: str, view: str, partition: str, by: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """Counts and sums of a partitioned parquet table by some columns, kept up to date partition by partition.
+
+    The view stores partial results per partition of the table, and an index of which files each was made from and where its
+    newest result lies. A refresh lists the files, reads the partitions whose files have changed and adds their results as a
+    new version; removed partitions leave the index. The index is written last, so a refresh that fails changes nothing.
+    """
+    raw = F.regexp_extract("path", rf"/{re.escape(partition)}=([^/]*)/", 1)
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(table)
+    # only names, sizes and times are read
+    found = files.select(F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))).alias("part"), F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    now = found.groupBy("part").agg(F.concat_ws(":", F.count(F.lit(1)), F.sum("h")).alias("made_of"))
+    try:
+        old = spark.read.parquet(f"{view}/index")
+        number = old.agg(F.max("v")).first()[0] + 1
+        old = old.filter(F.col("v") == number - 1).select("part", F.col("made_of").alias("_before"), F.col("at").alias("_at"))
+    except AnalysisException:  # the first refresh
+        number, old = 0, spark.createDataFrame([], "part STRING, _before STRING, _at INT")
+    both = now.join(old, "part", "left")
+    same = F.coalesce(F.col("made_of") == F.col("_before"), F.lit(False))
+    index = materialise(both.select("part", "made_of", F.when(same, F.col("_at")).otherwise(F.lit(number)).cast("int").alias("at")))
+    changed = index.filter(F.col("at") == number).select("part")
+    source = spark.read.parquet(table).withColumn("_part", F.col(partition).cast("string"))
+    listed = [r[0] for r in changed.limit(READ_BY_LIST + 1).collect()]
+    rows = source.filter(F.col(partition).cast("string").isin(listed)) if len(listed) <= READ_BY_LIST else source.join(changed, F.col("_part") == F.col("part"), "left_semi")
+    if listed:
+        partial = rows.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+        partial.withColumnRenamed("_part", "part").write.mode("overwrite").parquet(f"{view}/rows/at={number}")
+    index.write.mode("overwrite").parquet(f"{view}/index/v={number}")
+    kept = spark.read.parquet(f"{view}/rows").join(index.select("part", "at"), ["part", "at"], "left_semi")
+    return kept.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums])
+
+
 def insert_rows(
     rows: DataFrame, schema: str, json: str = "json", insert_id: str | None = "insert_id", ignore_unknown: bool = False,
     required: Sequence[str] = (),

@@ -191,6 +191,25 @@ def _(d):
     return tables.make_view(d.spark, "order_totals", sql, scratch_path(d.spark, "mv"))
 
 
+@query(
+    "sdk15_incremental_view",
+    "SELECT o_orderstatus, count(*) AS n, round(sum(CASE WHEN o_orderkey % 4 = 3 THEN o_totalprice * 2 ELSE o_totalprice END), 2) AS total FROM orders WHERE year(o_orderdate) <> 1993 GROUP BY o_orderstatus",
+)
+def _(d):
+    # refreshed after every change: an append, a partition written anew, and one that goes
+    table, view = scratch_path(d.spark, "orders"), scratch_path(d.spark, "view")
+    rows = d.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("year"))
+    write = lambda df, mode: df.repartition("year").write.mode(mode).partitionBy("year").option("partitionOverwriteMode", "dynamic").parquet(table)
+    fresh = lambda: tables.refresh_view(d.spark, table, view, "year", ["o_orderstatus"], ["o_totalprice"])
+    write(rows.filter("year <> 1993 AND o_orderkey % 4 < 2"), "append")
+    fresh()
+    write(rows.filter("year <> 1993 AND o_orderkey % 4 = 2"), "append")
+    fresh()
+    late = rows.filter("year <> 1993 AND o_orderkey % 4 = 3").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    write(late, "append")
+    return fresh().select("o_orderstatus", "n", F.round("sum_o_totalprice", 2).alias("total"))
+
+
 def _json_rows(d):
     k = F.col("event_id") % 5
     text = (

@@ -459,3 +459,23 @@ def test_names_are_resolved_once(spark):
     assert (got[1].personnes, got[1].projets, got[1].sujets, got[1].personne_candidat, got[1].projet_candidat) == (["Anna", "Bob", "Anna"], ["q"], ["s", "P"], "Bob", "P")
     assert (got[2].personnes, got[2].projets, got[2].sujets, got[2].personne_candidat) == ([], [], [], None)
     assert (got[3].personnes, got[3].projets, got[3].sujets, got[3].projet_candidat) == (["zed"], ["Q"], ["r"], "r")
+
+
+def test_views_read_changed_partitions(spark, tmp_path):
+    """A refresh makes the results of new, changed and removed partitions only, odd names included."""
+    import shutil
+
+    table, view = str(tmp_path / "t"), str(tmp_path / "v")
+    rows = spark.createDataFrame([(f"p {k % 5}+%", k % 2, k) for k in range(50)], "part_name STRING, g INT, x LONG")
+    write = lambda df: df.write.mode("append").partitionBy("part_name").parquet(table)
+    look = lambda: sorted(map(tuple, tables.refresh_view(spark, table, view, "part_name", ["g"], ["x"]).collect()))
+    made = lambda n: {r.part for r in spark.read.parquet(f"{view}/rows/at={n}").select("part").distinct().collect()}
+    plain = lambda df: sorted(map(tuple, df.groupBy("g").agg(F.count(F.lit(1)), F.sum("x")).collect()))
+    write(rows)
+    assert look() == plain(rows) and len(made(0)) == 5
+    more = spark.createDataFrame([("p 1+%", 7, 100), ("new", 0, 1)], rows.schema)
+    write(more)
+    assert look() == plain(rows.unionByName(more)) and made(1) == {"p 1+%", "new"}
+    shutil.rmtree(next((tmp_path / "t").glob("part_name=p 3*")))
+    assert look() == plain(rows.unionByName(more).filter("part_name <> 'p 3+%'"))
+    assert look() == plain(rows.unionByName(more).filter("part_name <> 'p 3+%'"))
