@@ -272,7 +272,7 @@ _BOILER_NAMES = frozenset(name for group in _OTHER.values() for _, names in grou
 
 def named_label(leaf: Leaf) -> int | None:
     """What the mark-up says of a block on a page that names its article: the label of training pages."""
-    inside = [k for k, (tag, _) in enumerate(leaf.path) if tag in ("article", "main")]
+    inside = [k for k, (tag, _) in enumerate(leaf.path or ()) if tag in ("article", "main")]
     other = any(tag in _BOILER_TAGS or _BOILER_NAMES & set(names) for tag, names in leaf.path or ())
     return int(bool(inside) and not other)
 

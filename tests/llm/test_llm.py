@@ -534,6 +534,8 @@ def test_pages_of_many_open_tags():
         start = time.perf_counter()
         html_extraction.main_text(field, page)
         assert time.perf_counter() - start < 20
+    bare = html_extraction.leaves("no tag at all")
+    assert html_extraction.named_label(bare[0]) == 0 and field.decode(bare) in ([0], [1])
     blocks = html_extraction.leaves("<article><div class='c c'>one<div class='c d'>two</div></div><p>three<p>four</article>five")
     assert [x.text for x in blocks] == ["one", "two", "three", "four", "five"]
     assert html_extraction.path_features(blocks[1].path) == sorted(["<article", "<div", ".c", ".d", "leaf div"]) and html_extraction.path_features(blocks[4].path) == ["leaf "]
