@@ -74,6 +74,26 @@ def block_members(seg: DataFrame) -> DataFrame:
     return o.ordinals(rows.join(sizes, BLOCK), ["timestamp", "id"], "place", BLOCK)
 
 
+PAIRED_ROWS = 512  # members of a block on each side of one group of the pair join
+
+
+def weave_blocks(seg: DataFrame) -> DataFrame:
+    """The links within blocks, one by one, each from the earlier segment to the later one.
+
+    As many rows as there are links, for readers that want them as edges (walks follow `block_members`). A block is cut
+    into slices of about `PAIRED_ROWS` rows, and every two slices meet in a group of their own, so no task pairs a whole
+    large block.
+    """
+    rows = _blocks(seg)
+    sizes = rows.groupBy(*BLOCK).agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("_k"))
+    cut = rows.join(sizes, BLOCK).withColumn("_own", F.pmod(F.xxhash64("id", "timestamp"), F.col("_k")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_k") - 1)
+    earlier = cut.select(*BLOCK, "id", F.struct("timestamp", "id").alias("_at"), F.col("_own").alias("_a"), F.explode(every).alias("_b"))
+    later = cut.select(*BLOCK, F.col("id").alias("target_id"), F.struct("timestamp", "id").alias("_after"), F.explode(every).alias("_a"), F.col("_own").alias("_b"))
+    pairs = earlier.join(later, [*BLOCK, "_a", "_b"]).filter(F.col("_at") < F.col("_after"))
+    return _edges(pairs, "MEME_GROUPE", "id", "target_id", _meta(gr_id=F.col("gr_id"), source_file=F.col("source_file")))
+
+
 def weave_tags(seg: DataFrame, window: int = 10) -> DataFrame:
     """Link each segment to the 10 before it with the same primary tag."""
     tag = F.try_element_at("tags_roget", F.lit(1))
@@ -151,7 +171,7 @@ def weave_sequences(seg: DataFrame, minimum: float = 0.6, distance: float = 0.10
 
 
 def rebuild_graph(seg: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """All woven edges but those within blocks (see `block_members`), plus the stored edges of hand-made types, which a
+    """All woven edges but those within blocks (see `block_members` and `weave_blocks`), plus the stored edges of hand-made types, which a
     rebuild must not lose."""
     # within one rule a key occurs once, and types differ between rules: a plain union has unique keys
     out = weave_sequences(seg)

@@ -51,15 +51,9 @@ def _(d):
     return labelled(graph.weave_emotions(d.wide("segments")), "val")
 
 
-@query(
-    "graph3_block_edges",
-    f"""WITH b AS ({BLOCK_SQL}) SELECT s.id, s.gr_id, (SELECT count(*) FROM b WHERE b.target_id = s.id) AS n_earlier, (SELECT count(*) FROM b WHERE b.source_id = s.id) AS n_later
-    FROM segments s WHERE s.id IN (SELECT source_id FROM b UNION SELECT target_id FROM b)""",
-)
+@query("graph3_block_edges", BLOCK_SQL)
 def _(d):
-    # the links of a block as one row per member: its place says how many lead to it, and how many from it
-    members = graph.block_members(d.wide("segments"))
-    return members.select("id", "gr_id", F.col("place").alias("n_earlier"), (F.col("size") - 1 - F.col("place")).alias("n_later"))
+    return labelled(graph.weave_blocks(d.wide("segments")), "gr_id")
 
 
 @query(
