@@ -82,14 +82,15 @@ def _(d):
     return insert_edges(stored, good, "replace").select(*EDGE_KEY, "poids")
 
 
-@query("graph6_rebuild", f"WITH {ALL_EDGES_CTE} SELECT source_id, target_id, type, poids FROM edges WHERE type <> 'MEME_GROUPE' UNION ALL SELECT id, id + 1, 'CORRIGE_PAR', 1.0 FROM segments WHERE id % 100 = 0")
+@query("graph6_rebuild", f"WITH {ALL_EDGES_CTE} SELECT source_id, target_id, type, poids FROM edges UNION ALL SELECT id, id + 1, 'CORRIGE_PAR', 1.0 FROM segments WHERE id % 100 = 0")
 def _(d):
     manual = d.segments.filter("id % 100 = 0").select(
         F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("CORRIGE_PAR").alias("type"), F.lit(1.0).alias("poids"),
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
     stale = manual.withColumn("type", F.lit("TAGS_PARTAGES"))
-    return graph.rebuild_graph(d.wide("segments"), manual.unionByName(stale)).select(*EDGE_KEY, "poids")
+    seg = d.wide("segments")
+    return graph.rebuild_graph(seg, manual.unionByName(stale)).unionByName(graph.weave_blocks(seg)).select(*EDGE_KEY, "poids")
 
 
 @query("graph6_counts", f"WITH {ALL_EDGES_CTE} SELECT type, count(*) AS n FROM edges GROUP BY type")

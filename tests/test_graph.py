@@ -135,3 +135,20 @@ def test_walk_on_stored_edges(spark, seg, tmp_path):
     assert re.search(r"here#\d+L? IN \(", plan) and "PushedFilters" in plan
     with_blocks = lambda e: sorted(map(tuple, graph.neighbours(e, seg, starts, members=graph.block_members(seg)).select("id", "linked_id", "link_type").collect()))
     assert with_blocks(stored) == with_blocks(edges)
+
+
+def test_blocks_are_listed_as_pairs(spark, monkeypatch):
+    """Every link once, from the earlier to the later segment, however many slices a block has."""
+    monkeypatch.setattr(graph, "PAIRED_ROWS", 7)
+    s = small_segments(spark, [(i, [], 0.0, 0.0, 1 if i < 40 else None, []) for i in range(45)] + [(50, [], 0.0, 0.0, 2, []), (60, [], 0.0, 0.0, 2, [])])
+    out = graph.weave_blocks(s)
+    assert edges(out) == sorted([(a, b) for b in range(40) for a in range(b)] + [(50, 60)])
+    assert {(r["type"], r["poids"]) for r in out.collect()} == {("MEME_GROUPE", 1.8)}
+
+
+@pytest.mark.parametrize("name", ["graph3_block_edges", "graph6_rebuild"])
+def test_queries_list_block_links(spark, small, name):
+    from engram.plans import all_checks, all_queries
+
+    kinds = all_queries()[name](spark, small).filter("type = 'MEME_GROUPE'")
+    assert kinds.count() > 0 and "<> 'MEME_GROUPE'" not in all_checks()[name]
