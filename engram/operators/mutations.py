@@ -6,15 +6,18 @@ they are joined, so repeated updates of one key never meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from engram.functions import lexicon as lx
 from engram.functions.vector import vectorise
 from engram.operators.filters import importance_of
 from engram.operators.joins import canonicalise
-from engram.session import materialise
+from engram.session import materialise, spread
 
 EDGE_KEY = ["source_id", "target_id", "type"]
 PILLAR_CATEGORIES = ["IDENTITE", "RECHERCHE", "TECHNIQUE", "RELATION", "VALEUR"]
@@ -142,32 +145,105 @@ def valid_pillars(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shaped.filter(ok), shaped.filter(~ok)
 
 
-PIECE = 24
+PIECE, BITS, STRETCH = 32, 27, 1 << 19  # letters of a piece at most; bits of a place in the bitmap; letters hashed at a time
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the letters' numbers, from which the hash of any stretch follows."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    letters = (codes + np.uint64(1)) * np.uint64(_SPREAD)
+    letters ^= letters >> np.uint64(29)
+    powers, back = (np.cumprod(np.full(len(codes), x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers, dtype=np.uint64)]), back
+
+
+def _places(sums: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap's place of every `n` neighbouring letters."""
+    own = (sums[n:] - sums[:-n]) * back[: max(len(sums) - n, 0)]
+    own ^= own >> np.uint64(32)
+    return ((own * np.uint64(_SPREAD)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _bitmap(pieces: DataFrame) -> np.ndarray:
+    """A bit for every piece, in a map of fixed size (16 MB) that is filled in parts."""
+    part = 1 << 20
+
+    def places(batches):
+        for b in batches:
+            at = [int(_places(*_sums(x), len(x))[0]) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["place"])
+
+    def filled(frame):
+        bits = np.zeros(part, bool)
+        bits[frame["place"].to_numpy() % part] = True
+        return pd.DataFrame({"part": [int(frame["place"].iloc[0]) // part], "bits": [np.packbits(bits).tobytes()]})
+
+    rows = pieces.mapInArrow(places, "place bigint").distinct().groupBy(F.floor(F.col("place") / part)).applyInPandas(filled, "part bigint, bits binary")
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in rows.collect():  # 128 rows at most
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _stretches(texts: Sequence[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts (their numbers) of about `STRETCH` letters together; longer ones in overlapping parts."""
+    numbers, parts, size = [], [], 0
+    for number, text in enumerate(texts):
+        for start in range(0, len(text), STRETCH):
+            numbers.append(number)
+            parts.append(text[start : start + STRETCH + PIECE - 1])
+            size += len(parts[-1])
+            if size >= STRETCH:
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+    if parts:
+        yield numbers, parts
+
+
+def _held_pieces(texts: DataFrame, pieces: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(_key, _piece): the pieces that stand in the texts (columns _key, _low), and by chance some strings more.
+
+    Only stretches of a text whose place in the bitmap of the asked pieces is set leave the task.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(pieces))
+
+    def run(batches):
+        for b in batches:
+            keys, found = b.column(0).to_pylist(), set()
+            for numbers, parts in _stretches(b.column(1).to_pylist()):
+                whole, ends = "".join(parts), np.cumsum([len(p) for p in parts])
+                sums, back = _sums(whole)
+                for n in lengths:
+                    at = _places(sums, back, n)
+                    hits = np.flatnonzero(bits.value[at >> 3] & (128 >> (at & 7)))
+                    part = np.searchsorted(ends, hits, side="right")
+                    inside = hits + n <= ends[part]
+                    found.update((keys[numbers[p]], whole[i : i + n]) for i, p in zip(hits[inside].tolist(), part[inside].tolist(), strict=True))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.string()), strict=True)], ["_key", "_piece"])
+
+    return texts.select("_key", "_low").mapInArrow(run, "_key bigint, _piece string")
 
 
 def add_pillars(pillars: DataFrame, new: DataFrame, letters: int | None = None) -> DataFrame:
     """Append pillars whose text is not contained in a stored fact (any case).
 
-    A text is contained only where its first `PIECE` letters stand (all of a shorter text), so these are looked up among
-    the pieces of the stored facts and the hits compared. `letters=50` is the contract's rule, which looks for the start
-    of a new fact only.
+    A text is contained only where its first `PIECE` letters stand (all of a shorter text). The stored facts are read once
+    for stretches that can be such pieces (see `_held_pieces`), and these are joined with the pieces; longer texts are then
+    compared with the facts that hold their piece. `letters=50` is the contract's rule, which looks for the start of a new
+    fact only.
     """
     good, _ = valid_pillars(new)
     text = F.substring(F.lower("fait"), 1, letters) if letters else F.lower("fait")
-    wanted = materialise(good.select(text.alias("_short")).distinct())
-    size = F.least(F.length("_short"), F.lit(PIECE))
-    lengths = [r[0] for r in wanted.select(size).distinct().collect()]  # PIECE values at most
-    low = pillars.select(F.lower("fait").alias("_low")).filter("_low IS NOT NULL").distinct()
-
-    def pieces_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col("_low"), i, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, lengths)))) if lengths else F.array().cast("array<string>")
-    at = low.select(F.xxhash64("_low").alias("_key"), F.explode(pieces).alias("_piece"))
-    keyed = wanted.withColumn("_piece", F.substring(F.col("_short"), F.lit(1), size))
-    likely = keyed.join(at, "_piece").select("_short", "_key").distinct()
-    repeated = likely.join(low.withColumn("_key", F.xxhash64("_low")), "_key").filter(F.contains("_low", F.col("_short"))).select("_short").distinct()
+    keyed = materialise(good.select(text.alias("_short")).distinct().withColumn("_piece", F.substring("_short", 1, PIECE)))
+    lengths = [r[0] for r in keyed.select(F.length("_piece")).distinct().collect()]  # PIECE values at most
+    low = pillars.select(F.lower("fait").alias("_low")).filter("_low IS NOT NULL").select(F.xxhash64("_low").alias("_key"), "_low")
+    at = materialise(_held_pieces(spread(low), keyed.select("_piece").distinct(), lengths))
+    long = F.length("_short") > PIECE
+    repeated = keyed.filter(~long).select("_short").join(at.select(F.col("_piece").alias("_short")), "_short", "left_semi")
+    likely = keyed.filter(long).join(at, "_piece").select("_short", "_key").distinct()
+    repeated = repeated.unionByName(likely.join(low, "_key").filter(F.contains("_low", F.col("_short"))).select("_short").distinct())
     fresh = latest(good.withColumn("_short", text), ["_short"], F.col("id"), first=True)
     return pillars.unionByName(fresh.join(repeated, "_short", "left_anti").select(*pillars.columns))
 

@@ -435,6 +435,33 @@ def test_no_word_vectors(spark):
     assert wordvectors.train_vectors(spark.createDataFrame([(["once"],), ([],)], "tokens array<string>"), epochs=1).count() == 0
 
 
+def test_pillars_meet_stored_facts_by_asked_pieces_only(spark, monkeypatch):
+    """Texts of all lengths, across stretches and beyond ASCII; what the stored facts give to the join stays small."""
+    import random
+
+    from engram.operators import mutations as mut
+
+    monkeypatch.setattr(mut, "STRETCH", 50)
+    r = random.Random(3)
+    facts = ["".join(r.choices("abcdé𝄞 ", k=k)) for k in (0, 1, 5, 31, 32, 33, 90, 300, 300)]
+    asked = {f[a : a + n].strip() for f in facts for n in (3, 7, 31, 32, 33, 60) for a in (0, 3, 40, 200, len(f) - n) if a >= 0}
+    asked |= {"".join(r.choices("abcdé𝄞", k=k)) for k in (3, 4, 20, 32, 33, 70) for _ in range(6)}
+    asked |= {f[-2:] + g[:9] for f in facts for g in facts}  # stands across two facts only
+    asked = sorted(a.strip() for a in asked)
+    shape = "id LONG, fait STRING, categorie STRING, importance INT"
+    old = spark.createDataFrame([(i, f.upper() if i % 2 else f, "VALEUR", 1) for i, f in enumerate(facts)] + [(20, None, "VALEUR", 1)], shape)
+    new = spark.createDataFrame([(100 + i, a, "VALEUR", 1) for i, a in enumerate(asked)], shape)
+    first = {}
+    for i, a in enumerate(asked):
+        if len(a) >= 3 and not any(a.lower() in f.lower() for f in facts):
+            first.setdefault(a.lower(), 100 + i)
+    assert {x.id for x in mut.add_pillars(old, new).collect()} == {*range(len(facts)), 20, *first.values()}
+    pieces = spark.createDataFrame([("abc",)], "_piece STRING")
+    low = spark.createDataFrame([(1, "xyz" * 5_000 + "abc"), (2, "ab")], "_key LONG, _low STRING")
+    held = [tuple(x) for x in mut._held_pieces(low, pieces, [3]).collect()]
+    assert (1, "abc") in held and len(held) < 5
+
+
 def test_trees_of_any_depth(spark):
     """Ten thousand levels, broken chains and cycles."""
     n = 10_000
