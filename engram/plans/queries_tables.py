@@ -169,7 +169,7 @@ def _(d):
 @query("src9_file_inventory")
 def _(d):
     root = scratch_path(d.spark, "inventory")
-    d.documents.select("text", F.col("lang").alias("part")).repartition(4).write.partitionBy("part").text(root)
+    src_files.file_parts(d.documents.select("text", F.col("lang").alias("part")), "part", 4).write.partitionBy("part").text(root)
     out = src_files.file_inventory(d.spark, root)
     return out.groupBy("extension").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("content_hash") == 12).alias("hashed"))
 

@@ -66,6 +66,13 @@ def classify_uri(uri: Column, default: str = "dropbox") -> tuple[Column, Column]
     return kind.otherwise(default), path.otherwise(uri)
 
 
+def file_parts(df: DataFrame, column: str, files: int, groups: int = 16) -> DataFrame:
+    """Rows dealt out so that `write.partitionBy(column)` gives `files` files per value, each written by a task that has
+    no other file of this value."""
+    group, file = F.pmod(F.xxhash64(column), F.lit(groups)), F.pmod(F.monotonically_increasing_id(), F.lit(files))
+    return df.repartitionById(groups * files, (group * files + file).cast("int"))
+
+
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("text", html_text(F.col(html)))
 

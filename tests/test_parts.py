@@ -462,6 +462,17 @@ def test_pillars_meet_stored_facts_by_asked_pieces_only(spark, monkeypatch):
     assert (1, "abc") in held and len(held) < 5
 
 
+def test_files_of_a_value_are_written_by_tasks_of_their_own(spark, tmp_path):
+    from engram.sources import files
+
+    rows = spark.createDataFrame([(f"text {i}", ["de", "en", "fr", "it", None][i % 5]) for i in range(500)], "text STRING, part STRING")
+    dealt = files.file_parts(rows, "part", 4)
+    shares = dealt.groupBy("part", F.spark_partition_id().alias("task")).count().collect()
+    assert len(shares) == 20 and max(r["count"] for r in shares) < 50
+    dealt.write.partitionBy("part").text(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part=*/*.txt"))) == 20 and spark.read.text(str(tmp_path / "out")).count() == 500
+
+
 def test_trees_of_any_depth(spark):
     """Ten thousand levels, broken chains and cycles."""
     n = 10_000
