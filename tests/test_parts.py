@@ -473,6 +473,27 @@ def test_files_of_a_value_are_written_by_tasks_of_their_own(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("part=*/*.txt"))) == 20 and spark.read.text(str(tmp_path / "out")).count() == 500
 
 
+@pytest.mark.parametrize("minimum", [-1.0, 0.9])
+def test_neighbour_table_sorts_only_what_can_be_reported(spark, monkeypatch, minimum):
+    """Ties, repeated words, a word without a name and a vector of NaN; no whole matrix of scores is sorted by argsort."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    vectors = np.vstack([r.integers(-2, 3, (200, 3)), np.full((1, 3), np.nan), np.zeros((1, 3))])
+    rows = [(f"w{i % 190:03d}" if i < 201 else None, v / max(np.linalg.norm(v), 1e-12)) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([(t, [float(x) for x in v]) for t, v in rows], "term STRING, embedding ARRAY<DOUBLE>").coalesce(1)
+    asked, want = ["w003", "w005", "w120"], set()
+    for a in asked:
+        near = sorted((-round(float(u @ v), 12), t) for s, u in rows if s == a for t, v in rows if t not in (a, None) and round(float(u @ v), 12) >= minimum)[:4]
+        want |= {(a, t, round(-s, 9)) for s, t in near}
+    got = emb.neighbour_table(df, spark.createDataFrame([(a,) for a in asked], "term STRING"), n=4, minimum=minimum)
+    assert {(x.source, x.term, round(x.score, 9)) for x in got.collect()} == want
+    monkeypatch.delattr(np, "argsort")
+    unit, words = np.eye(50)[np.arange(3_000) % 50], np.array([f"w{i:04d}" for i in range(3_000)], object)
+    source, word, _ = emb._nearest(words[:2], unit[:2], words, unit, 3, minimum)
+    assert list(zip(source, word)) == [("w0000", "w0050"), ("w0000", "w0100"), ("w0000", "w0150"), ("w0001", "w0051"), ("w0001", "w0101"), ("w0001", "w0151")]
+
+
 def test_trees_of_any_depth(spark):
     """Ten thousand levels, broken chains and cycles."""
     n = 10_000
