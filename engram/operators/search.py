@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from engram.functions import lexicon as lx, scores
+from engram.functions import let, lexicon as lx, scores
 from engram.functions.dates import at
 from engram.functions.formats import context_block
 from engram.functions.text import fold, normalize_list
@@ -59,6 +59,7 @@ def _names() -> Column:
     return F.transform("q.persons", lambda p: fold(p))
 
 
+SCANNED = 64  # queries that are tested against every row, where no index is at hand
 KEYWORD_TEXT = ("resume_texte", "sujets", "projets", "lieux")
 
 
@@ -124,13 +125,18 @@ def score_pairs(seg: DataFrame, queries: Sequence[Query] | DataFrame, now: datet
 
     The log is a table: each query looks up its rarest condition in the postings, the candidates found meet the segments
     once by id, and are tested and scored there. One scan of the segments serves a log of any length. Without an `index`
-    (see `index_segments`) the postings of what the log asks for are made on the way. Queries without a condition accept
-    every segment, and get them all.
+    (see `index_segments`) the postings of what the log asks for are made on the way, unless the log has at most `SCANNED`
+    queries: making postings reads every text, so these are tested against each segment in one scan instead. Queries
+    without a condition accept every segment, and get them all.
     """
     log = queries if isinstance(queries, DataFrame) else query_table(seg.sparkSession, queries)
     log = materialise(log.select(*[F.col(c) for c in T._parse_datatype_string(QUERY_ROW).names]))
     if log.isEmpty():
         raise ValueError("no query")
+    if index is None and log.count() <= SCANNED:
+        found = seg.join(F.broadcast(_listed(log)), F.lit(True)).select(*seg.columns, F.explode("_all").alias("q"))
+        found = found.filter((F.col("id").isNotNull() | _takes_all()) & accepts())
+        return _with_score(found, seg, now)
     asked = conditions(log)
     postings = index or index_segments(seg, only=asked)
     asked = asked.unionByName(_day_conditions(log, postings.terms))
@@ -139,8 +145,23 @@ def score_pairs(seg: DataFrame, queries: Sequence[Query] | DataFrame, now: datet
     found = pairs.filter(accepts())
     free = log.join(grams.bound_queries(asked), "query_id", "left_anti")
     if not free.isEmpty():
-        listed = free.agg(F.collect_list(F.struct(*log.columns)).alias("_all"))  # one row
-        found = found.select(*seg.columns, "q").unionByName(seg.join(F.broadcast(listed), F.lit(True)).select(*seg.columns, F.explode("_all").alias("q")).filter(accepts()))
+        found = found.select(*seg.columns, "q").unionByName(seg.join(F.broadcast(_listed(free)), F.lit(True)).select(*seg.columns, F.explode("_all").alias("q")).filter(accepts()))
+    return _with_score(found, seg, now)
+
+
+def _listed(log: DataFrame) -> DataFrame:
+    """One row with all queries as a list."""
+    return log.agg(F.collect_list(F.struct(*log.columns)).alias("_all"))
+
+
+def _takes_all() -> Column:
+    """Whether the query in `q` has no condition that a segment could fail; only such ones find segments without an id."""
+    binds = lambda values: (F.size(values) > 0) & ~F.exists(values, lambda v: v == "")
+    words = (F.size("q.persons") == 0) & binds(F.col("q.keywords"))
+    return F.col("q.start").isNull() & F.col("q.end").isNull() & ~words & ~binds(F.col("q.tags")) & ~binds(_names())
+
+
+def _with_score(found: DataFrame, seg: DataFrame, now: datetime) -> DataFrame:
     return found.select(*seg.columns, F.col("q.query_id").alias("query_id"), hybrid_score(now).alias("score"), F.col("q.top_k").alias("top_k"))
 
 
@@ -159,16 +180,22 @@ def hybrid_search(
 def text_fallback(docs: DataFrame, queries: Sequence[Query] | DataFrame, answered: DataFrame, name: str = "file_name", cut: int | None = None) -> DataFrame:
     """For queries without a hit: first matching line (its first `cut` letters) of the files that hold the query text, score 0.1.
 
-    Candidates come from the rarest trigram of each text; files and queries meet by these only.
+    Up to `SCANNED` texts are looked for in one scan of the files. The candidates of more come from the rarest trigram of
+    each text; files and queries meet by these only.
     """
     log = queries if isinstance(queries, DataFrame) else query_table(docs.sparkSession, queries)
     wanted = materialise(log.filter("text <> ''").select("query_id", F.lower("text").alias("value"), "top_k"))
     if wanted.isEmpty():
         raise ValueError("no query has a text")
     wanted = wanted.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    asked = wanted.select("query_id", F.lit("text").alias("kind"), F.lit(0).alias("no"), "value")
-    postings = grams.build_postings(docs, name, {"text": F.lower("text")}, only=asked)
-    hits = grams.candidates(asked, postings).join(wanted, "query_id").join(docs.select(F.col(name).alias("id"), "text"), "id").filter(F.contains(F.lower("text"), F.col("value")))
+    if wanted.count() <= SCANNED:
+        texts = docs.filter(F.col(name).isNotNull()).select(F.col(name).alias("id"), "text")
+        held = let(F.lower("text"), lambda low: F.filter("_all", lambda q: F.contains(low, q["value"])))
+        hits = texts.join(F.broadcast(_listed(wanted.filter("query_id IS NOT NULL"))), F.lit(True)).select("id", "text", F.inline(held))
+    else:
+        asked = wanted.select("query_id", F.lit("text").alias("kind"), F.lit(0).alias("no"), "value")
+        postings = grams.build_postings(docs, name, {"text": F.lower("text")}, only=asked)
+        hits = grams.candidates(asked, postings).join(wanted, "query_id").join(docs.select(F.col(name).alias("id"), "text"), "id").filter(F.contains(F.lower("text"), F.col("value")))
     line = F.try_element_at(F.filter(F.split("text", "\n"), lambda l: F.contains(F.lower(l), F.col("value"))), F.lit(1))
     rows = hits.select("query_id", "top_k", F.col("id").alias(name), (F.substring(line, 1, cut) if cut else line).alias("resume_texte"))
     largest = wanted.agg(F.max("top_k")).first()[0] or 1

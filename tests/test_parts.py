@@ -551,3 +551,63 @@ def test_views_read_changed_partitions(spark, tmp_path):
     shutil.rmtree(next((tmp_path / "t").glob("part_name=p 3*")))
     assert look() == plain(rows.unionByName(more).filter("part_name <> 'p 3+%'"))
     assert look() == plain(rows.unionByName(more).filter("part_name <> 'p 3+%'"))
+
+
+def test_short_logs_need_no_postings(spark, monkeypatch):
+    """A few searches without an index test each segment or file once, with the results that postings lead to."""
+    from engram.operators import grams
+
+    seg = spark.createDataFrame([(i if i < 9 else None, datetime(2024, 1, 1 + i), f"alpha w{i}") for i in range(10)], "id LONG, timestamp TIMESTAMP, resume_texte STRING").withColumns(
+        {c: F.array().cast("array<string>") for c in ("sujets", "projets", "lieux", "personnes", "tags_roget")}
+    ).withColumns({"emotion_valence": F.lit(0.0), "emotion_activation": F.lit(0.0), "vecteur": F.lit(None).cast("map<int,double>")})
+    seg = seg.unionByName(seg.filter("id = 3"))
+    queries = [search.Query(1, keywords=["w3", "W4"]), search.Query(2, keywords=["alpha"]), search.Query(3), search.Query(4, keywords=[""]), search.Query(5, start=datetime(2024, 1, 5)), search.Query(6, tags=["no"])]
+    docs = spark.createDataFrame([("a", "x\nOne two\none"), ("a", "one"), ("b", None), (None, "one"), ("c", "none")], "file_name STRING, text STRING")
+    asked, answered = [search.Query(1, "ONE"), search.Query(2, "on", top_k=1), search.Query(3, "one")], spark.createDataFrame([(3,)], "query_id LONG")
+    scored = lambda: sorted(map(repr, search.score_pairs(seg, queries, datetime(2024, 2, 1)).select("query_id", "id", F.round("score", 9)).collect()))
+    lines = lambda: sorted((r.query_id, r.file_name, r.resume_texte) for r in search.text_fallback(docs, asked, answered).filter("query_id = 1").collect())
+    monkeypatch.setattr(search, "SCANNED", 0)
+    by_postings = scored(), lines()
+    monkeypatch.undo()
+
+    def refuse(*_, **__):
+        raise AssertionError("postings were built for a few searches")
+
+    monkeypatch.setattr(grams, "build_postings", refuse)
+    assert (scored(), lines()) == by_postings
+    assert lines() == [(1, "a", "One two"), (1, "a", "one"), (1, "c", "none")]
+
+
+def test_heavy_rows_get_tasks_by_their_number(spark, monkeypatch):
+    from engram import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10, raising=False)
+    few = spark.range(0, 1_000, 1, 2)
+    assert session.spread(few).rdd.getNumPartitions() == 104
+    assert session.spread(spark.range(0, 1_000, 1, 200)).rdd.getNumPartitions() == 200
+
+
+def test_prefixes_count_documents_once(spark):
+    from engram.operators import fulltext as fts
+
+    texts = ["alpha alphabet alp beta", "alpha alpha", "", None, "x" * 40 + " " + "x" * 41 + " x", "é 𝒜𝒜 𝒜𝒜b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id LONG, t STRING")
+    index = fts.build_index(docs, "id", ["t"], size=2)
+    want = {}
+    for words in docs.select(fts.tokens(F.col("t")).alias("w")).collect():
+        for p in {w[:k] for w in words.w or [] for k in range(1, min(len(w), 32) + 1)}:
+            want[p] = want.get(p, 0) + 1
+    assert {r["prefix"]: r["df"] for r in index.prefixes.collect()} == want
+    # documents of a block meet before their words are counted: no exchange by word
+    text = fts._prefix_counts(spark.createDataFrame([(0, [("a", 1), ("ab", 1)])], "doc_id LONG, words ARRAY<STRUCT<term: STRING, tf: LONG>>"))
+    assert {r["prefix"]: r["df"] for r in text.collect()} == {"a": 1, "ab": 1}
+
+
+def test_phrase_words_are_stored_with_their_size(spark, monkeypatch):
+    """Few words meet the pairs without sorting them."""
+    corpus = spark.createDataFrame([(i, 0, ["alpha", "beta", "gamma"]) for i in range(20)], "doc_id INT, par_no INT, tokens ARRAY<STRING>")
+    scored = emb.phrase_scores(corpus)
+    assert "SortMergeJoin" not in scored._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.a, r.b, r.c_ab) for r in scored.collect()} == {("alpha", "beta", 20), ("beta", "gamma", 20)}
+    tokens = spark.createDataFrame([("ab abc a1 the",)], "t STRING").select(emb.corpus_tokens(F.col("t"), ["the"]).alias("w")).first().w
+    assert tokens == ["abc"]
