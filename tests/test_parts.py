@@ -598,7 +598,7 @@ def test_prefixes_count_documents_once(spark):
         for p in {w[:k] for w in words.w or [] for k in range(1, min(len(w), 32) + 1)}:
             want[p] = want.get(p, 0) + 1
     assert {r["prefix"]: r["df"] for r in index.prefixes.collect()} == want
-    # documents of a block meet before their words are counted: no exchange by word
+    # words are counted before they are cut: a word of many documents isn't cut again for each
     text = fts._prefix_counts(spark.createDataFrame([(0, [("a", 1), ("ab", 1)])], "doc_id LONG, words ARRAY<STRUCT<term: STRING, tf: LONG>>"))
     assert {r["prefix"]: r["df"] for r in text.collect()} == {"a": 1, "ab": 1}
 
