@@ -611,3 +611,32 @@ def test_phrase_words_are_stored_with_their_size(spark, monkeypatch):
     assert {(r.a, r.b, r.c_ab) for r in scored.collect()} == {("alpha", "beta", 20), ("beta", "gamma", 20)}
     tokens = spark.createDataFrame([("ab abc a1 the",)], "t STRING").select(emb.corpus_tokens(F.col("t"), ["the"]).alias("w")).first().w
     assert tokens == ["abc"]
+
+
+def test_queries_that_ask_the_same_are_searched_once(spark, monkeypatch, tmp_path):
+    """A log is scored by its different searches, and gives each query what a search of its own gives."""
+    from engram.operators import grams, windows
+
+    words = ["alpha", "beta", "gamma"]
+    seg = spark.range(90).select(
+        "id", F.timestamp_seconds(F.col("id") * 40_000 + 1_700_000_000).alias("timestamp"), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 3 + 1).cast("int")).alias("resume_texte"),
+        *[F.array(F.concat(F.lit(c), F.col("id") % 13)).alias(c) for c in ("sujets", "projets", "lieux", "personnes")], F.array(F.lit("01-0010-0010")).alias("tags_roget"),
+        F.lit(0.1).alias("emotion_valence"), F.lit(0.2).alias("emotion_activation"), F.lit(None).cast("map<int,double>").alias("vecteur"))
+    # words that occur nowhere, other lengths of the answer, other instants, a query twice, a number twice
+    log = [search.Query(i, keywords=[words[i % 3], f"absent{i}"], top_k=1 + i % 4) for i in range(100)]
+    log += [search.Query(200 + i, keywords=[f"nowhere{i}"]) for i in range(3)] + [search.Query(300 + i, start=datetime(2023, 11, 20, 0, 0, 0, i % 2)) for i in range(6)]
+    log += [search.Query(400, persons=["personnes1"], keywords=["alpha", "zz"]), search.Query(400, persons=["personnes1"], keywords=["alpha", "zz"]), search.Query(401, tags=["0010"]), search.Query(402)]
+    grams.write_postings(search.index_segments(seg), str(tmp_path / "p"))
+    index, now = grams.read_postings(spark, str(tmp_path / "p")), datetime(2024, 1, 1)
+    whole = windows.top_k(search.score_pairs(seg, log, now, index), ["query_id"], [F.desc("score"), F.asc("id")], 5).filter("rank <= top_k")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "id", "rank", F.round("score", 9)).collect()))
+    want, asked, score = key(whole), [], search.score_pairs
+
+    def counted(seg, queries, *rest):
+        asked.append(queries.count())
+        return score(seg, queries, *rest)
+
+    monkeypatch.setattr(search, "score_pairs", counted)
+    assert key(search.hybrid_search(seg, log, now, index=index)) == want and len(want) > 250
+    assert key(search.hybrid_search(seg, log, now)) == want
+    assert asked[0] == 3 + 3 + 2 + 1 + 1 + 1
