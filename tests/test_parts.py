@@ -640,3 +640,15 @@ def test_queries_that_ask_the_same_are_searched_once(spark, monkeypatch, tmp_pat
     assert key(search.hybrid_search(seg, log, now, index=index)) == want and len(want) > 250
     assert key(search.hybrid_search(seg, log, now)) == want
     assert asked[0] == 3 + 3 + 2 + 1 + 1 + 1
+
+
+def test_texts_are_made_once_per_row(spark, small):
+    """Places aren't put together anew for every keyword, nor a view's columns before its rows are dealt out."""
+    from engram.functions import vector
+    from engram.plans.registry import Data
+
+    seg = Data(spark, small).wide("segments")
+    plan = vector.vectorise(seg).select("vecteur")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(array_join(lieux" not in plan
+    below = seg._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
+    assert len(below) == 2 and "reflexion" not in below[1]
