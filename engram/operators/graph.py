@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from engram.functions import lexicon as lx
 from engram.operators import ordered as o
 from engram.operators.mutations import EDGE_KEY
-from engram.session import materialise
+from engram.session import materialise, stored
 
 EDGE_COLUMNS = ["source_id", "target_id", "type", "poids", "metadata"]
 BLOCK = ["gr_id", "source_file"]
@@ -203,8 +203,11 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def store_adjacency(edges: DataFrame, path: str) -> None:
-    """Store each edge at both its ends, sorted by node, so that a walk from some nodes skips the other row groups."""
-    _both_ways(edges).repartitionByRange("here").sortWithinPartitions("here").write.mode("overwrite").parquet(path)
+    """Store each edge at both its ends, sorted by node, so that a walk from some nodes skips the other row groups.
+
+    The edges are made once and stored as they come: finding the ranges reads them a second time, and so does the other end."""
+    made = stored(edges.select("source_id", "target_id", "type", "poids"), "edges")
+    _both_ways(made).repartitionByRange("here").sortWithinPartitions("here").write.mode("overwrite").parquet(path)
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:

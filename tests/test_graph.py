@@ -137,6 +137,21 @@ def test_walk_on_stored_edges(spark, seg, tmp_path):
     assert with_blocks(stored) == with_blocks(edges)
 
 
+def test_stored_edges_are_made_once(spark, tmp_path):
+    """Neither the other end nor the search for ranges makes the edges again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.range(100).selectExpr("id AS source_id", "id + 1 AS target_id", "'LIEN_PROJET' AS type", "1.5D AS poids", "CAST(map() AS map<string,string>) AS metadata")
+    graph.store_adjacency(edges.mapInArrow(count, edges.schema), str(tmp_path / "a"))
+    got = graph.read_adjacency(spark, str(tmp_path / "a"))
+    assert made.value == 100 and got.count() == 200 and got.filter("abs(here - there) = 1").count() == 200
+
+
 def test_blocks_are_listed_as_pairs(spark, monkeypatch):
     """Every link once, from the earlier to the later segment, however many slices a block has."""
     monkeypatch.setattr(graph, "PAIRED_ROWS", 7)
