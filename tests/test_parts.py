@@ -429,6 +429,64 @@ def test_word_vectors_find_planted_synonyms(spark, blocks, shards):
     assert near >= 11
 
 
+def test_training_step_equals_plain_sums():
+    """A batch's changes are those of its places one by one, with whole contexts within a paragraph."""
+    import numpy as np
+
+    from engram.operators import wordvectors as wv
+
+    draw = np.random.default_rng(3)
+    word, lengths, n, size = draw.integers(0, 30, 100).astype("<i4"), np.array([1, 60, 39], "<i4"), 40, 8
+    inner, outer = (draw.normal(size=(n, size)).astype("<f4") for _ in range(2))
+    times = draw.integers(0, 5, n).astype("<i4")
+    piece = wv._Piece(size, 5, 0.025, 7)
+    piece.take("in", 0, np.arange(30, dtype="<i4").tobytes(), inner[:30].tobytes(), None)
+    piece.take("out", 0, np.arange(n, dtype="<i4").tobytes(), outer.tobytes(), times.tobytes())
+    piece.learn(word.tobytes(), lengths.tobytes(), 4)
+    reach = np.random.default_rng([7, 4]).integers(1, 6, len(word))
+    wrong = np.take(np.random.default_rng([7, 4, 1]).permutation(np.repeat(np.arange(n), times)), np.arange(wv.SHARED), mode="wrap")
+    into, out, seen = inner[:30].astype(float), outer.astype(float), np.zeros(30)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for begin, end in ((0, 1), (1, 61), (61, 100)):
+        for p in range(begin, end):
+            around = [word[q] for q in range(max(begin, p - reach[p]), min(end, p + reach[p] + 1)) if q != p]
+            if not around:
+                continue
+            mean, change = inner[around].astype(float).mean(0), np.zeros(size)
+            for target, label, share in [(word[p], 1, 1), *[(w, 0, wv.NEGATIVES / wv.SHARED) for w in wrong if w != word[p]]]:
+                g = 0.025 * share * (label - sigmoid(mean @ outer[target]))
+                change += g * outer[target]
+                out[target] += g * mean
+            for w in around:
+                into[w] += change
+                seen[w] += 1
+    assert np.allclose(piece.inner, into, atol=1e-4) and np.allclose(piece.outer, out, atol=1e-4) and (piece.seen["in"] == seen).all()
+
+
+def test_training_keeps_one_round_on_disk(spark):
+    """What stays in the shared folder and among the shuffle files doesn't grow with the epochs."""
+    import time
+    from pathlib import Path
+
+    from engram.operators import wordvectors
+    from engram.session import shared_dir
+
+    shared_dir(spark)
+    folder, blocks = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())) if f.startswith("shuffle_")}
+    size = lambda: sum(f.stat().st_size for f in folder.parent.rglob("*") if f.is_file())
+    corpus = spark.range(400).selectExpr("transform(sequence(0, 30), i -> concat('w', (id * 7 + i * i) % 3000)) AS tokens")
+    grown, left = [], []
+    for epochs in (1, 5):
+        before, had = size(), shuffles()
+        vectors = wordvectors.train_vectors(corpus, size=50, epochs=epochs, shards=4)
+        time.sleep(2)
+        grown.append(size() - before)
+        left.append(len(shuffles() - had))
+        assert vectors.count()
+    assert grown[1] < 1.3 * grown[0] and left[1] <= left[0]
+
+
 def test_no_word_vectors(spark):
     from engram.operators import wordvectors
 
