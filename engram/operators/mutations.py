@@ -147,6 +147,8 @@ def valid_pillars(new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 PIECE, BITS, STRETCH = 32, 27, 1 << 19  # letters of a piece at most; bits of a place in the bitmap; letters hashed at a time
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+_WAYS = _SPREAD, 0x94D049BB133111EB, 0xD6E8FEB86659FD93  # a piece sets a bit by each
+FOUND = 50_000  # pieces that a task gathers before it gives them on
 
 
 def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -158,29 +160,33 @@ def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers, dtype=np.uint64)]), back
 
 
-def _places(sums: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
-    """The bitmap's place of every `n` neighbouring letters."""
+def _hashes(sums: np.ndarray, back: np.ndarray, n: int) -> np.ndarray:
+    """A number for every `n` neighbouring letters."""
     own = (sums[n:] - sums[:-n]) * back[: max(len(sums) - n, 0)]
-    own ^= own >> np.uint64(32)
-    return ((own * np.uint64(_SPREAD)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return own ^ (own >> np.uint64(32))
 
 
-def _bitmap(pieces: DataFrame) -> np.ndarray:
-    """A bit for every piece, in a map of fixed size (16 MB) that is filled in parts."""
-    part = 1 << 20
+def _places(own: np.ndarray, way: int, bits: int) -> np.ndarray:
+    """One of the bitmap's places for each of `_hashes`."""
+    return ((own * np.uint64(way)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bitmap(pieces: DataFrame, bits: int) -> np.ndarray:
+    """Bits for every piece, in a map of fixed size (16 MB) that is filled in parts."""
+    part = min(1 << 20, 1 << bits)
 
     def places(batches):
         for b in batches:
-            at = [int(_places(*_sums(x), len(x))[0]) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["place"])
+            own = np.array([_hashes(*_sums(x), len(x))[0] for x in b.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_places(own, way, bits) for way in _WAYS]), pa.int64())], ["place"])
 
     def filled(frame):
-        bits = np.zeros(part, bool)
-        bits[frame["place"].to_numpy() % part] = True
-        return pd.DataFrame({"part": [int(frame["place"].iloc[0]) // part], "bits": [np.packbits(bits).tobytes()]})
+        own = np.zeros(part, bool)
+        own[frame["place"].to_numpy() % part] = True
+        return pd.DataFrame({"part": [int(frame["place"].iloc[0]) // part], "bits": [np.packbits(own).tobytes()]})
 
     rows = pieces.mapInArrow(places, "place bigint").distinct().groupBy(F.floor(F.col("place") / part)).applyInPandas(filled, "part bigint, bits binary")
-    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows.collect():  # 128 rows at most
         out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -201,29 +207,41 @@ def _stretches(texts: Sequence[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield numbers, parts
 
 
-def _held_pieces(texts: DataFrame, pieces: DataFrame, lengths: Sequence[int]) -> DataFrame:
+def _held_pieces(texts: DataFrame, pieces: DataFrame, lengths: Sequence[int], keyed: int = 1, bits: int = BITS) -> DataFrame:
     """(_key, _piece): the pieces that stand in the texts (columns _key, _low), and by chance some strings more.
 
-    Only stretches of a text whose place in the bitmap of the asked pieces is set leave the task.
+    Only stretches of a text whose places in the bitmap of the asked pieces are all set leave the task; pieces of fewer than
+    `keyed` letters without the key, so that each is given on once for many texts.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(pieces))
+    held = texts.sparkSession.sparkContext.broadcast(_bitmap(pieces, bits))
+    names, kinds = ["_key", "_piece"], (pa.int64(), pa.string())
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     def run(batches):
+        found = set()
         for b in batches:
-            keys, found = b.column(0).to_pylist(), set()
+            keys = b.column(0).to_pylist()
             for numbers, parts in _stretches(b.column(1).to_pylist()):
                 whole, ends = "".join(parts), np.cumsum([len(p) for p in parts])
                 sums, back = _sums(whole)
                 for n in lengths:
-                    at = _places(sums, back, n)
-                    hits = np.flatnonzero(bits.value[at >> 3] & (128 >> (at & 7)))
+                    own = _hashes(sums, back, n)
+                    hits = np.arange(len(own))
+                    for way in _WAYS:
+                        at = _places(own[hits], way, bits)
+                        hits = hits[held.value[at >> 3] & (128 >> (at & 7)) != 0]
                     part = np.searchsorted(ends, hits, side="right")
                     inside = hits + n <= ends[part]
-                    found.update((keys[numbers[p]], whole[i : i + n]) for i, p in zip(hits[inside].tolist(), part[inside].tolist(), strict=True))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.string()), strict=True)], ["_key", "_piece"])
+                    found.update((keys[numbers[p]] if n >= keyed else None, whole[i : i + n]) for i, p in zip(hits[inside].tolist(), part[inside].tolist(), strict=True))
+                    if len(found) >= FOUND:
+                        yield rows(found)
+                        found = set()
+        if found:
+            yield rows(found)
 
-    return texts.select("_key", "_low").mapInArrow(run, "_key bigint, _piece string")
+    return texts.select("_key", "_low").mapInArrow(run, "_key bigint, _piece string").distinct()
 
 
 def add_pillars(pillars: DataFrame, new: DataFrame, letters: int | None = None) -> DataFrame:
@@ -239,7 +257,7 @@ def add_pillars(pillars: DataFrame, new: DataFrame, letters: int | None = None)
     keyed = materialise(good.select(text.alias("_short")).distinct().withColumn("_piece", F.substring("_short", 1, PIECE)))
     lengths = [r[0] for r in keyed.select(F.length("_piece")).distinct().collect()]  # PIECE values at most
     low = pillars.select(F.lower("fait").alias("_low")).filter("_low IS NOT NULL").select(F.xxhash64("_low").alias("_key"), "_low")
-    at = materialise(_held_pieces(spread(low), keyed.select("_piece").distinct(), lengths))
+    at = materialise(_held_pieces(spread(low), keyed.select("_piece").distinct(), lengths, keyed=PIECE))
     long = F.length("_short") > PIECE
     repeated = keyed.filter(~long).select("_short").join(at.select(F.col("_piece").alias("_short")), "_short", "left_semi")
     likely = keyed.filter(long).join(at, "_piece").select("_short", "_key").distinct()

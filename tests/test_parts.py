@@ -520,6 +520,25 @@ def test_pillars_meet_stored_facts_by_asked_pieces_only(spark, monkeypatch):
     assert (1, "abc") in held and len(held) < 5
 
 
+def test_pieces_found_by_chance_stay_few(spark):
+    """Many asked pieces for the bitmap's size: a task isn't flooded with stretches that set bits let through."""
+    import random
+
+    from engram.operators import mutations as mut
+
+    r = random.Random(5)
+    asked = ["".join(r.choices("abcdefghij", k=9)) for _ in range(1_000)]
+    texts = ["".join(r.choices("abcdefghij", k=20_000)) + asked[i] for i in range(10)]
+    low = spark.createDataFrame(list(enumerate(texts)), "_key LONG, _low STRING")
+    pieces = spark.createDataFrame([(a,) for a in asked], "_piece STRING")
+    held = [tuple(x) for x in mut._held_pieces(low, pieces, [9], bits=16).collect()]
+    want = {(i, a) for i, t in enumerate(texts) for a in asked if a in t}
+    assert want <= set(held) and len(held) < len(want) + 200
+    # a piece that needs no comparison afterwards is given on once, not for each text
+    short = spark.createDataFrame([("ab",)], "_piece STRING")
+    assert mut._held_pieces(low, short, [2], keyed=3).filter("_piece = 'ab'").count() == 1
+
+
 def test_files_of_a_value_are_written_by_tasks_of_their_own(spark, tmp_path):
     from engram.sources import files
 
