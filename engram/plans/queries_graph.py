@@ -492,9 +492,9 @@ def _(d):
 
 def _phrased(d):
     """The corpus with its phrases joined."""
-    corpus = materialise(emb.build_corpus(d.wide("documents"), "doc_id"))
+    corpus = stored(emb.build_corpus(d.wide("documents"), "doc_id"), "corpus")
     phrases = stored(emb.detect_phrases(corpus).select("a", "b"), "phrases")
-    return materialise(emb.apply_phrases(corpus, phrases, ["doc_id", "par_no"]))
+    return stored(emb.apply_phrases(corpus, phrases, ["doc_id", "par_no"]), "phrased")
 
 
 def _model(d):
