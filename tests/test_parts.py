@@ -408,6 +408,56 @@ def test_index_equals_full_scoring(spark, tmp_path):
         same(after, now, query, 15)
 
 
+def test_index_updates_move_whole_rows(spark, tmp_path):
+    """Stored rows meet the changed documents of their block without being taken apart, and storing leaves no shuffle files."""
+    import time
+
+    from engram.operators import fulltext as fts
+
+    docs = spark.createDataFrame([(i, f"alpha w{(i or 0) % 9} w{(i or 0) % 7}" if (i or 1) % 11 else None) for i in [*range(200), None, 3]], "id LONG, t STRING").repartition(3)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())) if f.startswith("shuffle_")}
+    before = shuffles()
+    fts.write_index(fts.build_index(docs, "id", ["t"], size=8), str(tmp_path / "i"))
+    after = fts.update_index(fts.read_index(spark, str(tmp_path / "i")), docs.filter("id % 5 = 0").withColumn("t", F.lit("new w1 w1")), "id", ["t"], deleted=docs.filter("id % 7 = 0"))
+    assert "inline(docs" not in after.blocks._jdf.queryExecution().optimizedPlan().toString()
+    fts.write_index(after, str(tmp_path / "j"))
+    time.sleep(2)
+    assert not shuffles() - before
+    now = docs.filter("id IS NULL OR id % 5 <> 0 AND id % 7 <> 0").unionByName(docs.filter("id % 5 = 0").withColumn("t", F.lit("new w1 w1")))
+    shown = lambda df: sorted(map(str, df.groupBy("term").agg(F.sort_array(F.flatten(F.collect_list("docs"))).alias("d")).collect()))
+    assert shown(fts.read_index(spark, str(tmp_path / "j")).blocks) == shown(fts.build_index(now, "id", ["t"], size=8).blocks)
+
+
+def test_trigrams_are_listed_where_their_part_is(spark, monkeypatch):
+    """Rows move before their trigrams are listed, not each trigram with them."""
+    from engram.operators import grams
+
+    df = spark.createDataFrame([(i if i % 13 else None, f"word{i % 7} x", 86_400 * (i % 3) if i % 5 else None) for i in range(60)], "id LONG, t STRING, s LONG").withColumn("at", F.timestamp_seconds("s"))
+    plans, kept = [], grams.materialise
+    monkeypatch.setattr(grams, "materialise", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or kept(x))
+    got = grams.build_postings(df, "id", {"text": F.col("t")}, F.col("at"), size=8).rows
+    assert plans[0].count("Exchange") == 1
+    want = {}
+    for r in df.collect():
+        for key in {("text", f"{r.t}\0\0"[k : k + 3]) for k in range(len(r.t))} | ({("day", f"{r['at']:%Y-%m-%d}")} if r["at"] else set()):
+            want.setdefault(key, []).append(r.id)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.kind, r.term), []).extend(r.ids)
+    order = lambda d: {k: sorted(v, key=lambda x: (x is None, x)) for k, v in d.items()}
+    assert order(found).keys() == order(want).keys() and all(len([x for x in found[k]]) == len([x for x in want[k] if x is not None]) for k in want)
+
+
+def test_phrased_corpus_is_stored_small(spark, small):
+    """The corpus and its phrased form are columns that Spark knows the size of, not rows of a checkpoint."""
+    from engram.plans import queries_graph
+    from engram.plans.registry import Data
+
+    phrased = queries_graph._phrased(Data(spark, small))
+    assert phrased.inputFiles() and phrased.count()
+
+
 @pytest.mark.parametrize("blocks,shards", [(10_000, 1), (10_000, 4), (60, 2)])
 def test_word_vectors_find_planted_synonyms(spark, blocks, shards):
     """Two words of one use are closer to each other than to words of other uses, with whole and with cut contexts."""
